@@ -271,9 +271,8 @@ def category_consistency(p: TableProfile) -> DataFrame:
     found = keys.count()
     if not found:
         return p.spark.createDataFrame([], CATEGORY_SCHEMA)
-    variants = cells.join(small(keys.select("column", "key"), found), ["column", "key"])
+    variants = stage(cells.join(small(keys.select("column", "key"), found), ["column", "key"]))
     if p.has_long_text:
-        variants = stage(variants)
         variants = (variants.join(p.whole_text(variants), ["column", "token"], "left")
                     .withColumn("raw", F.coalesce("text", "token")))
     else:

@@ -42,52 +42,41 @@ def _rows(p: TableProfile) -> DataFrame:
     return p.frame.select(*cols, *([ORD] if p.ordered else []))
 
 
-def repeated_rows(p: TableProfile, hash_first: bool | None = None) -> DataFrame:
+def repeated_rows(p: TableProfile, hash_first: bool | None = None, first: bool = False) -> DataFrame:
     """Groups of equal rows that hold two rows or more, with their size ``n``.
 
-    Missing equals missing. With a row order, a group is also split by the
-    order key: ``copies`` rows share the key ``_ord``.
+    Missing equals missing. ``first`` adds the least order key of the group.
     """
     refs = [c.ref for c in p.columns]
     rows = _rows(p)
     if hash_first is None:
         hash_first = p.rows > WHOLE_ROW_LIMIT
     if hash_first and _hashable(p):
-        row_hash = F.xxhash64(*refs).alias("_h")
-        hashes = stage(rows.select(row_hash).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
+        row_hash = F.xxhash64(*refs)
+        hashes = stage(rows.select(row_hash.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
                        .filter("n > 1").select("_h"))
-        rows = rows.withColumn("_h", F.xxhash64(*refs)).join(small(hashes, hashes.count()), "_h", "left_semi").drop("_h")
-    return rows.groupBy(*refs).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rows = rows.withColumn("_h", row_hash).join(small(hashes, hashes.count()), "_h", "left_semi").drop("_h")
+    least = [F.min(ORD).alias("first")] if first else []
+    return rows.groupBy(*refs).agg(F.count(F.lit(1)).alias("n"), *least).filter("n > 1")
 
 
-def _examples(p: TableProfile, hash_first: bool | None) -> list[str]:
+def _examples(p: TableProfile, groups: DataFrame, count: int) -> list[str]:
     """Order keys of the first extra copies.
 
-    Rows are counted per group and order key first, so a hot group is reduced
-    before it is moved; per group every copy but the first one is extra.
+    Rows are counted per group and order key, so a hot group shrinks before it
+    is moved. In a group every copy but one at the least key is extra.
     """
     limit = p.config.duplicate_examples
-    if not p.ordered or not limit:
-        return []
     refs = [c.ref for c in p.columns]
-    groups = stage(repeated_rows(p, hash_first).drop("n"))
+    row_hash = F.xxhash64(*refs) if _hashable(p) else F.lit(0)
     same = [F.col(f"a.{r}").eqNullSafe(F.col(f"b.{r}")) for r in refs]
-    if _hashable(p):
-        key = F.xxhash64(*refs)
-        same.append(F.col("a._h") == F.col("b._h"))
-    else:
-        key = F.lit(0)
-    copies = (_rows(p).withColumn("_h", key).alias("a")
-              .join(small(groups, groups.count()).withColumn("_h", key).alias("b"), same, "left_semi")
-              .groupBy("_h", *refs, ORD).agg(F.count(F.lit(1)).alias("copies")))
-    copies = stage(copies)
-    first = copies.groupBy("_h", *refs).agg(F.min(ORD).alias("first"))
-    same = [F.col(f"a.{r}").eqNullSafe(F.col(f"b.{r}")) for r in ["_h", *refs]]
+    copies = (_rows(p).withColumn("_h", row_hash).alias("a")
+              .join(small(groups.withColumn("_h", row_hash), count).alias("b"),
+                    [F.col("a._h") == F.col("b._h"), *same])
+              .groupBy(*[F.col(f"a.{r}").alias(r) for r in refs], ORD, "first")
+              .agg(F.count(F.lit(1)).alias("copies")))
     extra = F.col("copies") - F.when(F.col(ORD) == F.col("first"), 1).otherwise(0)
-    top = (copies.alias("a").join(small(first, groups.count()).alias("b"), same)
-           .select(F.col(f"a.{ORD}").alias(ORD), F.col("a.copies").alias("copies"), F.col("b.first").alias("first"))
-           .withColumn("extra", extra).filter("extra > 0")
-           .orderBy(ORD).limit(limit)
+    top = (copies.select(ORD, extra.alias("extra")).filter("extra > 0").orderBy(ORD).limit(limit)
            .select(F.col(ORD).cast("string").alias("id"), F.least("extra", F.lit(limit)).cast("int").alias("extra")))
     ids = [r["id"] for r in top.collect() for _ in range(r["extra"])]  # at most ``limit`` rows
     return ids[:limit]
@@ -95,10 +84,13 @@ def _examples(p: TableProfile, hash_first: bool | None) -> list[str]:
 
 def duplicates(p: TableProfile, *, examples: bool = True, hash_first: bool | None = None) -> DataFrame:
     """One row with the counts of exact duplicate rows."""
-    groups = repeated_rows(p, hash_first)
+    examples = examples and p.ordered and p.config.duplicate_examples > 0
+    groups = repeated_rows(p, hash_first, first=examples)
+    if examples:
+        groups = stage(groups)
     row = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g")).first()
     grouped, count = row["n"] or 0, row["g"]
-    ids = _examples(p, hash_first) if examples and count else []
+    ids = _examples(p, groups, count) if examples and count else []
     schema = T.StructType([
         T.StructField("dataset", T.StringType()), T.StructField("row_count", T.LongType()),
         T.StructField("duplicate_rows", T.LongType()), T.StructField("rows_in_duplicate_groups", T.LongType()),
