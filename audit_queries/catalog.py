@@ -58,6 +58,13 @@ def on_dirty(check, *drop: str) -> Query:
     return lambda spark, d: joined(check(profile(spark, d)), *drop)
 
 
+def on_documents(check, *drop: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        p = TableProfile(inputs.documents(spark, d), inputs.DOCS_NAME, order_by=inputs.DOCS_INDEX)
+        return joined(check(p), *drop)
+    return run
+
+
 def on_table(check, name: str, *columns: str, drop=(), order_by=None) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = inputs.table(spark, d, name)
@@ -180,9 +187,7 @@ QUERIES: dict[str, Query] = {
     "numeric_outliers": on_dirty(C.numeric_outliers, "example_outlier_values"),
     "category_consistency": on_dirty(C.category_consistency),
     "data_type_warnings": on_dirty(C.data_type_warnings),
-    "unnamed_columns": warning_query("UNNAMED_COLUMN"),
     "numeric_like_text": warning_query("NUMERIC_LIKE_TEXT"),
-    "datetime_like_text": warning_query("DATETIME_LIKE_TEXT"),
     "mixed_datetime_formats": warning_query("MIXED_DATETIME_FORMATS"),
     "basic_checks": of_audit(lambda a: findings(a, ("missing_values", "duplicates", "constant_columns"))),
     "advanced_checks": of_audit(lambda a: findings(a, S.CHECKS[3:])),
@@ -196,6 +201,12 @@ QUERIES: dict[str, Query] = {
     "outliers_documents": on_table(C.numeric_outliers, "documents", drop=("example_outlier_values",)),
     "outliers_lineitem": on_table(C.numeric_outliers, "lineitem", drop=("example_outlier_values",)),
     "near_constant_labels": on_table(C.near_constant_columns, "labels"),
+    "missing_values_documents_dirty": on_documents(C.missing_values),
+    "near_constant_documents_dirty": on_documents(C.near_constant_columns),
+    "outliers_documents_dirty": on_documents(C.numeric_outliers, "example_outlier_values"),
+    "category_documents_dirty": on_documents(C.category_consistency, "variants", "variant_frequencies"),
+    "unnamed_columns": on_documents(lambda p: C.data_type_warnings(p, only="UNNAMED_COLUMN")),
+    "datetime_like_text": on_documents(lambda p: C.data_type_warnings(p, only="DATETIME_LIKE_TEXT")),
     # score
     "score_completeness": of_audit(lambda a: S.score_completeness(a.overview)),
     "score_duplicate_free": of_audit(lambda a: S.score_duplicate_free(a.check("duplicates"))),

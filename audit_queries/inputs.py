@@ -34,6 +34,27 @@ SELECT * FROM one UNION ALL SELECT * FROM one WHERE order_id % 25 = 0
 COLUMNS = ["order_id", "cust_key", "total_price", "priority", "cust_text", "order_day", "flag", "region", "notes",
            "ref_code"]
 DTYPES = dict(zip(COLUMNS, ["bigint", "bigint", "double"] + ["string"] * 7))
+
+# Documents with faults the orders table does not show: a saved index, long
+# texts that differ in spacing only, dates of one format, infinities, a rare
+# timestamp and a rare truth value.
+DOCS_NAME = "documents_dirty"
+DOCS = """
+WITH src AS (SELECT doc_id k, text tx, lang lg, source sr, n_chars nc FROM documents),
+one AS (SELECT k AS row_no, tx AS body, lg AS lang,
+ CASE WHEN k % 3 = 0 THEN upper(sr) ELSE sr END AS origin,
+ CASE WHEN k % 40 = 0 THEN 'soon' ELSE concat('20', CAST(10 + k % 15 AS STRING), '/0', CAST(1 + k % 9 AS STRING), '/', CAST(10 + k % 19 AS STRING)) END AS seen,
+ CASE WHEN k % 90 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN k % 91 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(nc AS DOUBLE) END AS size,
+ CASE WHEN k % 70 = 0 THEN TIMESTAMP '2024-02-29 12:30:00' ELSE TIMESTAMP '2020-01-01 00:00:00' END AS stamp,
+ k % 60 = 0 AS checked,
+ CASE WHEN k % 80 = 0 THEN 3 ELSE 7 END AS version_code FROM src)
+SELECT * FROM one UNION ALL
+SELECT row_no, concat(chr(9), ' ', replace(body, ' ', '  ')), upper(lang), origin, seen, size, stamp, checked, version_code FROM one WHERE row_no % 6 = 0
+"""
+DOCS_COLUMNS = {"row_no": "bigint", "body": "string", "lang": "string", "origin": "string", "seen": "string", "size": "double",
+                "stamp": "timestamp", "checked": "boolean", "version_code": "int"}
+DOCS_INDEX = "Unnamed: 0"  # the name row_no has in the audited table
+
 NUMERIC = COLUMNS[:3]
 TEXT = COLUMNS[3:]
 
@@ -76,11 +97,15 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_view(spark, sf_dir, "orders", DIRTY)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_view(spark, sf_dir, "documents", DOCS).withColumnRenamed("row_no", DOCS_INDEX)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CSV files of ``FILES`` in the form of the binary source."""
     text = _with_view(spark, sf_dir, "customer", FILE_TEXT.format(files=FILES))
     content = (F.when(F.col("kind") == "latin", F.encode("txt", "ISO-8859-1"))
-               .when(F.col("kind") == "nul", F.encode(F.translate("txt", "\x01", "\x00"), "UTF-8"))
+               .when(F.col("kind") == "nul", F.encode(F.replace("txt", F.lit("\x01"), F.lit("\x00")), "UTF-8"))
                .otherwise(F.encode("txt", "UTF-8")))
     return text.select("path", F.octet_length(content).cast("long").alias("length"), content.alias("content"))
 

@@ -25,6 +25,7 @@ TYPES = {
                      l_linestatus="string", l_shipdate="timestamp_ntz"),
     "labels": dict(doc_id="bigint", quality="int", toxic="int"),
     inputs.NAME: inputs.DTYPES,
+    inputs.DOCS_NAME: inputs.DOCS_COLUMNS,
 }
 NUMERIC = ("bigint", "int", "double")
 
@@ -65,11 +66,13 @@ def fold(x: str) -> str:
 def base(name: str, columns: dict[str, str] | None = None) -> str:
     """CTEs d (rows), f (facts per column) and v (value counts)."""
     columns = columns or TYPES[name]
-    source = inputs.DIRTY if name == inputs.NAME else f"SELECT {', '.join(columns)} FROM {name}"
+    views = {inputs.NAME: inputs.DIRTY, inputs.DOCS_NAME: f"SELECT * REPLACE (nullif(size, 'NaN'::DOUBLE) AS size) FROM ({inputs.DOCS}) x"}
+    source = views.get(name, f"SELECT {', '.join(columns)} FROM {name}")
+    shown = {"row_no": inputs.DOCS_INDEX}
     types = " UNION ALL ".join(
-        f"SELECT {i} AS pos, {q(c)} AS col, {q(t)} AS dtype, {has_identifier_name(c)} AS hint" for i, (c, t) in enumerate(columns.items()))
+        f"SELECT {i} AS pos, {q(shown.get(c, c))} AS col, {q(t)} AS dtype, {has_identifier_name(shown.get(c, c))} AS hint" for i, (c, t) in enumerate(columns.items()))
     values = " UNION ALL ".join(
-        f"SELECT {q(c)} AS col, CAST({c} AS VARCHAR) AS val, count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY 2" for c in columns)
+        f"SELECT {q(shown.get(c, c))} AS col, CAST({c} AS VARCHAR) AS val, count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY 2" for c in columns)
     return f"""
 d AS ({source}),
 t AS ({types}),
@@ -138,29 +141,31 @@ FROM f WHERE dtype = 'string' AND u >= 20 AND {p} >= 20"""
 
 def outliers(name: str, columns: dict[str, str]) -> str:
     parts = []
+    far = "(isinf(x) OR x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1))"
     for c, t in columns.items():
         if t not in NUMERIC:
             continue
-        parts.append(f"""SELECT {q(c)} AS col, q1, q3, count(x) AS n,
- count(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outs,
- min(x) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS lo,
- max(x) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS hi
-FROM (SELECT CAST({c} AS DOUBLE) AS x FROM d),
- (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM d) GROUP BY q1, q3""")
+        x = f"CAST({c} AS DOUBLE)"
+        shown = inputs.DOCS_INDEX if c == "row_no" else c
+        parts.append(f"""SELECT {q(shown)} AS col, q1, q3, count(x) AS n, count(*) FILTER (WHERE isinf(x)) AS infs,
+ count(*) FILTER (WHERE {far}) AS outs, min(x) FILTER (WHERE {far}) AS lo, max(x) FILTER (WHERE {far}) AS hi
+FROM (SELECT {x} AS x FROM d), (SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM d WHERE NOT isinf({x})) GROUP BY q1, q3""")
     p = pct("outs", "n")
     return f"""SELECT {q(name)} AS dataset, o.col AS "column", dtype, 'OUTLIERS_DETECTED' AS status,
- {bands4('outs', p, (1, 5, 10))} AS severity, 'IQR' AS method, CAST(1.5 AS DOUBLE) AS iqr_multiplier, n AS non_null_count, n AS finite_count,
- CAST(0 AS BIGINT) AS infinite_count, round_even(q1, 4) AS q1, round_even(q3, 4) AS q3, round_even(q3 - q1, 4) AS iqr,
+ {bands4('outs', p, (1, 5, 10))} AS severity, 'IQR' AS method, CAST(1.5 AS DOUBLE) AS iqr_multiplier, n AS non_null_count, n - infs AS finite_count,
+ infs AS infinite_count, round_even(q1, 4) AS q1, round_even(q3, 4) AS q3, round_even(q3 - q1, 4) AS iqr,
  round_even(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, round_even(q3 + 1.5 * (q3 - q1), 4) AS upper_bound,
  outs AS outlier_count, {p} AS outlier_percentage, lo AS minimum_outlier, hi AS maximum_outlier,
  {q(ADVICE['OUTLIERS_DETECTED'])} AS recommendation
 FROM ({' UNION ALL '.join(parts)}) o JOIN t ON t.col = o.col WHERE outs > 0"""
 
 
-def category(name: str, brief: bool = False) -> str:
+def category(name: str, brief: bool = False, keyed: bool = False) -> str:
     p = pct("affected", "nn")
     lists = "" if brief else """ key AS normalized_value, variants, freq AS variant_frequencies,"""
-    ranked = "" if brief else """,
+    if keyed:
+        lists = " key AS normalized_value,"
+    ranked = "" if brief or keyed else """,
  string_agg(CASE WHEN i <= 10 THEN val END, ',' ORDER BY i) AS variants,
  string_agg(CASE WHEN i <= 10 THEN concat(val, '=', n) END, ',' ORDER BY i) AS freq"""
     return f"""SELECT {q(name)} AS dataset, f.col AS "column", dtype, 'CATEGORY_INCONSISTENCY' AS status,
@@ -430,9 +435,7 @@ def oracle_sql() -> dict[str, str]:
         "preview_rows": f"SELECT * FROM ({inputs.DIRTY}) x ORDER BY order_id LIMIT 25",
         "value_frequencies": with_base(f"SELECT {q(N)} AS dataset, v.col AS \"column\", val AS value, n FROM v JOIN t ON t.col = v.col AND dtype = 'string'"),
         "numeric_like_text": warn("NUMERIC_LIKE_TEXT"),
-        "datetime_like_text": warn("DATETIME_LIKE_TEXT"),
         "mixed_datetime_formats": warn("MIXED_DATETIME_FORMATS"),
-        "unnamed_columns": warn("UNNAMED_COLUMN"),
         "basic_checks": with_base(_findings(CHECKS[:3])),
         "advanced_checks": with_base(_findings(CHECKS[3:])),
         "all_checks": with_base(_findings(CHECKS)),
@@ -445,6 +448,22 @@ def oracle_sql() -> dict[str, str]:
         "outliers_documents": with_base(outliers("documents", TYPES["documents"]), "documents"),
         "outliers_lineitem": with_base(outliers("lineitem", TYPES["lineitem"]), "lineitem"),
         "near_constant_labels": with_base(near_constant("labels"), "labels"),
+        "issue_type_impact": with_base(f'SELECT dataset, "column", status, {IMPACT} AS impact_percentage FROM ({WARN}) x'),
+        "missing_values_documents_dirty": with_base(missing(inputs.DOCS_NAME), inputs.DOCS_NAME),
+        "near_constant_documents_dirty": with_base(near_constant(inputs.DOCS_NAME), inputs.DOCS_NAME),
+        "outliers_documents_dirty": with_base(outliers(inputs.DOCS_NAME, inputs.DOCS_COLUMNS), inputs.DOCS_NAME),
+        "category_documents_dirty": with_base(category(inputs.DOCS_NAME, keyed=True), inputs.DOCS_NAME),
+        "unnamed_columns": with_base(f"""SELECT {q(inputs.DOCS_NAME)} AS dataset, col AS "column", dtype, 'UNNAMED_COLUMN' AS status,
+ 'MEDIUM' AS severity, 'INDEX_ARTIFACT' AS inferred_type, nn AS non_null_count, CAST(NULL AS BIGINT) AS parse_success_count,
+ CAST(NULL AS DOUBLE) AS parse_success_percentage, CAST(NULL AS BIGINT) AS invalid_count, CAST(NULL AS DOUBLE) AS invalid_percentage,
+ CAST(NULL AS INTEGER) AS detected_format_count, '' AS detected_formats, '' AS example_invalid_values,
+ {q(ADVICE['UNNAMED_COLUMN'])} AS recommendation FROM f WHERE lower(col) LIKE 'unnamed:%'""", inputs.DOCS_NAME),
+        "datetime_like_text": with_base(f"""SELECT {q(inputs.DOCS_NAME)} AS dataset, 'seen' AS "column", 'string' AS dtype,
+ 'DATETIME_LIKE_TEXT' AS status, 'MEDIUM' AS severity, 'DATETIME' AS inferred_type, count(*) AS non_null_count, count(*) FILTER (WHERE ok) AS parse_success_count,
+ {pct('count(*) FILTER (WHERE ok)', 'count(*)')} AS parse_success_percentage, count(*) FILTER (WHERE NOT ok) AS invalid_count,
+ {pct('count(*) FILTER (WHERE NOT ok)', 'count(*)')} AS invalid_percentage, CAST(1 AS INTEGER) AS detected_format_count,
+ 'YYYY/MM/DD' AS detected_formats, 'soon' AS example_invalid_values, {q(ADVICE['DATETIME_LIKE_TEXT'])} AS recommendation
+FROM (SELECT regexp_full_match(seen, '[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}') AS ok FROM d)""", inputs.DOCS_NAME),
         "trim_conversations": """SELECT conv_id, turn, role, text FROM (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS s
  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM conversations) WHERE i <= 3) WHERE turn >= s""",
     }
