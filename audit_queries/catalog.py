@@ -37,6 +37,10 @@ def shared_audit(spark: SparkSession, sf_dir: str) -> Audit:
     return _audits[key]
 
 
+def forget_audits() -> None:
+    _audits.clear()
+
+
 def joined(df: DataFrame, *drop: str) -> DataFrame:
     """Arrays as text, so that results compare as plain values."""
     cols = []

@@ -8,30 +8,34 @@ from pyspark.sql import functions as F
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
-def half_even(value: Column, places: int) -> Column:
+def half_even_sql(value: str, places: int) -> str:
     """Round a non-negative double as its exact binary value, ties to even.
 
     ``bround`` rounds the shortest decimal text of a double instead, which
     takes 0.015 (binary slightly below) for a tie. Twice the scaled value is
     split into a double and its exact rounding error to see on which side of
-    the middle it lies.
+    the middle it lies. ``value`` is SQL; one expression text keeps the number
+    of calls into the JVM low.
     """
-    unit = 10.0 ** places
-    double_unit = F.lit(2 * unit)
-    low = F.floor(value * F.lit(unit)).cast("double")
-    high_part = value * F.lit(134217729.0) - (value * F.lit(134217729.0) - value)
-    product = value * double_unit
-    error = (high_part * double_unit - product) + (value - high_part) * double_unit
-    side = (product - (low * 2 + 1)) + error
-    up = (side > 0) | ((side == 0) & (low % 2 == 1))
-    return F.when(up, low + 1).otherwise(low) / F.lit(unit)
+    unit = f"{10 ** places}D"
+    twice = f"{2 * 10 ** places}D"
+    low = f"double(floor({value} * {unit}))"
+    head = f"({value} * 134217729D - ({value} * 134217729D - {value}))"
+    product = f"({value} * {twice})"
+    error = f"(({head} * {twice} - {product}) + ({value} - {head}) * {twice})"
+    side = f"(({product} - ({low} * 2 + 1)) + {error})"
+    return f"(({low} + IF({side} > 0 OR ({side} = 0 AND {low} % 2 = 1), 1D, 0D)) / {unit})"
 
 
-def pct(part, whole) -> Column:
-    """``part`` in percent of ``whole``, rounded to 2 places; 0 for an empty whole."""
-    part, whole = (c if isinstance(c, Column) else F.col(c) for c in (part, whole))
-    share = F.when(whole == 0, F.lit(0.0)).otherwise(part / whole * F.lit(100.0))
-    return half_even(share, 2)
+def pct_sql(part: str, whole: str) -> str:
+    return half_even_sql(f"IF({whole} = 0, 0D, {part} / {whole} * 100D)", 2)
+
+
+def pct(part: str, whole: str) -> Column:
+    """``part`` in percent of ``whole``, rounded to 2 places; 0 for an empty whole.
+
+    Both are names of columns, or SQL."""
+    return F.expr(pct_sql(part, whole))
 
 
 def py_pct(part: int, whole: int) -> float:
@@ -71,8 +75,9 @@ def priority_level(severity: Column) -> Column:
     return F.concat(F.lit("P"), severity_rank(severity).cast("string"))
 
 
-def clamp_score(value: Column) -> Column:
-    return half_even(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), 2)
+def clamp_score(value: str) -> Column:
+    """SQL ``value`` kept within 0..100 and rounded to 2 places."""
+    return F.expr(half_even_sql(f"greatest(0D, least(100D, {value}))", 2))
 
 
 def preview(value: Column) -> Column:

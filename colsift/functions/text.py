@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Fixed value: the white-space characters of Unicode text, as a character class.
 SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\p{Z}]"
 
+# Fixed value: the same characters, listed.
+SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 # Date labels and their full-match patterns; the first match wins.
 DATE_PATTERNS = {
     "ISO_DATETIME": r"\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}[T ]\p{Nd}{2}:\p{Nd}{2}",
@@ -32,12 +35,17 @@ _LONG = "\x00"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
+
+
+def squeeze(text: Column) -> Column:
+    """Every run of white space turned into one blank; single blanks are left alone."""
+    return F.regexp_replace(text, rf"{SPACE}(?:{SPACE}+|(?<! ))", " ")
 
 
 def collapse(text: Column) -> Column:
     """Stripped text with every run of white space turned into one blank."""
-    return F.regexp_replace(strip(text), rf"{SPACE}+", " ")
+    return squeeze(strip(text))
 
 
 def casefold(text: Column) -> Column:
@@ -45,9 +53,13 @@ def casefold(text: Column) -> Column:
 
     The final sigma joins the plain one. The dotless i, which upper-casing
     would turn into a plain I, waits behind a character no text contains.
+    ``replace`` is used throughout: it leaves text without a hit untouched.
     """
-    upper = F.translate(F.upper(F.translate(text, "ı", "\ufdd0")), "ς", "Σ")
-    return F.translate(F.lower(upper), "ς\ufdd0", "σı")
+    def swap(value: Column, old: str, new: str) -> Column:
+        return F.replace(value, F.lit(old), F.lit(new))
+
+    upper = swap(F.upper(swap(text, "ı", "\ufdd0")), "ς", "Σ")
+    return swap(swap(F.lower(upper), "ς", "σ"), "\ufdd0", "ı")
 
 
 def category_key(text: Column) -> Column:
@@ -91,6 +103,12 @@ def date_label(stripped: Column) -> Column:
     return label
 
 
+def may_be_value(stripped: Column) -> Column:
+    """Whether text is a number or a date, by one pattern over the text."""
+    patterns = [NUMBER.strip("^$"), INFINITY.strip("^$"), *DATE_PATTERNS.values()]
+    return stripped.rlike(rf"^(?:{'|'.join(patterns)})\z")
+
+
 def has_identifier_name(name: str) -> bool:
     folded = name.strip().casefold()
     words = set(re.findall(r"[a-z0-9]+", folded))

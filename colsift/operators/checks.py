@@ -256,22 +256,25 @@ def category_consistency(p: TableProfile) -> DataFrame:
     cfg = p.config
     if p.values is None:
         return p.spark.createDataFrame([], CATEGORY_SCHEMA)
+    # Each step is a column of its own, so that no expression is worked out twice.
     token = F.col("token")
-    plain = X.collapse(token)
-    cells = (p.values
-             .select("column", "token", "n", *(c for c in p.values.columns if c.startswith("long_")),
-                     plain.alias("p"))
-             .select("column", "token", "n",
-                     p.derived("plain", F.col("p")).alias("plain"),
-                     p.derived("key", X.token(X.casefold(F.col("p")))).alias("key"))
-             .filter(F.col("key") != ""))
+    written = token.rlike(f"(?!{X.SPACE}).")
+    if p.has_long_text:
+        written = F.when(X.is_digest(token), F.col("long_key") != "").otherwise(written)
+    kept = ["column", "token", "n", *(c for c in p.values.columns if c in ("long_plain", "long_key"))]
+    cells = (p.values.filter(written).select(*kept, X.collapse(token).alias("p"))
+             .select(*kept, "p", X.casefold(F.col("p")).alias("k"))
+             .select("column", "token", "n", p.derived("plain", F.col("p")).alias("plain"),
+                     p.derived("key", X.token(F.col("k"))).alias("key")))
     keys = stage(cells.groupBy("column", "key")
                  .agg(F.count(F.lit(1)).alias("variant_count"), F.sum("n").alias("affected_count"))
                  .filter(F.col("variant_count") > 1))
     found = keys.count()
     if not found:
         return p.spark.createDataFrame([], CATEGORY_SCHEMA)
-    variants = stage(cells.join(small(keys.select("column", "key"), found), ["column", "key"]))
+    wanted = small(keys.select(F.col("column").alias("_c"), F.col("key").alias("_k")), found)
+    variants = stage(cells.join(wanted, F.col("column").eqNullSafe(F.col("_c")) & F.col("key").eqNullSafe(F.col("_k")),
+                                "left_semi"))
     if p.has_long_text:
         variants = (variants.join(p.whole_text(variants), ["column", "token"], "left")
                     .withColumn("raw", F.coalesce("text", "token")))
@@ -372,14 +375,14 @@ def _invalid_examples(p: TableProfile, rows: list[tuple[ColumnInfo, dict]]) -> D
         return local_table(p.spark, [], T.StructType([
             T.StructField("ref", T.StringType()), T.StructField("status", T.StringType()),
             T.StructField("examples", STRINGS)]))
-    stripped = X.strip(F.col("token"))
-    bad_number, bad_date = ~p.derived("number", X.is_number(stripped)), p.derived("date", X.date_label(stripped)).isNull()
+    bad_number = ~p.derived("number", X.is_number(F.col("strip")))
+    bad_date = p.derived("date", X.date_label(F.col("strip"))).isNull()
     marks = F.array_compact(F.array(*[
         F.when(F.col("column").isin(refs) & (bad_number if s == "NUMERIC_LIKE_TEXT" else bad_date), F.lit(s))
         for s, refs in asked.items()]))
     first = [F.min("first_ord").alias("first_ord")] if p.ordered else []
     keep = ["token", *(["first_ord"] if p.ordered else [])]
-    texts = (p.values.withColumn("strip", p.derived("strip", stripped))
+    texts = (p.stripped_values().filter(F.col("column").isin(sorted({r for refs in asked.values() for r in refs})))
              .filter(F.col("strip") != "")
              .select("column", F.explode(marks).alias("status"), "strip", *keep)
              .groupBy("column", "status", "strip").agg(F.min("token").alias("token"), *first))

@@ -124,25 +124,19 @@ class TableProfile:
 
     # ---- pass 1: counts and extremes ------------------------------------
 
-    def _count_aggregates(self, c: ColumnInfo) -> list[Column]:
-        col, ref = F.col(c.ref), c.ref
-        out = [F.count(col).alias(f"{ref}_n")]
+    def _count_aggregates(self, c: ColumnInfo) -> list[str]:
+        ref = c.ref
+        out = [f"count({ref}) AS {ref}_n"]
         if c.group in ("numeric", "datetime", "boolean"):
-            least, most = F.min(col), F.max(col)
-            out += [least.eqNullSafe(most).alias(f"{ref}_same"), least.cast("string").alias(f"{ref}_text")]
+            out += [f"min({ref}) <=> max({ref}) AS {ref}_same", f"CAST(min({ref}) AS STRING) AS {ref}_text"]
         if c.group == "numeric":
-            real = self.finite(c)
-            out += [F.min(real).alias(f"{ref}_min"), F.max(real).alias(f"{ref}_max")]
+            out += [f"min({self.finite_sql(c)}) AS {ref}_min", f"max({self.finite_sql(c)}) AS {ref}_max"]
             if isinstance(c.kind, T.IntegralType):
-                wide = T.DecimalType(20, 0)
-                out.append((F.max(col).cast(wide) - F.min(col).cast(wide) + 1).alias(f"{ref}_range"))
+                out.append(f"CAST(max({ref}) AS DECIMAL(20,0)) - CAST(min({ref}) AS DECIMAL(20,0)) + 1 AS {ref}_range")
             if isinstance(c.kind, (T.FloatType, T.DoubleType)):
-                out += [F.count_if(col == F.lit(float("inf"))).alias(f"{ref}_pinf"),
-                        F.count_if(col == F.lit(float("-inf"))).alias(f"{ref}_ninf")]
+                out += [f"count_if({ref} = double('inf')) AS {ref}_pinf", f"count_if({ref} = double('-inf')) AS {ref}_ninf"]
         elif c.group == "boolean":
-            out.append(F.count_if(col).alias(f"{ref}_true"))
-        elif c.group == "categorical":
-            out.append(F.max(X.is_long(col)).alias(f"{ref}_long"))
+            out.append(f"count_if({ref}) AS {ref}_true")
         return out
 
     @cached_property
@@ -150,8 +144,9 @@ class TableProfile:
         facts: dict = {}
         for i in range(0, len(self.columns), SLICE):
             part = self.columns[i:i + SLICE]
+            texts = [F.max(X.is_long(F.col(c.ref))).alias(f"{c.ref}_long") for c in part if c.group == "categorical"]
             row = self.frame.agg(F.count(F.lit(1)).alias("rows"),
-                                 *[a for c in part for a in self._count_aggregates(c)]).first()
+                                 *[F.expr(a) for c in part for a in self._count_aggregates(c)], *texts).first()
             facts.update(row.asDict())
         if facts["rows"] == 0:
             raise AuditError("the table has no rows", "no_rows")
@@ -168,16 +163,20 @@ class TableProfile:
         return (self.counts.get(f"{c.ref}_pinf") or 0) + (self.counts.get(f"{c.ref}_ninf") or 0)
 
     @staticmethod
-    def finite(c: ColumnInfo) -> Column:
-        value = F.col(c.ref).cast("double")
+    def finite_sql(c: ColumnInfo) -> str:
+        value = f"CAST({c.ref} AS DOUBLE)"
         if isinstance(c.kind, (T.FloatType, T.DoubleType)):
-            return F.when(F.abs(value) < F.lit(float("inf")), value)
+            return f"IF(abs({value}) < double('inf'), {value}, NULL)"
         return value
 
+    @classmethod
+    def finite(cls, c: ColumnInfo) -> Column:
+        return F.expr(cls.finite_sql(c))
+
     def is_constant(self, c: ColumnInfo) -> bool:
         """One distinct value, for every group but ``other``."""
         if c.group == "categorical":
-            return self.text_facts[c.ref]["unique"] == 1 if self.non_null(c) else False
+            return bool(self.non_null(c)) and self.text_counts[c.ref]["unique"] == 1
         return self.non_null(c) > 0 and bool(self.counts.get(f"{c.ref}_same"))
 
     # ---- distinct values of text columns --------------------------------
@@ -193,6 +192,15 @@ class TableProfile:
         are digests, so what depends on their whole text is worked out before
         grouping and kept beside the token.
         """
+        found = self._distinct_values(whole=True)
+        return stage(found) if self.reuse and found is not None else found
+
+    @cached_property
+    def tokens(self) -> DataFrame | None:
+        """``values`` without the properties of long text, unless those are kept anyway."""
+        return self.values if self.reuse else self._distinct_values(whole=False)
+
+    def _distinct_values(self, whole: bool) -> DataFrame | None:
         text = self.text_columns()
         if not text:
             return None
@@ -201,23 +209,28 @@ class TableProfile:
         cells = (self.frame.select(*ids, *refs).unpivot(ids, refs, "column", "value")
                  .filter(F.col("value").isNotNull()))
         keys = ["column", "token"]
-        if any(self.counts[f"{r}_long"] for r in refs):
-            value = F.col("value")
+        value = F.col("value")
+        has_long = any(self.counts[f"{r}_long"] for r in refs)
+        if has_long and not whole:
+            cells = cells.select(*ids, "column", X.token(value).alias("token"))
+        elif has_long:
             long_text = F.when(X.is_long(value), value)
+            shown = F.col("value_like")
             cells = (cells.select(*ids, "column", "value", X.strip(long_text).alias("s"))
-                     .select(*ids, "column", "value", "s", F.regexp_replace("s", rf"{X.SPACE}+", " ").alias("p"))
+                     .select(*ids, "column", "value", "s", X.squeeze(F.col("s")).alias("p"),
+                             X.may_be_value(F.col("s")).alias("value_like"))
+                     .select(*ids, "column", "value", "s", "p", X.casefold(F.col("p")).alias("k"), "value_like")
                      .select(*ids, "column", X.token(value).alias("token"),
                              X.token(F.col("s")).alias("long_strip"),
                              X.token(F.col("p")).alias("long_plain"),
-                             X.token(X.casefold(F.col("p"))).alias("long_key"),
-                             X.is_number(F.col("s")).alias("long_number"),
-                             X.date_label(F.col("s")).alias("long_date")))
+                             X.token(F.col("k")).alias("long_key"),
+                             (shown & X.is_number(F.col("s"))).alias("long_number"),
+                             F.when(shown, X.date_label(F.col("s"))).alias("long_date")))
             keys += ["long_strip", "long_plain", "long_key", "long_number", "long_date"]
         else:
             cells = cells.withColumnRenamed("value", "token")
         first = [F.min(ORD).alias("first_ord")] if self.ordered else []
-        found = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first)
-        return stage(found) if self.reuse else found
+        return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first)
 
     @property
     def has_long_text(self) -> bool:
@@ -230,6 +243,10 @@ class TableProfile:
             return from_token
         return F.when(X.is_digest(F.col("token")), F.col(f"long_{name}")).otherwise(from_token)
 
+    def stripped_values(self) -> DataFrame:
+        """``values`` with the stripped text, as a column so that it is worked out once."""
+        return self.values.withColumn("strip", self.derived("strip", X.strip(F.col("token"))))
+
     def first_seen(self, other: str = "token") -> list[Column]:
         return [F.col("first_ord"), F.col(other)] if self.ordered else [F.col(other)]
 
@@ -238,12 +255,10 @@ class TableProfile:
         """Per text column: distinct values, top count, number and date counts."""
         if self.values is None:
             return {}
-        stripped = X.strip(F.col("token"))
-        seen = self.values.select(
-            "column", "n",
-            (self.derived("strip", stripped) == "").alias("blank"),
-            self.derived("number", X.is_number(stripped)).alias("number"),
-            self.derived("date", X.date_label(stripped)).alias("date"))
+        seen = self.stripped_values().select(
+            "column", "n", (F.col("strip") == "").alias("blank"),
+            self.derived("number", X.is_number(F.col("strip"))).alias("number"),
+            self.derived("date", X.date_label(F.col("strip"))).alias("date"))
         labels = [F.sum(F.when(F.col("date") == name, F.col("n"))).alias(name) for name in X.DATE_PATTERNS]
         facts = seen.groupBy("column").agg(
             F.count(F.lit(1)).alias("unique"), F.max("n").alias("top"),
@@ -251,6 +266,14 @@ class TableProfile:
             F.sum(F.when(F.col("number"), F.col("n")).otherwise(0)).alias("numbers"), *labels)
         return {r["column"]: r.asDict() for r in facts.collect()}  # one row per column
 
+    @cached_property
+    def text_counts(self) -> dict[str, dict]:
+        """Per text column: number of distinct values and count of the top one."""
+        if self.reuse or "text_facts" in self.__dict__ or self.tokens is None:
+            return self.text_facts
+        found = self.tokens.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.max("n").alias("top"))
+        return {r["column"]: r.asDict() for r in found.collect()}  # one row per column
+
     def whole_text(self, needed: DataFrame) -> DataFrame:
         """Full text for ``needed`` (column, token) pairs that are digests."""
         refs = [c.ref for c in self.text_columns() if self.counts[f"{c.ref}_long"]]
@@ -274,7 +297,7 @@ class TableProfile:
             if not self.non_null(c):
                 out[c.ref] = 0
             elif c.group == "categorical":
-                out[c.ref] = self.text_facts[c.ref]["unique"]
+                out[c.ref] = self.text_counts[c.ref]["unique"]
             elif c.group == "boolean" or self.is_constant(c):
                 out[c.ref] = 1 if self.is_constant(c) else 2
             elif c.ref in self._distinct:
@@ -385,15 +408,15 @@ class TableProfile:
         return out
 
     def _dominant_text(self, share: float) -> dict[str, tuple[str, int]]:
-        hits = {c.ref: self.text_facts[c.ref]["top"] for c in self.text_columns()
-                if self.text_facts[c.ref]["unique"] > 1
-                and py_pct(self.text_facts[c.ref]["top"], self.non_null(c)) >= share}
+        hits = {c.ref: self.text_counts[c.ref]["top"] for c in self.text_columns()
+                if self.text_counts[c.ref]["unique"] > 1
+                and py_pct(self.text_counts[c.ref]["top"], self.non_null(c)) >= share}
         if not hits:
             return {}
         test = F.lit(False)
         for ref, top in hits.items():
             test = test | ((F.col("column") == ref) & (F.col("n") == F.lit(top)))
-        tied = self.values.filter(test)
+        tied = self.tokens.filter(test)
         best = tied.groupBy("column").agg(F.min_by("token", F.struct(*self.first_seen())).alias("token"))
         rows = {r["column"]: r["token"] for r in best.collect()}  # one row per column
         if any(t.startswith("\x00") for t in rows.values()):

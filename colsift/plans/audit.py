@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from ..config import AuditError, CheckConfig, ReportConfig, ScoreConfig
@@ -19,6 +21,13 @@ from . import score as S
 OPERATORS = dict(zip(S.CHECKS, (
     C.missing_values, duplicates, C.constant_columns, C.near_constant_columns, C.potential_identifiers,
     C.high_cardinality_categories, C.numeric_outliers, C.category_consistency, C.data_type_warnings)))
+# Results that read the data once more when they are looked at; they are kept.
+STAGED = ("numeric_outliers", "category_consistency", "data_type_warnings")
+BRANCHES = (
+    ("duplicates",),
+    ("numeric_outliers",),
+    ("category_consistency", "data_type_warnings", "high_cardinality_categories"),
+)
 BASIC = ("missing_values", "duplicates", "constant_columns")
 ADVANCED = tuple(c for c in S.CHECKS if c not in BASIC)
 
@@ -43,15 +52,32 @@ class Audit:
     def check(self, name: str) -> DataFrame:
         """The result of one check over all tables."""
         if name not in self._checks:
-            if name == "near_constant_columns":  # shares the quartiles of the outlier check
-                self.check("numeric_outliers")
             found = reduce(DataFrame.unionByName, [OPERATORS[name](p) for p in self.profiles])
-            keep = name in ("numeric_outliers", "category_consistency", "data_type_warnings")
-            self._checks[name] = stage(found) if keep else found
+            self._checks[name] = stage(found) if name in STAGED else found
         return self._checks[name]
 
+    def _branch(self, names) -> None:
+        for name in names:
+            self.check(name)
+
     def checks(self, names=S.CHECKS) -> dict[str, DataFrame]:
-        return {n: self.check(n) for n in names}
+        """Several checks by name.
+
+        The three branches share nothing but the first counts, so their jobs
+        run side by side and fill the cluster.
+        """
+        if any(n not in self._checks for n in names):
+            spark = self.profiles[0].spark
+            for p in self.profiles:
+                p.rows
+            with ThreadPoolExecutor(len(BRANCHES)) as pool:
+                runs = [pool.submit(inheritable_thread_target(spark)(self._branch), [n for n in b if n in names])
+                        for b in BRANCHES]
+                for run in runs:
+                    run.result()
+            # shares the quartiles and text facts of the branches
+            self._branch([n for n in names if n not in self._checks])
+        return {n: self._checks[n] for n in names}
 
     @cached_property
     def overview(self) -> DataFrame:

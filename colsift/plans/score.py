@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import COMPONENTS, ScoreConfig
-from ..functions.measures import SEVERITIES, clamp_score, half_even
+from ..functions.measures import SEVERITIES, clamp_score, half_even_sql
 
 CHECKS = ("missing_values", "duplicates", "constant_columns", "near_constant_columns",
           "potential_identifiers", "high_cardinality_categories", "numeric_outliers",
@@ -30,11 +30,11 @@ METHODOLOGY = {
 
 
 def score_completeness(overview: DataFrame) -> DataFrame:
-    return overview.select("dataset", clamp_score(100 - F.col("missing_percentage")).alias("completeness"))
+    return overview.select("dataset", clamp_score("100 - missing_percentage").alias("completeness"))
 
 
 def score_duplicate_free(duplicates: DataFrame) -> DataFrame:
-    return duplicates.select("dataset", clamp_score(100 - F.col("duplicate_percentage")).alias("duplicate_free"))
+    return duplicates.select("dataset", clamp_score("100 - duplicate_percentage").alias("duplicate_free"))
 
 
 def schema_penalties(checks: dict[str, DataFrame], config: ScoreConfig = ScoreConfig()) -> DataFrame:
@@ -64,10 +64,10 @@ def outlier_burden(outliers: DataFrame) -> DataFrame:
 
 def _mean_score(overview: DataFrame, burden: DataFrame, measure: str, columns: str, name: str) -> DataFrame:
     total = burden.groupBy("dataset").agg(F.sum(F.col(measure).cast(EXACT)).cast("double").alias("total"))
-    mean = F.coalesce("total", F.lit(0.0)) / F.col(columns)
+    mean = f"coalesce(total, 0D) / {columns}"
     return (overview.select("dataset", columns).join(total, "dataset", "left")
             .select("dataset", F.when(F.col(columns) == 0, F.lit(100.0))
-                    .otherwise(clamp_score(100 - mean)).alias(name)))
+                    .otherwise(clamp_score(f"100 - {mean}")).alias(name)))
 
 
 def score_schema(overview: DataFrame, checks: dict[str, DataFrame], config: ScoreConfig = ScoreConfig()) -> DataFrame:
@@ -135,10 +135,8 @@ def quality_score(overview: DataFrame, checks: dict[str, DataFrame], config: Sco
              .join(score_category(overview, checks["category_consistency"]), "dataset")
              .join(score_outlier(overview, checks["numeric_outliers"]), "dataset"))
     for c in COMPONENTS:
-        parts = parts.withColumn(f"{c}_contribution", half_even(F.col(c) * F.lit(config.weights[c]), 4))
-    total = F.lit(0.0)
-    for c in COMPONENTS:
-        total = total + F.col(f"{c}_contribution")
+        parts = parts.withColumn(f"{c}_contribution", F.expr(half_even_sql(f"({c} * {float(config.weights[c])!r}D)", 4)))
+    total = " + ".join(f"{c}_contribution" for c in COMPONENTS)
     scored = (parts.withColumn("overall_score", clamp_score(total))
               .withColumn("score_band_status", score_band(F.col("overall_score"), config))
               .join(issue_counts(overview, checks), "dataset"))

@@ -68,7 +68,8 @@ def first_ranked(items: DataFrame, limit: int) -> DataFrame:
     return (items.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
             .join(totals, "dataset")
             .withColumn("returned_count", F.least("total_matching_count", F.lit(limit)))
-            .withColumn("truncated", F.col("total_matching_count") > limit))
+            .withColumn("truncated", F.col("total_matching_count") > limit)
+            .orderBy("dataset", "priority_rank"))
 
 
 def overview_view(overview: DataFrame, metadata: DataFrame) -> DataFrame:

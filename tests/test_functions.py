@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colsift.functions import quantiles as Q
 from colsift.functions import text as X
-from colsift.functions.measures import four_bands, half_even, pct, preview
+from colsift.functions.measures import four_bands, half_even_sql, pct, preview
 
 
 def test_percentages_equal_float_rounding(spark):
@@ -22,7 +22,7 @@ def test_percentages_equal_float_rounding(spark):
 def test_half_even_on_arbitrary_doubles(spark):
     rng = random.Random(3)
     values = [rng.uniform(0, 100) for _ in range(3000)] + [k / 1000 for k in range(0, 3000, 5)]
-    for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", half_even(F.col("v"), 2).alias("r")).collect():
+    for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", F.expr(half_even_sql("v", 2)).alias("r")).collect():
         assert r.r == round(r.v, 2)
 
 
