@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# A side with at most this many narrow rows may be broadcast.
-BROADCAST_ROWS = 500_000
+# A join side is broadcast up to this size, by its counted rows and the most
+# bytes a row can have.
+BROADCAST_BYTES = 64 << 20
+TOKEN_ROW = 320  # column reference and token of at most 64 characters
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -34,9 +36,9 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast when its counted size is within the bound."""
-    return df.hint("broadcast") if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Mark ``df`` for broadcast when its proven size is within the bound."""
+    return df.hint("broadcast") if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def local_table(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:

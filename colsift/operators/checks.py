@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.measures import four_bands, pct, preview, py_pct, severity_rank, three_bands
-from ..functions.stage import local_table, small, stage
-from .profile import ORD, ColumnInfo, TableProfile
+from ..functions.stage import TOKEN_ROW, local_table, small, stage
+from .profile import ORD, ColumnInfo, TableProfile, slices
 
 FACTS = T.StructType([
     T.StructField("dataset", T.StringType()),
@@ -189,10 +189,10 @@ def numeric_outliers(p: TableProfile, include_clean: bool = False) -> DataFrame:
             values[c.ref] = {}
             outside[c.ref] = value  # only infinities
         values[c.ref] |= dict(infinite_count=p.infinite(c), finite_count=p.non_null(c) - p.infinite(c))
-    if asked:
-        row = p.frame.agg(*[f(outside[c.ref]).alias(f"{k}_{c.ref}") for c in asked
+    for part in slices(asked):
+        row = p.frame.agg(*[f(outside[c.ref]).alias(f"{k}_{c.ref}") for c in part
                             for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-        for c in asked:
+        for c in part:
             values[c.ref] |= dict(outlier_count=row[f"n_{c.ref}"], minimum_outlier=row[f"lo_{c.ref}"],
                                   maximum_outlier=row[f"hi_{c.ref}"])
     hits = [c for c in asked if include_clean or values[c.ref]["outlier_count"]]
@@ -272,7 +272,7 @@ def category_consistency(p: TableProfile) -> DataFrame:
     found = keys.count()
     if not found:
         return p.spark.createDataFrame([], CATEGORY_SCHEMA)
-    wanted = small(keys.select(F.col("column").alias("_c"), F.col("key").alias("_k")), found)
+    wanted = small(keys.select(F.col("column").alias("_c"), F.col("key").alias("_k")), found, TOKEN_ROW)
     variants = stage(cells.join(wanted, F.col("column").eqNullSafe(F.col("_c")) & F.col("key").eqNullSafe(F.col("_k")),
                                 "left_semi"))
     if p.has_long_text:
@@ -288,7 +288,7 @@ def category_consistency(p: TableProfile) -> DataFrame:
     listed = (variants.withColumn("place", place).filter(F.col("place") <= cfg.variant_examples)
               .groupBy("column", "key")
               .agg(F.array_sort(F.collect_list(F.struct("place", "raw", "n"))).alias("v")))
-    infos = small(_facts(p, p.text_columns()).withColumnRenamed("column", "name"), len(p.columns))
+    infos = small(_facts(p, p.text_columns()).withColumnRenamed("column", "name"), len(p.columns), 1024)
     return (keys.join(flags, ["column", "key"]).join(listed, ["column", "key"])
             .join(infos, F.col("column") == F.col("ref"))
             .withColumn("affected_percentage", pct("affected_count", "non_null_count"))

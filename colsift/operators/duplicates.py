@@ -31,14 +31,22 @@ def _has_map(kind: T.DataType) -> bool:
     return False
 
 
-def _hashable(p: TableProfile) -> bool:
-    return not any(_has_map(c.kind) or isinstance(c.kind, T.VariantType) for c in p.columns)
+def _hashable(rows: DataFrame) -> bool:
+    return not any(_has_map(f.dataType) for f in rows.schema.fields)
+
+
+def _plain(c) -> Column:
+    """A column in a form that rows can be grouped and hashed by."""
+    col = F.col(c.ref)
+    if isinstance(c.kind, T.VariantType):
+        return F.to_json(col)
+    if isinstance(c.kind, T.MapType) and not _has_map(c.kind.keyType) and not _has_map(c.kind.valueType):
+        return F.array_sort(F.map_entries(col))
+    return col
 
 
 def _rows(p: TableProfile) -> DataFrame:
-    """The table with every column in a form that rows can be grouped by."""
-    cols = [(F.col(c.ref).cast("string") if isinstance(c.kind, T.VariantType) else F.col(c.ref)).alias(c.ref)
-            for c in p.columns]
+    cols = [_plain(c).alias(c.ref) for c in p.columns]
     return p.frame.select(*cols, *([ORD] if p.ordered else []))
 
 
@@ -51,11 +59,11 @@ def repeated_rows(p: TableProfile, hash_first: bool | None = None, first: bool =
     rows = _rows(p)
     if hash_first is None:
         hash_first = p.rows > WHOLE_ROW_LIMIT
-    if hash_first and _hashable(p):
+    if hash_first and _hashable(rows):
         row_hash = F.xxhash64(*refs)
         hashes = stage(rows.select(row_hash.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
                        .filter("n > 1").select("_h"))
-        rows = rows.withColumn("_h", row_hash).join(small(hashes, hashes.count()), "_h", "left_semi").drop("_h")
+        rows = rows.withColumn("_h", row_hash).join(small(hashes, hashes.count(), 16), "_h", "left_semi").drop("_h")
     least = [F.min(ORD).alias("first")] if first else []
     return rows.groupBy(*refs).agg(F.count(F.lit(1)).alias("n"), *least).filter("n > 1")
 
@@ -63,18 +71,18 @@ def repeated_rows(p: TableProfile, hash_first: bool | None = None, first: bool =
 def _examples(p: TableProfile, groups: DataFrame, count: int) -> list[str]:
     """Order keys of the first extra copies.
 
-    Rows are counted per group and order key, so a hot group shrinks before it
-    is moved. In a group every copy but one at the least key is extra.
+    Rows move as a 128-bit digest with their order key, counted per key first,
+    so neither wide rows nor a hot group reach one task. In a group every copy
+    but one at the least key is extra.
     """
     limit = p.config.duplicate_examples
     refs = [c.ref for c in p.columns]
-    row_hash = F.xxhash64(*refs) if _hashable(p) else F.lit(0)
-    same = [F.col(f"a.{r}").eqNullSafe(F.col(f"b.{r}")) for r in refs]
-    copies = (_rows(p).withColumn("_h", row_hash).alias("a")
-              .join(small(groups.withColumn("_h", row_hash), count).alias("b"),
-                    [F.col("a._h") == F.col("b._h"), *same])
-              .groupBy(*[F.col(f"a.{r}").alias(r) for r in refs], ORD, "first")
-              .agg(F.count(F.lit(1)).alias("copies")))
+    digest = [F.xxhash64(*refs).alias("_h"), F.xxhash64(F.lit(1), *refs).alias("_g")]
+    firsts = groups.select(*digest, "first")
+    if not isinstance(groups.schema["first"].dataType, (T.StringType, T.BinaryType, T.StructType)):
+        firsts = small(firsts, count, 40)
+    copies = (_rows(p).select(*digest, ORD).join(firsts, ["_h", "_g"])
+              .groupBy("_h", "_g", ORD, "first").agg(F.count(F.lit(1)).alias("copies")))
     extra = F.col("copies") - F.when(F.col(ORD) == F.col("first"), 1).otherwise(0)
     top = (copies.select(ORD, extra.alias("extra")).filter("extra > 0").orderBy(ORD).limit(limit)
            .select(F.col(ORD).cast("string").alias("id"), F.least("extra", F.lit(limit)).cast("int").alias("extra")))
@@ -84,7 +92,7 @@ def _examples(p: TableProfile, groups: DataFrame, count: int) -> list[str]:
 
 def duplicates(p: TableProfile, *, examples: bool = True, hash_first: bool | None = None) -> DataFrame:
     """One row with the counts of exact duplicate rows."""
-    examples = examples and p.ordered and p.config.duplicate_examples > 0
+    examples = examples and p.ordered and p.config.duplicate_examples > 0 and _hashable(_rows(p))
     groups = repeated_rows(p, hash_first, first=examples)
     if examples:
         groups = stage(groups)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from ..config import AuditError, CheckConfig
 from ..functions import quantiles as Q
 from ..functions import text as X
 from ..functions.measures import py_pct
-from ..functions.stage import small, stage
+from ..functions.stage import TOKEN_ROW, small, stage
 
 # columns per aggregate; wider tables are profiled in several column slices
 SLICE = 80
@@ -65,6 +66,10 @@ class ColumnInfo:
         return X.has_identifier_name(self.name)
 
 
+def slices(columns: list, size: int = SLICE) -> list[list]:
+    return [columns[i:i + size] for i in range(0, len(columns), size)]
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -88,8 +93,8 @@ class TableProfile:
 
     ``order_by`` names the columns that define row order for "first" examples;
     ``row_id`` names one column with that role which is not itself audited.
-    Without either, examples come in value order. ``reuse`` stages the text
-    values so that several checks can read them.
+    Without either, examples come in value order. ``reuse`` says that several
+    checks will follow, so that all text checks read one staged table.
     """
 
     def __init__(self, df: DataFrame, dataset: str = "table", *, order_by=None,
@@ -99,6 +104,8 @@ class TableProfile:
         self.dataset = dataset
         self.config = config or CheckConfig()
         self.reuse = reuse
+        self._lock = Lock()
+        self._staged: DataFrame | None = None
         self.columns = column_types(df, (row_id,) if row_id else ())
         check_names([c.name for c in self.columns])
         keys = [row_id] if row_id else ([order_by] if isinstance(order_by, str) else list(order_by or ()))
@@ -142,8 +149,7 @@ class TableProfile:
     @cached_property
     def counts(self) -> dict:
         facts: dict = {}
-        for i in range(0, len(self.columns), SLICE):
-            part = self.columns[i:i + SLICE]
+        for part in slices(self.columns):
             texts = [F.max(X.is_long(F.col(c.ref))).alias(f"{c.ref}_long") for c in part if c.group == "categorical"]
             row = self.frame.agg(F.count(F.lit(1)).alias("rows"),
                                  *[F.expr(a) for c in part for a in self._count_aggregates(c)], *texts).first()
@@ -184,7 +190,7 @@ class TableProfile:
     def text_columns(self) -> list[ColumnInfo]:
         return [c for c in self.of_group("categorical") if self.non_null(c)]
 
-    @cached_property
+    @property
     def values(self) -> DataFrame | None:
         """Distinct values of all text columns with their row counts.
 
@@ -192,8 +198,10 @@ class TableProfile:
         are digests, so what depends on their whole text is worked out before
         grouping and kept beside the token.
         """
-        found = self._distinct_values(whole=True)
-        return stage(found) if self.reuse and found is not None else found
+        with self._lock:  # checks may run side by side
+            if self._staged is None and self.text_columns():
+                self._staged = stage(self._distinct_values(whole=True))
+        return self._staged
 
     @cached_property
     def tokens(self) -> DataFrame | None:
@@ -281,7 +289,7 @@ class TableProfile:
         cells = (self.frame.select(*refs).unpivot([], refs, "column", "text")
                  .filter(X.is_long(F.col("text"))).withColumn("token", X.token(F.col("text"))))
         needed = stage(needed)
-        return (cells.join(small(needed, needed.count()), ["column", "token"], "left_semi")
+        return (cells.join(small(needed, needed.count(), TOKEN_ROW), ["column", "token"], "left_semi")
                 .groupBy("column", "token").agg(F.any_value("text").alias("text")))
 
     # ---- distinct counts -------------------------------------------------
@@ -304,8 +312,7 @@ class TableProfile:
                 out[c.ref] = self._distinct[c.ref]
             else:
                 ask.append(c)
-        for i in range(0, len(ask), DISTINCT_SLICE):
-            part = ask[i:i + DISTINCT_SLICE]
+        for part in slices(ask, DISTINCT_SLICE):
             row = self.frame.agg(*[F.count_distinct(c.ref).alias(c.ref) for c in part]).first()
             self._distinct.update(row.asDict())
         return out | {c.ref: self._distinct[c.ref] for c in ask}
@@ -325,10 +332,12 @@ class TableProfile:
         same = {c.ref: [self.counts[f"{c.ref}_min"]] * 2 for c in asked
                 if self.counts[f"{c.ref}_min"] == self.counts[f"{c.ref}_max"]}
         asked = [c for c in asked if c.ref not in same]
-        return same | Q.quantiles(
-            self.frame, {c.ref: self.finite(c) for c in asked},
-            {c.ref: self.non_null(c) - self.infinite(c) for c in asked},
-            {c.ref: (self.counts[f"{c.ref}_min"], self.counts[f"{c.ref}_max"]) for c in asked})
+        for part in slices(asked):
+            same |= Q.quantiles(
+                self.frame, {c.ref: self.finite(c) for c in part},
+                {c.ref: self.non_null(c) - self.infinite(c) for c in part},
+                {c.ref: (self.counts[f"{c.ref}_min"], self.counts[f"{c.ref}_max"]) for c in part})
+        return same
 
     @staticmethod
     def ordinal(c: ColumnInfo) -> Column:

@@ -26,7 +26,8 @@ STAGED = ("numeric_outliers", "category_consistency", "data_type_warnings")
 BRANCHES = (
     ("duplicates",),
     ("numeric_outliers",),
-    ("category_consistency", "data_type_warnings", "high_cardinality_categories"),
+    ("category_consistency",),
+    ("data_type_warnings", "high_cardinality_categories"),
 )
 BASIC = ("missing_values", "duplicates", "constant_columns")
 ADVANCED = tuple(c for c in S.CHECKS if c not in BASIC)
@@ -63,8 +64,8 @@ class Audit:
     def checks(self, names=S.CHECKS) -> dict[str, DataFrame]:
         """Several checks by name.
 
-        The three branches share nothing but the first counts, so their jobs
-        run side by side and fill the cluster.
+        The branches share the first counts and the text values only, so their
+        jobs run side by side and fill the cluster.
         """
         if any(n not in self._checks for n in names):
             spark = self.profiles[0].spark
