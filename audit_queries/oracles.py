@@ -34,8 +34,14 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def rounded(x: str, places: int) -> str:
+    """Rounding of a double by its exact binary value, as printf does it."""
+    return f"CAST(printf('%.{places}f', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
 def pct(a: str, b: str) -> str:
-    return f"(CASE WHEN {b} = 0 THEN 0.0 ELSE round_even({a} / CAST({b} AS DOUBLE) * 100.0, 2) END)"
+    share = f"{a} / CAST({b} AS DOUBLE) * 100.0"
+    return f"(CASE WHEN {b} = 0 THEN 0.0 ELSE {rounded(share, 2)} END)"
 
 
 def bands4(n: str, p: str, b) -> str:
@@ -153,8 +159,8 @@ FROM (SELECT {x} AS x FROM d), (SELECT quantile_cont({x}, 0.25) AS q1, quantile_
     p = pct("outs", "n")
     return f"""SELECT {q(name)} AS dataset, o.col AS "column", dtype, 'OUTLIERS_DETECTED' AS status,
  {bands4('outs', p, (1, 5, 10))} AS severity, 'IQR' AS method, CAST(1.5 AS DOUBLE) AS iqr_multiplier, n AS non_null_count, n - infs AS finite_count,
- infs AS infinite_count, round_even(q1, 4) AS q1, round_even(q3, 4) AS q3, round_even(q3 - q1, 4) AS iqr,
- round_even(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, round_even(q3 + 1.5 * (q3 - q1), 4) AS upper_bound,
+ infs AS infinite_count, {rounded('q1', 4)} AS q1, {rounded('q3', 4)} AS q3, {rounded('q3 - q1', 4)} AS iqr,
+ {rounded('q1 - 1.5 * (q3 - q1)', 4)} AS lower_bound, {rounded('q3 + 1.5 * (q3 - q1)', 4)} AS upper_bound,
  outs AS outlier_count, {p} AS outlier_percentage, lo AS minimum_outlier, hi AS maximum_outlier,
  {q(ADVICE['OUTLIERS_DETECTED'])} AS recommendation
 FROM ({' UNION ALL '.join(parts)}) o JOIN t ON t.col = o.col WHERE outs > 0"""
@@ -276,7 +282,7 @@ def _chain() -> str:
     schema = " UNION ALL ".join(f'SELECT "column", {penalty} AS p FROM ({CHECK_SQL[c]}) x' for c in
                                 ("constant_columns", "near_constant_columns", "potential_identifiers", "high_cardinality_categories",
                                  "data_type_warnings"))
-    clamp = lambda x: f"round_even(greatest(0.0, least(100.0, {x})), 2)"
+    clamp = lambda x: rounded(f"greatest(0.0, least(100.0, {x}))", 2)
     return f"""issues0 AS ({union}),
 issues1 AS ({ranked}),
 issues AS (SELECT *, printf('ISSUE-%03d', priority_rank) AS issue_id FROM issues1),
@@ -291,7 +297,7 @@ parts AS (SELECT dataset, {clamp('100 - missing_percentage')} AS completeness, {
        {clamp(f'100 - (SELECT coalesce(sum(schema_penalty), 0) FROM sp) / {len(inputs.COLUMNS)}')} AS schema_usability,
        {clamp(f'100 - (SELECT coalesce(sum(category_affected_percentage), 0) FROM cb) / {len(inputs.TEXT)}')} AS categorical_consistency,
        {clamp(f'100 - (SELECT coalesce(sum(outlier_percentage), 0) FROM ob) / {len(inputs.NUMERIC)}')} AS outlier_risk FROM ov),
-contrib AS (SELECT *, {', '.join(f'round_even({c} * {w}, 4) AS {c}_contribution' for c, w in WEIGHTS.items())} FROM parts),
+contrib AS (SELECT *, {', '.join(f'{rounded(f'{c} * CAST({w} AS DOUBLE)', 4)} AS {c}_contribution' for c, w in WEIGHTS.items())} FROM parts),
 counts AS (SELECT count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high,
        count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low, count(*) AS issue_count_total FROM issues0),
 score0 AS (SELECT *, {clamp(' + '.join(f'{c}_contribution' for c in WEIGHTS))} AS overall_score FROM contrib CROSS JOIN counts),
