@@ -9,12 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import AuditError, IntakeConfig
 from ..functions import text as X
+from ..functions.stage import stage
 from ..operators.profile import SLICE, check_names, quoted
 
 # Texts that a CSV cell may hold for a missing value.
@@ -29,6 +29,7 @@ CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in CP1252_UNUS
 # The binary source holds one file in one value, at most this long.
 BINARY_LIMIT = 2**31 - 1 - 1024
 HEAD_LINES = 20
+HEAD_BYTES = 1 << 20
 # Fixed value: the line ends of decoded text.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -87,41 +88,43 @@ def file_encoding(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> Da
                         F.when(F.col("content").isNotNull() & name.isNull(), "unsupported_encoding").alias("code"))
 
 
-def head_lines(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
-    """The first non-blank lines of every file: path, ordinal from 1, line."""
-    content = F.col("content")
-    lines = F.split(decoded(content, encoding(content, config.encodings)), LINE_END)
-    kept = F.slice(F.filter(lines, lambda x: X.strip(x) != ""), 1, HEAD_LINES)
-    return (files.filter(content.isNotNull()).select("path", F.posexplode(kept).alias("ordinal", "line"))
-            .withColumn("ordinal", F.col("ordinal") + 1))
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, LINE_END), lambda x: X.strip(x) != "")
 
 
-def detect_delimiter(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
-    """The delimiter of every file, from how evenly the lines of its head are split.
+def head_lines(content: Column, kind: Column) -> Column:
+    """The first non-blank lines of a file.
+
+    The first megabyte usually holds them; its last line may be cut and does
+    not count. Only a file with longer lines is split as a whole.
+    """
+    start = _lines(decoded(F.substring(content, 1, HEAD_BYTES), kind))
+    start = F.when(F.octet_length(content) <= HEAD_BYTES, start).otherwise(
+        F.slice(start, F.lit(1), F.greatest(F.size(start) - 1, F.lit(0))))
+    enough = (F.octet_length(content) <= HEAD_BYTES) | (F.size(start) >= HEAD_LINES)
+    return F.slice(F.when(enough, start).otherwise(_lines(decoded(content, kind))), 1, HEAD_LINES)
+
 
-    Delimiters outside quotes are counted per line. One that occurs equally
-    often in the most lines wins, then the one with the higher count; where no
-    line repeats the header's count, the most frequent in the header wins. A
-    file without any falls back to the first delimiter.
+def delimiter_of(lines: Column, delimiters=IntakeConfig.delimiters) -> Column:
+    """The delimiter that splits the lines most evenly.
+
+    Delimiters outside quotes are counted per line. One that occurs as often as
+    in the header in the most lines wins, then the one with the higher count.
+    A head without any falls back to the first delimiter.
     """
-    heads = head_lines(files, config)
-    unquoted = F.regexp_replace("line", '"[^"]*"', "")
-    counts = F.array(*[
-        F.struct(F.lit(i).alias("place"), F.lit(d).alias("delimiter"),
-                 (F.char_length(unquoted) - F.char_length(F.replace(unquoted, F.lit(d), F.lit("")))).alias("n"))
-        for i, d in enumerate(config.delimiters)])
-    cells = heads.select("path", "ordinal", F.inline(counts))
-    in_header = F.max(F.when(F.col("ordinal") == 1, F.col("n"))).over(W.partitionBy("path", "place"))
-    ranked = (cells.withColumn("header", in_header)
-              .groupBy("path", "place", "delimiter")
-              .agg(F.max("header").alias("header"),
-                   F.count_if((F.col("n") == F.col("header")) & (F.col("n") > 0)).alias("even")))
-    best = ranked.groupBy("path").agg(F.max_by("delimiter", F.struct("even", "header", -F.col("place"))).alias("delimiter"))
-    return files.select("path").join(best, "path", "left").select(
-        "path", "delimiter", F.when(F.col("delimiter").isNull(), "empty_file").alias("code"))
-
-
-def _header_names(line: Column, delimiter: Column) -> Column:
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, '"[^"]*"', ""))
+
+    def score(place: int, delimiter: str) -> Column:
+        counts = F.transform(bare, lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(delimiter), F.lit(""))))
+        header = F.get(counts, F.lit(0))
+        even = F.size(F.filter(counts, lambda n: (n > 0) & (n == header)))
+        return F.struct(even.alias("even"), header.alias("header"), F.lit(-place).alias("place"), F.lit(delimiter).alias("delimiter"))
+
+    scores = [score(i, d) for i, d in enumerate(delimiters)]
+    return F.when(F.size(lines) > 0, F.array_max(F.array(*scores))["delimiter"])
+
+
+def header_names(line: Column, delimiter: Column) -> Column:
     """Names of a header line; quoted names may hold the delimiter."""
     split = F.regexp_extract_all(
         F.concat(delimiter, line),
@@ -131,44 +134,63 @@ def _header_names(line: Column, delimiter: Column) -> Column:
         F.replace(F.substring(x, F.lit(2), F.char_length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
-def validate_header(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
-    """Header names, blank names and repeated names of every file.
+def _with_head(files: DataFrame, config: IntakeConfig) -> DataFrame:
+    """File facts and header, worked out row by row: the bytes are read once and never shuffled.
 
-    The raw line is looked at, because a CSV reader renames repeated columns.
+    Adds encoding, lines, delimiter and names; all null where content is.
     """
-    first = head_lines(files, config).filter("ordinal = 1")
-    heads = first.join(detect_delimiter(files, config).select("path", "delimiter"), "path")
-    names = heads.select("path", "delimiter", _header_names(F.col("line"), F.col("delimiter")).alias("names"))
+    step = files.withColumn("encoding", encoding(F.col("content"), config.encodings))
+    step = step.withColumn("lines", head_lines(F.col("content"), F.col("encoding")))
+    step = step.withColumn("delimiter", delimiter_of(F.col("lines"), config.delimiters))
+    return step.withColumn("names", header_names(F.get("lines", F.lit(0)), F.col("delimiter")))
+
+
+def detect_delimiter(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
+    return _with_head(files, config).select("path", "delimiter", F.when(F.size("lines") == 0, "empty_file").alias("code"))
+
+
+def _header(heads: DataFrame, config: IntakeConfig) -> DataFrame:
     folded = F.transform("names", lambda x: X.casefold(X.strip(x)))
     repeated = F.filter(F.array_distinct("folded"), lambda x: (x != "") & (
         F.size(F.filter("folded", lambda y: y == x)) > 1))
-    out = names.withColumn("folded", folded).select(
-        "path", "delimiter", "names", F.size("names").alias("column_count"),
-        F.size(F.filter("folded", lambda x: x == "")).alias("blank_names"), F.array_sort(repeated).alias("repeated_names"))
-    out = files.select("path").join(out, "path", "left")
+    out = (heads.withColumn("folded", folded)
+           .withColumn("column_count", F.when(F.col("names").isNotNull(), F.size("names")))
+           .withColumn("blank_names", F.when(F.col("names").isNotNull(), F.size(F.filter("folded", lambda x: x == ""))))
+           .withColumn("repeated_names", F.array_sort(repeated)))
     too_many = F.lit(False) if config.max_columns is None else F.col("column_count") > config.max_columns
-    return out.withColumn("code", F.when(F.col("names").isNull() | (F.col("column_count") == 0), "missing_columns")
+    return out.withColumn("header_code", F.when(F.size("lines") == 0, "missing_columns")
                           .when(F.size("repeated_names") > 0, "duplicate_columns")
                           .when(too_many, "too_many_columns"))
 
 
-def file_manifest(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
-    """One row per file: its facts and the code of the first rule it breaks."""
-    name, content = file_name(F.col("path")), F.col("content")
-    length = F.col("length")
-    kind = encoding(content, config.encodings)
+def validate_header(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
+    """Header names, blank names and repeated names of every file.
+
+    The raw line is looked at, because a CSV reader renames repeated columns.
+    """
+    return _header(_with_head(files, config), config).select(
+        "path", "delimiter", "names", "column_count", "blank_names", "repeated_names", F.col("header_code").alias("code"))
+
+
+def _manifest(files: DataFrame, config: IntakeConfig) -> DataFrame:
+    heads = _header(_with_head(files, config), config)
+    name, content, length = file_name(F.col("path")), F.col("content"), F.col("length")
     too_large = F.lit(False) if config.max_bytes is None else length > config.max_bytes
     code = (F.when(~F.lower(name).rlike(r"(?s).\.csv\z"), "invalid_extension")
             .when(length == 0, "empty_file")
             .when(too_large, "file_too_large")
-            .when(F.instr(_latin(content), "\x00") > 0, "binary_content")
-            .when(content.isNotNull() & kind.isNull(), "unsupported_encoding")
-            .when(X.strip(decoded(content, kind)) == "", "empty_file"))
-    out = files.select("path", name.alias("file_name"), length.alias("file_size_bytes"), kind.alias("encoding"),
-                       F.sha2(content, 256).alias("fingerprint_sha256"), code.alias("code"))
-    header = validate_header(files, config).select("path", "delimiter", "column_count", "blank_names",
-                                                   F.col("code").alias("header_code"))
-    return out.join(header, "path", "left").withColumn("code", F.coalesce("code", "header_code")).drop("header_code")
+            .when(F.contains(content.cast("string"), F.lit("\x00")), "binary_content")
+            .when(content.isNotNull() & F.col("encoding").isNull(), "unsupported_encoding")
+            .when(F.size("lines") == 0, "empty_file")
+            .otherwise(F.col("header_code")))
+    return heads.select("path", name.alias("file_name"), length.alias("file_size_bytes"), "encoding",
+                        F.sha2(content, 256).alias("fingerprint_sha256"), code.alias("code"), "delimiter", "column_count",
+                        "blank_names", "names")
+
+
+def file_manifest(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
+    """One row per file: its facts and the code of the first rule it breaks."""
+    return _manifest(files, config).drop("names")
 
 
 # ---- typed scan ------------------------------------------------------------
@@ -185,23 +207,21 @@ class CsvFormat:
 
 def detect_format(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig()) -> CsvFormat:
     """The common format of the files below ``path``; raises on the first broken rule."""
-    manifest = file_manifest(read_files(spark, path), config)
+    manifest = stage(_manifest(read_files(spark, path), config))
     broken = manifest.filter("code IS NOT NULL").orderBy("path").select("file_name", "code").first()
     if broken:
         raise AuditError(f"{broken['file_name']}: {broken['code']}", broken["code"])
-    kinds = manifest.groupBy().agg(F.count_distinct("delimiter", "column_count").alias("n"),
-                                   F.max("encoding").alias("encoding"), F.min("encoding").alias("other"),
-                                   F.min("path").alias("path")).first()
-    if kinds["path"] is None:
-        raise AuditError(f"no files below {path}", "empty_file")
-    headers = validate_header(read_files(spark, path), config)
-    lists = headers.select("names", "delimiter").distinct().limit(2).collect()  # at most two header lines
-    if kinds["n"] > 1 or len(lists) > 1:
+    known = manifest.filter("names IS NOT NULL")
+    heads = known.select("names", "delimiter").distinct().limit(2).collect()  # at most two header lines
+    if not heads:
+        raise AuditError(f"no file below {path} shows its header", "empty_file")
+    if len(heads) > 1:
         raise AuditError("the files do not share one header", "header_mismatch")
-    if kinds["encoding"] != kinds["other"]:
+    kinds = [r["encoding"] for r in known.select("encoding").distinct().limit(2).collect()]
+    if len(kinds) > 1:
         raise AuditError("the files do not share one encoding", "encoding_mismatch")
-    names = [n if n.strip() else f"Unnamed: {i}" for i, n in enumerate(lists[0]["names"])]
-    return CsvFormat(tuple(names), lists[0]["delimiter"], kinds["encoding"])
+    names = [n if n.strip() else f"Unnamed: {i}" for i, n in enumerate(heads[0]["names"])]
+    return CsvFormat(tuple(names), heads[0]["delimiter"], kinds[0])
 
 
 def read_text_columns(spark: SparkSession, path: str, fmt: CsvFormat, multi_line: bool = False) -> DataFrame:

@@ -106,3 +106,13 @@ def test_preview_limits(spark):
     for bad in (0, 101, True, "5"):
         with pytest.raises(AuditError):
             sinks.preview_rows(df, "id", bad)
+
+
+def test_heads_longer_than_the_first_read(spark, file, monkeypatch):
+    monkeypatch.setattr(X, "HEAD_BYTES", 64)
+    wide = ";".join(f"column {i}" for i in range(40))
+    row = ";".join("é" * 3 for _ in range(40))
+    fmt = X.detect_format(spark, file(f"\n{wide}\n" + f"{row}\n" * 3))
+    assert fmt.delimiter == ";" and len(fmt.names) == 40 and fmt.names[-1] == "column 39"
+    many = X.detect_format(spark, file("a|b\n" + "1|2\n" * 100, "u.csv"))
+    assert many.delimiter == "|" and many.names == ("a", "b")
