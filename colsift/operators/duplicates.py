@@ -83,7 +83,7 @@ def _examples(p: TableProfile, groups: DataFrame, count: int) -> list[str]:
         firsts = small(firsts, count, 40)
     copies = (_rows(p).select(*digest, ORD).join(firsts, ["_h", "_g"])
               .groupBy("_h", "_g", ORD, "first").agg(F.count(F.lit(1)).alias("copies")))
-    extra = F.col("copies") - F.when(F.col(ORD) == F.col("first"), 1).otherwise(0)
+    extra = F.col("copies") - F.when(F.col(ORD).eqNullSafe(F.col("first")), 1).otherwise(0)
     top = (copies.select(ORD, extra.alias("extra")).filter("extra > 0").orderBy(ORD).limit(limit)
            .select(F.col(ORD).cast("string").alias("id"), F.least("extra", F.lit(limit)).cast("int").alias("extra")))
     ids = [r["id"] for r in top.collect() for _ in range(r["extra"])]  # at most ``limit`` rows

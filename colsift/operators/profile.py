@@ -124,6 +124,8 @@ class TableProfile:
             return F.when(~F.isnan(col), col)
         if isinstance(c.kind, (T.CharType, T.VarcharType)):
             return col.cast("string")
+        if isinstance(c.kind, T.StringType) and c.kind.collation != "UTF8_BINARY":
+            return F.collate(col, "UTF8_BINARY")  # values are told apart by their bytes
         return col
 
     def of_group(self, *groups: str) -> list[ColumnInfo]:

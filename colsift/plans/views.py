@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import COMPONENTS, AuditError, ScoreConfig
+from ..functions import text as X
 from ..functions.measures import SEVERITIES, severity_rank
 from ..operators.overview import GROUPS
 from .report import COUNTS, DISCLAIMER
 from .score import CHECKS
 
 DEFAULT_LIMIT = 10
+MAX_LIMIT = 25
 
 # What a finding means for model preparation.
 ML_CATEGORIES = {
@@ -31,7 +33,7 @@ NOT_ASSESSED = ("target_column", "target_balance", "data_leakage", "train_valida
                 "fairness", "deployment_readiness")
 
 
-def check_limit(limit: int, most: int = 100) -> int:
+def check_limit(limit: int, most: int = MAX_LIMIT) -> int:
     if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= most:
         raise AuditError(f"the limit must be a whole number from 1 to {most}", "invalid_limit")
     return limit
@@ -54,10 +56,29 @@ def check_severity(name: str) -> str:
 
 
 def same_column(column: str | None) -> Column:
-    """Column filter: the exact name, or the name without regard to case and outer blanks."""
+    """Column filter: the name without regard to case and outer blanks.
+
+    Names that differ in no more than that cannot meet in one table.
+    """
     if column is None:
         return F.lit(True)
-    return F.lower(F.trim("column")) == column.strip().lower()
+    if not column.strip():
+        raise AuditError("the column name is empty", "empty_column_name")
+    return X.casefold(X.strip(F.col("column"))) == column.strip().casefold()
+
+
+def audited_columns(overview: DataFrame) -> DataFrame:
+    """Every audited column with its group."""
+    kinds = F.array(*[F.struct(F.lit(g).alias("column_type"), F.col(f"{g}_columns").alias("names")) for g in GROUPS])
+    return overview.select("dataset", F.inline(kinds)).select("dataset", "column_type", F.explode("names").alias("column"))
+
+
+def require_column(overview: DataFrame, column: str) -> str:
+    """The exact name of a column; an error when no audited table has it."""
+    hit = audited_columns(overview).filter(same_column(column)).select("column").first()
+    if hit is None:
+        raise AuditError(f"no audited table has a column {column!r}", "unknown_column")
+    return hit["column"]
 
 
 def first_ranked(items: DataFrame, limit: int) -> DataFrame:
@@ -110,9 +131,7 @@ def duplicate_view(overview: DataFrame, issues: DataFrame) -> DataFrame:
 
 def column_summary(column: str, overview: DataFrame, issues: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Group, issue counts and score burden of one column; empty if no table has it."""
-    kinds = F.array(*[F.struct(F.lit(g).alias("column_type"), F.col(f"{g}_columns").alias("names")) for g in GROUPS])
-    known = (overview.select("dataset", F.inline(kinds)).select("dataset", "column_type", F.explode("names").alias("column"))
-             .filter(same_column(column)))
+    known = audited_columns(overview).filter(same_column(column))
     counts = issues.filter(same_column(column)).groupBy("dataset").agg(
         *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES], F.count(F.lit(1)).alias("issue_count"))
     return (known.join(counts, "dataset", "left").na.fill(0, [*COUNTS, "issue_count"])

@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from ..plans.views import check_limit, issues_table
 
 
+MAX_PREVIEW = 100
+
+
 def finite_only(value, kind: T.DataType):
     """``value`` with every non-finite number in it replaced by null."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -42,4 +45,4 @@ def write_issues_csv(issues: DataFrame, path: str) -> None:
 def preview_rows(df: DataFrame, order_by, limit: int = 25) -> DataFrame:
     """The first rows of a table."""
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    return df.orderBy(*[F.col(f"`{k}`") for k in keys]).limit(check_limit(limit))
+    return df.orderBy(*[F.col(f"`{k}`") for k in keys]).limit(check_limit(limit, MAX_PREVIEW))

@@ -91,10 +91,14 @@ def test_views(two):
     assert view[0].total_matching_count == dirty.filter("severity IN ('CRITICAL', 'HIGH')").count()
     assert {r.column for r in V.missing_view(two.issues, column=" NOTES ").collect()} == {"notes"}
     assert V.column_summary("age", two.overview, two.issues, two.diagnostics).first()["is_clean"]
+    assert V.require_column(two.overview, " REF_code ") == "ref_code"
     assert V.column_summary("nope", two.overview, two.issues, two.diagnostics).isEmpty()
     assert V.priority_view(two.issues, check="Category-Consistency").count() == 5
     assert {r.has_exact_duplicates for r in V.duplicate_view(two.overview, two.issues).collect()} == {True, False}
     for call, code in ((lambda: V.missing_view(two.issues, limit=0), "invalid_limit"),
+                       (lambda: V.missing_view(two.issues, limit=26), "invalid_limit"),
+                       (lambda: V.missing_view(two.issues, column=" "), "empty_column_name"),
+                       (lambda: V.require_column(two.overview, "nope"), "unknown_column"),
                        (lambda: V.missing_view(two.issues, limit=True), "invalid_limit"),
                        (lambda: V.missing_view(two.issues, min_percentage=101), "invalid_percentage"),
                        (lambda: V.priority_view(two.issues, min_severity="huge"), "unknown_severity"),

@@ -237,3 +237,16 @@ def test_wide_table_in_slices(spark):
     got = by_column(C.missing_values(TableProfile(df)))
     assert len(got) == 190 and all(r["non_missing_count"] == 50 for r in got.values())
     assert math.isclose(len(C.potential_identifiers(TableProfile(df)).collect()), 95)
+
+
+def test_collated_text_is_compared_by_its_bytes(spark):
+    df = spark.sql("SELECT collate(v, 'UTF8_LCASE') AS v, 'k' AS k FROM VALUES ('Gold'), ('GOLD'), ('gold ') AS t(v)")
+    p = TableProfile(df)
+    assert C.category_consistency(p).first()["variant_count"] == 3
+    assert duplicates(p).first()["duplicate_rows"] == 0 and not by_column(C.constant_columns(p)).get("v")
+
+
+def test_rows_without_an_order_key_still_count_once(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b"), (None, "b")], "i long, v string")
+    r = duplicates(TableProfile(df, row_id="i")).first()
+    assert r.duplicate_rows == 2 and len(r.example_duplicate_indices) == 2
