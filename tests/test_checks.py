@@ -85,7 +85,8 @@ def test_cardinality_is_configurable(spark):
 def test_outliers(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, 3, 4, 5, 100, -90, 80])], "i int, v double")
     got = by_column(C.numeric_outliers(TableProfile(df.select("v", "i"), order_by="i")))
-    assert got["v"]["example_outlier_values"] == [-90.0] or got["v"]["outlier_count"] >= 1
+    assert got["v"]["example_outlier_values"] == [100.0, -90.0, 80.0] and got["v"]["outlier_count"] == 3
+    assert (got["v"]["q1"], got["v"]["q3"]) == (1.75, 23.75)
     clean = spark.createDataFrame([(float(i), "abcde"[i - 1]) for i in range(1, 6)], "clean double, label string")
     assert not C.numeric_outliers(TableProfile(clean)).collect()
     kept = by_column(C.numeric_outliers(TableProfile(clean), include_clean=True))
