@@ -143,22 +143,25 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, percent: int = PERCENT) ->
     need = F.least(F.ceil(F.col("n") * percent / 100), F.lit(required(k, percent)))
     rank = size - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "value"))
     oddness = -F.round(F.sum(F.log2("holders")).over(own) / size, 3)
-    lists = staged(held.withColumns({"rank": rank, "odd": oddness}).where(F.col("rank") <= size - need + 1).select("value", "node", "n", "odd", "rank"), "lists")
+    last = F.lag("value").over(own.orderBy("holders", "value"))
+    lists = staged(held.withColumns({"rank": rank, "odd": oddness, "last": last}).where(F.col("rank") <= size - need + 1)
+                   .select("value", "node", "n", "odd", "rank", "last"), "lists")
 
     first = lists.groupBy("value").agg(F.min(F.struct("odd", "node", "n", "rank")).alias("first"), F.count("*").alias("members")).where("members > 1")
     first = first.select("value", F.col("first.node").alias("other"), F.col("first.n").alias("n_other"), F.col("first.rank").alias("rank_other"))
     links = _confirmed(_estimated(_pairs(lists.join(first, "value").where(_may_link(k, percent))), nodes, k, percent), docs, percent)
     part = components(links)
 
-    placed = (lists.join(part, "node", "left").select("value", "node", "n", "odd", "rank", F.coalesce("component", "node").alias("component")))
+    placed = (lists.join(part, "node", "left").select("value", "node", "n", "odd", "rank", "last", F.coalesce("component", "node").alias("component")))
     placed = staged(placed, "placed")
     mixed = placed.groupBy("value").agg(F.min(F.struct("odd", "node", "component")).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.where("low != high").select("value", F.col("first.component").alias("home"))
     away = placed.join(mixed, "value")
     strays = away.where("component != home").select("value", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("rank").alias("rank_other"),
-                                                    F.col("component").alias("c_other"))
-    met = away.select("value", "node", "n", "rank", "component", "home").join(strays, "value")
-    met = met.where((F.col("component") != F.col("c_other")) & ((F.col("component") == F.col("home")) | (F.col("node") < F.col("other"))) & _may_link(k, percent))
+                                                    F.col("last").alias("last_other"), F.col("component").alias("c_other"))
+    # Two members whose values before this one are equal too have met in that value's list.
+    met = away.select("value", "node", "n", "rank", "last", "component", "home").join(strays, "value")
+    met = met.where((F.col("component") != F.col("c_other")) & ((F.col("component") == F.col("home")) | (F.col("node") < F.col("other"))) & F.coalesce(F.col("last") != F.col("last_other"), F.lit(True)) & _may_link(k, percent))
     more = _confirmed(_estimated(_pairs(met), nodes, k, percent), docs, percent)
     whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
