@@ -21,8 +21,8 @@ from colsift.llm.words import slices
 MAGIC = b"EFTOKEN1"
 HEAD = "<8sBQQQ"
 FILE_IDS = 1 << 22
-# Words of a task whose ids are remembered; then it begins anew.
-REMEMBERED = 300_000
+# Words, and pieces of words, whose ids a Python worker remembers over its tasks; then it begins anew.
+REMEMBERED = 500_000
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
@@ -62,6 +62,16 @@ class WordIds(dict):
         return ids
 
 
+_known: dict[tuple[str, int], WordIds] = {}
+
+
+def word_ids(path: str, width: int) -> WordIds:
+    """The worker's own, kept from task to task."""
+    if (path, width) not in _known:
+        _known[path, width] = WordIds(path, width)
+    return _known[path, width]
+
+
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
     """Tokenize all texts and write files in ascending order of doc_id; returns the manifest (part, seq, file, n_docs, n_ids).
 
@@ -71,7 +81,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width:
 
     def write(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, end, part, seq = WordIds(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), TaskContext.get().partitionId(), 0
+        ids_of, end, part, seq = word_ids(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), TaskContext.get().partitionId(), 0
         held, names, size = [], [], 0
 
         def rolled():
