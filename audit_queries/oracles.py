@@ -83,8 +83,8 @@ def base(name: str, columns: dict[str, str] | None = None) -> str:
 d AS ({source}),
 t AS ({types}),
 r AS (SELECT count(*) AS rows FROM d),
-v AS ({values}),
-f AS (SELECT t.*, r.rows, CAST(coalesce(sum(v.n), 0) AS BIGINT) AS nn, count(v.val) AS u, coalesce(max(v.n), 0) AS top
+v AS MATERIALIZED ({values}),
+f AS (SELECT t.*, r.rows, CAST(coalesce(sum(v.n), 0) AS BIGINT) AS nn, count(v.val) AS u, coalesce(max(v.n), 0) AS top, min(v.val) AS least
       FROM t CROSS JOIN r LEFT JOIN v ON v.col = t.col GROUP BY ALL)"""
 
 
@@ -113,9 +113,9 @@ FROM (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS dup, CAST(coalesce(sum(n
 def constant(name: str) -> str:
     return f"""SELECT {q(name)} AS dataset, f.col AS "column", dtype, CASE WHEN u = 0 THEN 'ALL_MISSING' ELSE 'CONSTANT' END AS status,
  CASE WHEN u = 0 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, u AS unique_non_null, rows - nn AS missing_count,
- {pct('(rows - nn)', 'rows')} AS missing_percentage, v.val AS constant_value,
+ {pct('(rows - nn)', 'rows')} AS missing_percentage, f.least AS constant_value,
  CASE WHEN u = 0 THEN {q(ADVICE['ALL_MISSING'])} ELSE {q(ADVICE['CONSTANT'])} END AS recommendation
-FROM f LEFT JOIN v ON v.col = f.col WHERE u <= 1"""
+FROM f WHERE u <= 1"""
 
 
 def near_constant(name: str) -> str:

@@ -117,8 +117,6 @@ class ReportConfig:
     version: str = "1.0"
     max_recommendations: int = 10
     include_check_results: bool = False
-    # issues of larger data sets stay in the issue table, outside the document
-    max_embedded_issues: int = 10_000
 
     def __post_init__(self) -> None:
         _require(bool(self.version.strip()), "version cannot be empty")

@@ -58,7 +58,7 @@ def casefold(text: Column) -> Column:
     def swap(value: Column, old: str, new: str) -> Column:
         return F.replace(value, F.lit(old), F.lit(new))
 
-    upper = swap(F.upper(swap(text, "ı", "\ufdd0")), "ς", "Σ")
+    upper = swap(F.upper(swap(swap(text, "ẞ", "ß"), "ı", "\ufdd0")), "ς", "Σ")
     return swap(swap(F.lower(upper), "ς", "σ"), "\ufdd0", "ı")
 
 

@@ -22,23 +22,23 @@ FACTS = T.StructType([
 ])
 
 ADVICE = {
-    "PASS": "Nothing to do: every row has a value.",
-    "LOW": "Keep an eye on the gaps and fill them only where a rule exists.",
-    "MEDIUM": "Find out why values are absent and pick a filling rule.",
-    "HIGH": "Check how the values are gathered before relying on this column.",
-    "CRITICAL": "Most values are absent: restore the source or leave the column out.",
-    "ALL_MISSING": "Restore the column from its source or leave it out.",
-    "CONSTANT": "Ask whether a column with a single value is of use; it separates no rows.",
-    "NEAR_CONSTANT": "Check that the rare values are real; the column carries little signal.",
-    "POTENTIAL_IDENTIFIER": "Confirm what the column means and keep mere row labels out of features.",
-    "HIGH_CARDINALITY": "Decide whether to group, transform or drop the column before encoding it.",
-    "OUTLIERS_DETECTED": "Compare the extreme values with their source; extreme is not always wrong.",
-    "NO_OUTLIERS": "Nothing to do: all values lie within the bounds.",
-    "CATEGORY_INCONSISTENCY": "Agree on one spelling per label and unify case and spacing.",
-    "UNNAMED_COLUMN": "Check whether this is a saved row index and drop it if it has no meaning.",
-    "NUMERIC_LIKE_TEXT": "Settle the tokens that are no numbers, then store the column as a number.",
-    "DATETIME_LIKE_TEXT": "Parse the column into a date type with its explicit format.",
-    "MIXED_DATETIME_FORMATS": "Unify the date formats, settle what fits none, then parse the column.",
+    "PASS": "Every row was counted and holds a value.",
+    "LOW": "List the rows without a value and see whether they share a source or a day.",
+    "MEDIUM": "Group the rows without a value by load or source before any fill.",
+    "HIGH": "Trace the job that writes this column; too many rows arrive without it.",
+    "CRITICAL": "Keep the column out of joins and aggregates until its feed is mended.",
+    "ALL_MISSING": "The scan met nulls only: check how the load maps this column.",
+    "CONSTANT": "Store the one value beside the table instead of in every row.",
+    "NEAR_CONSTANT": "Select the few rows with another value and decide whether they belong here.",
+    "POTENTIAL_IDENTIFIER": "Use it to join and to look rows up; aggregates over it say nothing.",
+    "HIGH_CARDINALITY": "Handle it as a key with a lookup table rather than as a set of labels.",
+    "OUTLIERS_DETECTED": "Select the rows with the listed extremes and compare them with what was sent.",
+    "NO_OUTLIERS": "No value passes the fences computed from the exact quartiles.",
+    "CATEGORY_INCONSISTENCY": "Write one mapping from the listed variants to the most frequent one.",
+    "UNNAMED_COLUMN": "Name the column where it is written, or stop exporting the row number.",
+    "NUMERIC_LIKE_TEXT": "Apply try_cast to double and settle the rows where that yields null.",
+    "DATETIME_LIKE_TEXT": "Apply try_to_timestamp with the format that the values share.",
+    "MIXED_DATETIME_FORMATS": "Apply try_to_timestamp once for each format and settle what none of them reads.",
 }
 
 STRINGS = T.ArrayType(T.StringType())

@@ -11,13 +11,9 @@ from ..functions.stage import local_table, small, stage
 from .checks import STRINGS
 from .profile import ORD, TableProfile
 
-# Larger tables are first grouped by a 64-bit row hash, so that only rows which
-# may repeat are moved with all their columns.
-WHOLE_ROW_LIMIT = 20_000_000
-
 ADVICE = {
-    True: "Look into the repeated rows before removing any; repeats can be real events.",
-    False: "Nothing to do: no row repeats.",
+    True: "Look at the listed order keys, then keep one row of each group where no event can occur twice.",
+    False: "No two rows are equal in all columns.",
 }
 
 
@@ -53,12 +49,13 @@ def _rows(p: TableProfile) -> DataFrame:
 def repeated_rows(p: TableProfile, hash_first: bool | None = None, first: bool = False) -> DataFrame:
     """Groups of equal rows that hold two rows or more, with their size ``n``.
 
-    Missing equals missing. ``first`` adds the least order key of the group.
+    Rows are first grouped by a 64-bit hash, so that only those which may repeat
+    are moved with all their columns. Missing equals missing. ``first`` adds the least order key of the group.
     """
     refs = [c.ref for c in p.columns]
     rows = _rows(p)
     if hash_first is None:
-        hash_first = p.rows > WHOLE_ROW_LIMIT
+        hash_first = True
     if hash_first and _hashable(rows):
         row_hash = F.xxhash64(*refs)
         hashes = stage(rows.select(row_hash.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))

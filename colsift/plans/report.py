@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import COMPONENTS, ReportConfig, ScoreConfig
 from ..functions.measures import SEVERITIES
@@ -11,22 +12,23 @@ from .issues import counted
 from .score import METHODOLOGY
 
 HEADLINES = {
-    "READY_WITH_MINOR_REVIEW": "The data can be used after a light review.",
-    "NEEDS_CLEANING": "The data needs some targeted cleaning before use.",
-    "SIGNIFICANT_QUALITY_ISSUES": "The data has serious defects to settle before use.",
-    "NOT_READY": "The data must be repaired thoroughly before use.",
+    "READY_WITH_MINOR_REVIEW": "Few points lost: skim the issue table, then go on.",
+    "NEEDS_CLEANING": "Work through the first recommendations, then audit again.",
+    "SIGNIFICANT_QUALITY_ISSUES": "Several components lost many points: mend the sources before building on this table.",
+    "NOT_READY": "Do not publish this table: most of the score is lost.",
 }
 LIMITATIONS = (
-    "Generic heuristics know nothing of the rules of a business or source system.",
-    "Outliers are not always errors, and errors may lie within the bounds.",
-    "Label checks see case and spacing, not meaning.",
-    "Readiness ranks work; people who know the data must confirm it.",
+    "The audit sees one table at a time: keys into other tables are not followed.",
+    "Texts over 64 characters are compared by 128-bit digests.",
+    "Nested columns take part in the missing and duplicate checks only.",
+    "Examples follow the given order key; without one they come in value order and duplicates have none.",
+    "CSV rows with too few fields are padded with nulls, which then count as missing.",
 )
-DISCLAIMER = "The score helps to set priorities. It does not replace checks by people who know the data."
+DISCLAIMER = "The score is arithmetic over the counted findings; what a column is for is not known to it."
 METHODS = {
-    "issue_prioritization": "by severity, share, count and a fixed order of checks",
-    "recommendation_deduplication": "one entry per column and advice",
-    "report_type": "deterministic heuristic audit",
+    "issue_prioritization": "one order over severity, share of rows, count and check",
+    "recommendation_deduplication": "issues of a column with equal advice are one action",
+    "report_type": "computed from exact counts over all rows",
 }
 COUNTS = [s.lower() for s in SEVERITIES]
 
@@ -101,16 +103,14 @@ def audit_report(*, overview: DataFrame, score: DataFrame, summary: DataFrame, i
                  score_config: ScoreConfig = ScoreConfig(), checks: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row per data set that nests all parts of its report.
 
-    The issues are nested for data sets with at most
-    ``config.max_embedded_issues`` of them. For others ``issues`` is null and
-    the issue table, which is always whole, goes with the report.
+    All issues and, if asked for, the results of all checks are nested. For
+    data sets with very many findings read the issue table instead, which
+    ``write_report_json`` writes in parts beside the documents.
     """
     def nest(df: DataFrame, order: str, name: str) -> DataFrame:
         rest = [c for c in df.columns if c not in ("dataset", order)]
         return df.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
 
-    embedded = issues.join(
-        summary.filter(F.col("issue_count_total") <= config.max_embedded_issues).select("dataset"), "dataset", "left_semi")
     when = F.to_timestamp(F.lit(generated_at)) if generated_at else F.current_timestamp()
     out = (overview.select("dataset", F.struct(*[c for c in overview.columns if c != "dataset"]).alias("overview"))
            .join(score.select("dataset", "overall_score",
@@ -121,21 +121,21 @@ def audit_report(*, overview: DataFrame, score: DataFrame, summary: DataFrame, i
            .join(summary.select("dataset", F.struct(*[c for c in summary.columns if c != "dataset"]).alias("summary")), "dataset")
            .join(metadata.select("dataset", F.col("fingerprint_sha256").alias("_print"), F.col("file_name").alias("_name"),
                                  F.struct(*[c for c in metadata.columns if c not in ("dataset", "code")]).alias("file_metadata")), "dataset")
-           .join(nest(embedded, "priority_rank", "issues"), "dataset", "left")
+           .join(nest(issues, "priority_rank", "issues"), "dataset", "left")
            .join(nest(recommendations, "priority_rank", "prioritized_recommendations"), "dataset", "left")
            .join(nest(diagnostics, "column", "scoring_diagnostics"), "dataset", "left"))
     raw = []
     if config.include_check_results and checks:
         for name, df in checks.items():
-            if name == "category_consistency":
-                continue  # can grow with the data; its findings are in the issue table
+            # maps have no order, their entries do
+            df = df.select(*[F.array_sort(F.map_entries(f.name)).alias(f.name) if isinstance(f.dataType, T.MapType) else f"`{f.name}`" for f in df.schema.fields])
             out = out.join(nest(df, [c for c in df.columns if c != "dataset"][0], f"_{name}"), "dataset", "left")
             raw.append(F.col(f"_{name}").alias(name))
     stamp = F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     source = F.concat_ws("|", F.coalesce("_print", F.lit("")), F.coalesce("_name", F.lit("")), F.col("_at"),
                          F.format_string("%.2f", "overall_score"))
     texts = lambda d: F.struct(*[F.lit(v).alias(k) for k, v in d.items()])
-    empty = [F.coalesce("issues", F.when(F.col("summary.issue_count_total") == 0, F.array())).alias("issues")]
+    empty = [F.coalesce("issues", F.array()).alias("issues")]
     return (out.withColumn("_at", stamp)
             .select("dataset", F.lit(config.version).alias("report_version"),
                     F.concat(F.lit("AUD-"), F.substring(F.sha2(source, 256), 1, 12)).alias("report_id"),

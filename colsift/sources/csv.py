@@ -208,6 +208,9 @@ class CsvFormat:
 def detect_format(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig()) -> CsvFormat:
     """The common format of the files below ``path``; raises on the first broken rule."""
     manifest = stage(_manifest(read_files(spark, path), config))
+    unread = manifest.filter(F.col("file_size_bytes") > BINARY_LIMIT).select("file_name").orderBy("file_name").first()
+    if unread:
+        raise AuditError(f"{unread['file_name']}: its rules cannot be checked beyond {BINARY_LIMIT} bytes; split it or pass fmt", "file_too_large")
     broken = manifest.filter("code IS NOT NULL").orderBy("path").select("file_name", "code").first()
     if broken:
         raise AuditError(f"{broken['file_name']}: {broken['code']}", broken["code"])
@@ -251,6 +254,13 @@ def read_text_columns(spark: SparkSession, path: str, fmt: CsvFormat, multi_line
     return raw.select(*cells, overflow.alias("_overflow"), F.monotonically_increasing_id().alias("_ord"))
 
 
+def quoted_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, by a split scan."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+
 def _typing(ref: str) -> list[Column]:
     text = F.col(ref)
     bare = X.strip(text)
@@ -274,10 +284,17 @@ class CsvTable:
 
 
 def scan_csv(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig(), *,
-             fmt: CsvFormat | None = None, multi_line: bool = False) -> CsvTable:
-    """Read one table of CSV files with types inferred over all its rows."""
+             fmt: CsvFormat | None = None, multi_line: bool | None = None) -> CsvTable:
+    """Read one table of CSV files with types inferred over all its rows.
+
+    Files in which every line has an even number of quotes are read in splits.
+    Where a line has an odd number, a quoted field holds a line end, and each
+    file is read by one task; ``multi_line`` skips this look at the lines.
+    """
     fmt = fmt or detect_format(spark, path, config)
     check_names(list(fmt.names))
+    if multi_line is None:
+        multi_line = quoted_line_ends(spark, path)
     text = read_text_columns(spark, path, fmt, multi_line)
     refs = [f"c{i}" for i in range(len(fmt.names))]
     facts: dict = {}

@@ -79,8 +79,6 @@ def test_recommendations_merge_one_action_per_column(two):
     assert [r.recommendation_id for r in recs] == [f"REC-{i:03d}" for i in range(1, len(recs) + 1)] and len(recs) == 10
     merged = next(r for r in recs if r.issue_type == "CATEGORY_LABEL_INCONSISTENCY")
     assert merged.related_issue_count == len(merged.related_issue_ids) == 5 and merged.related_issue_ids == sorted(merged.related_issue_ids)
-    unlisted = I.recommendations(two.issues, listed=2).filter("related_issue_count > 2").collect()
-    assert unlisted and all(r.related_issue_ids is None for r in unlisted)
     assert I.recommendation_links(two.issues).filter("related_issue_count > 2").count() == 5
 
 
@@ -121,11 +119,11 @@ def test_report_documents(spark, two, tmp_path):
     assert spark.read.json(str(tmp_path / "out/issues")).count() == two.issues.count()
 
 
-def test_large_reports_keep_issues_beside_the_document(spark):
-    a = audit({"d": inputs.dirty(spark, SF)}, report_config=ReportConfig(max_embedded_issues=3, include_check_results=True))
+def test_reports_hold_all_issues_and_check_results(spark):
+    a = audit({"d": inputs.dirty(spark, SF)}, report_config=ReportConfig(include_check_results=True))
     r = a.report().first()
-    assert r.issues is None and r.summary.issue_count_total == a.issues.count()
-    assert len(r.quality_check_results.missing_values) == 10
+    assert len(r.issues) == r.summary.issue_count_total == a.issues.count()
+    assert len(r.quality_check_results.missing_values) == 10 and r.quality_check_results.category_consistency
 
 
 def test_non_finite_numbers_become_null(spark):

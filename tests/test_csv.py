@@ -100,6 +100,21 @@ def test_fingerprints(spark, file):
     assert r.file_key == hashlib.sha256(b"t.csv\0a,b\n1,2\n").hexdigest()
 
 
+@pytest.mark.parametrize("text, rows", [
+    ('id,city,note\n1,Rome,"first\nsecond"\n2,Oslo,ok\n', [(1, "Rome", "first\nsecond"), (2, "Oslo", "ok")]),
+    ('id,note,city\n1,"a\n\nb",Rome\n2,"c ""d""",Oslo\n', [(1, "a\n\nb", "Rome"), (2, 'c "d"', "Oslo")])])
+def test_quoted_line_ends_need_no_flag(spark, file, text, rows):
+    scan = X.scan_csv(spark, file(text))
+    assert sorted(tuple(r)[:3] for r in scan.table.collect()) == rows
+
+
+def test_a_file_too_large_to_check_is_refused(spark, file, monkeypatch, tmp_path):
+    file("x,y\n1,2\n", "a.csv")
+    file("a,b\n" + "1,2\n" * 20, "b.csv")
+    monkeypatch.setattr(X, "BINARY_LIMIT", 40)
+    assert code_of(spark, str(tmp_path)) == "file_too_large"
+
+
 def test_preview_limits(spark):
     df = spark.range(200)
     assert [r.id for r in sinks.preview_rows(df, "id", 3).collect()] == [0, 1, 2]
