@@ -126,7 +126,7 @@ def severity(docs: DataFrame, model: OrdinalModel, bits: int = BITS) -> DataFram
     """Per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, severity, grade, toxic, p_toxic.
 
     ``severity`` is the expected grade, the sum of P(grade > j); ``grade`` the largest j with P(grade >= j) of at least a half; toxic
-    where grade is above 0. A null or empty text has only the cuts to go by. Every row gets a result, repeated rows the same.
+    where grade is above 0. A text without words, or null, has severity 0. Every row gets a result, repeated rows the same.
     """
     used = np.flatnonzero(model.weights)
     weights, cuts = model.weights[used].astype(np.float32), model.cuts
@@ -135,9 +135,11 @@ def severity(docs: DataFrame, model: OrdinalModel, bits: int = BITS) -> DataFram
         table = np.zeros(1 << bits, np.float32)
         table[used] = weights
         for batch in slices(batches):
-            slots, at = features(text_bytes(batch.column("text")), bits, table)
+            texts = text_bytes(batch.column("text"))
+            slots, at = features(texts, bits, table)
             sums = np.concatenate(([0.0], np.cumsum(table[slots], dtype=np.float64)))
             above = sigmoid((sums[at[1:]] - sums[at[:-1]]).round(6)[:, None] - cuts[None, :])
+            above[[not t.strip() for t in texts]] = 0
             grade = (above >= 0.5).sum(1)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "severity": pa.array(above.sum(1).round(6)), "grade": pa.array(grade, pa.int32()),
                                    "toxic": pa.array(grade > 0), "p_toxic": pa.array(above[:, 0].round(6))})
