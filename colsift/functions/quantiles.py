@@ -1,15 +1,16 @@
 """Exact quantiles of many columns without holding a column in one task.
 
-A rank-bounded sketch gives every wanted rank a bracket of two values. One
-counting pass tells how many values lie below, on and inside the bracket, which
-proves the bracket right and often decides the rank. What is left between the
-two ends is sketched again while it is large, then sorted and read off.
+Values are counted in bins whose order is that of the values: first by sign
+and a 64th of an octave, then in equal steps between the ends of the bin that
+holds the wanted rank. Only counts per bin move, summed before they are
+shuffled; a bin with equal ends is the answer. A double has no more than 46
+bits below a 64th of an octave, so a few passes decide any rank.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,21 +19,10 @@ from pyspark.sql import types as T
 
 from .stage import local_table
 
-# At most this many values of one column are sorted; more are sketched first.
-SORTED_VALUES = 2_000_000
-ACCURACY = 10_000
-
-
-@dataclass
-class _Rank:
-    column: str
-    rank: int          # 0-based position among all values
-    low: float
-    high: float
-    offset: int = 0    # values at or below ``low``
-    inside: int = 0    # values strictly between ``low`` and ``high``
-    open: bool = False  # bracket ends are excluded
-    value: float | None = None
+OCTAVE_BINS = 64
+STEPS = 4096
+# Fixed value: above the binary exponent of every double's inverse, so that keys of magnitudes are positive.
+LEAST_EXPONENT = 1076
 
 
 def _between(a: float, b: float, share: float) -> float:
@@ -41,108 +31,54 @@ def _between(a: float, b: float, share: float) -> float:
     return a + gap * share if share < 0.5 else b - gap * (1 - share)
 
 
-def quantiles(frame: DataFrame, values: dict[str, Column], counts: dict[str, int],
-              extremes: dict[str, tuple[float, float]], probs=(0.25, 0.75), *,
-              sorted_values: int = SORTED_VALUES, accuracy: int = ACCURACY) -> dict[str, list[float]]:
-    """Linearly interpolated quantiles of double columns.
-
-    ``counts`` holds the number of non-null values and ``extremes`` the least
-    and greatest of each; the caller knows both from its profile pass.
-    """
-    if not values:
-        return {}
-    wanted: dict[tuple[str, int], _Rank] = {}
-    for name in values:
-        for p in probs:
-            position = p * (counts[name] - 1)
-            for rank in {math.floor(position), math.ceil(position)}:
-                wanted[name, rank] = _Rank(name, rank, *extremes[name])
-    _select(frame, values, counts, list(wanted.values()), sorted_values, accuracy)
-    result = {}
-    for name in values:
-        result[name] = []
-        for p in probs:
-            position = p * (counts[name] - 1)
-            a, b = (wanted[name, r].value for r in (math.floor(position), math.ceil(position)))
-            result[name].append(_between(a, b, position - math.floor(position)))
-    return result
-
-
-def _select(frame, values, counts, ranks: list[_Rank], sorted_values: int, accuracy: int) -> None:
-    for r in ranks:
-        r.inside = counts[r.column]
-    pending = ranks
-    while True:
-        large = [r for r in pending if r.inside > sorted_values]
-        if not large:
-            break
-        _tighten(frame, values, large, accuracy)
-        pending = [r for r in pending if r.value is None]
-    if pending:
-        _sort_inside(frame, values, pending)
-
-
-def _within(value: Column, r: _Rank) -> Column:
-    if r.open:
-        return (value > F.lit(r.low)) & (value < F.lit(r.high))
-    return value.isNotNull()
-
-
-def _tighten(frame, values, ranks: list[_Rank], accuracy: int) -> None:
-    """Narrow every bracket by a sketch and a counting pass that proves it."""
-    sketches = []
-    for i, r in enumerate(ranks):
-        v = values[r.column]
-        share = (r.rank - r.offset) / r.inside
-        ends = [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)]
-        sketches.append(F.percentile_approx(F.when(_within(v, r), v), ends, accuracy).alias(f"r{i}"))
-    row = frame.agg(*sketches).first()
-    brackets = [tuple(row[f"r{i}"]) for i in range(len(ranks))]
-
-    counters = []
-    for i, (r, (low, high)) in enumerate(zip(ranks, brackets)):
-        v = values[r.column]
-        for name, test in (("b", v < F.lit(low)), ("l", v == F.lit(low)),
-                           ("i", (v > F.lit(low)) & (v < F.lit(high))), ("h", v == F.lit(high))):
-            counters.append(F.count_if(test).alias(f"{name}{i}"))
-    row = frame.agg(*counters).first()
-
-    for i, (r, (low, high)) in enumerate(zip(ranks, brackets)):
-        upto_low = row[f"b{i}"] + row[f"l{i}"]
-        if row[f"b{i}"] <= r.rank < upto_low:
-            r.value = low
-        elif upto_low <= r.rank < upto_low + row[f"i{i}"]:
-            r.low, r.high, r.open = low, high, True
-            r.offset, r.inside = upto_low, row[f"i{i}"]
-        elif low < high and upto_low + row[f"i{i}"] <= r.rank < upto_low + row[f"i{i}"] + row[f"h{i}"]:
-            r.value = high
-        else:
-            raise ArithmeticError("quantile sketch missed its rank bound")
-
-
-def _sort_inside(frame, values, ranks: list[_Rank]) -> None:
-    """Read the ranks off the sorted distinct values of their brackets.
-
-    Equal values are counted before they move, so a hot value is one row.
-    """
-    brackets: dict[tuple, str] = {}
-    cells, places = [], []
-    for r in ranks:
-        key = (r.column, r.low, r.high, r.open)
-        if key not in brackets:
-            brackets[key] = f"r{len(brackets)}"
-            v = values[r.column]
-            cells.append((F.when(_within(v, r), v) if r.open else v).alias(brackets[key]))
-        places.append({"target": brackets[key], "place": r.rank - r.offset})
-    counted = (frame.select(*cells).unpivot([], list(brackets.values()), "target", "value")
-               .filter(F.col("value").isNotNull())
-               .groupBy("target", "value").agg(F.count(F.lit(1)).alias("n")))
-    running = F.sum("n").over(W.partitionBy("target").orderBy("value"))
-    wanted = local_table(frame.sparkSession, places, T.StructType([
-        T.StructField("target", T.StringType()), T.StructField("place", T.LongType())]))
-    hits = (counted.withColumn("upto", running).join(F.broadcast(wanted), "target")
-            .filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
-            .select("target", "place", "value"))
-    found = {(h["target"], h["place"]): h["value"] for h in hits.collect()}  # one row per rank
-    for r in ranks:
-        r.value = found[brackets[r.column, r.low, r.high, r.open], r.rank - r.offset]
+def quantiles(frame: DataFrame, values: dict[str, Column], counts: dict[str, int], probs=(0.25, 0.75)) -> dict[str, list[float]]:
+    """Linearly interpolated quantiles of finite double columns; ``counts`` holds the number of non-null values of each."""
+    places = {name: [p * (counts[name] - 1) for p in probs] for name in values}
+    found = ranked(frame, values, {name: {r for x in at for r in (math.floor(x), math.ceil(x))} for name, at in places.items()})
+    return {name: [_between(found[name, math.floor(x)], found[name, math.ceil(x)], x - math.floor(x)) for x in at]
+            for name, at in places.items()}
+
+
+def ranked(frame: DataFrame, values: dict[str, Column], ranks: dict[str, Iterable[int]]) -> dict[tuple[str, int], float]:
+    """The finite value at each 0-based rank among the non-null values of a column, by column and rank."""
+    found: dict[tuple[str, int], float] = {}
+    # (column, rank) to its bracket's ends, both included, and the number of values below it
+    pending = {(name, rank): (None, None, 0) for name, some in ranks.items() for rank in some}
+    while pending:
+        pending = _narrowed(frame, values, pending)
+        found |= {key: low for key, (low, high, _) in pending.items() if low == high}
+        pending = {key: bracket for key, bracket in pending.items() if key not in found}
+    return found
+
+
+def _narrowed(frame: DataFrame, values: dict[str, Column], pending: dict) -> dict:
+    """Each rank with the bin of its bracket that holds it as the new bracket."""
+    targets: dict[tuple, str] = {}
+    cells, facts, places = [], [], []
+    for (name, rank), (low, high, before) in pending.items():
+        key = (name, low, high)
+        if key not in targets:
+            targets[key] = f"r{len(targets)}"
+            v = values[name].cast("double")
+            cells.append((v if low is None else F.when(v.between(F.lit(low), F.lit(high)), v)).alias(targets[key]))
+            facts.append({"target": targets[key], "start": low, "width": None if low is None else high - low})
+        places.append({"target": targets[key], "name": name, "rank": rank, "before": before})
+
+    spark = frame.sparkSession
+    text, number, whole = T.StringType(), T.DoubleType(), T.LongType()
+    cut = local_table(spark, facts, T.StructType([
+        T.StructField("target", text), T.StructField("start", number), T.StructField("width", number)]))
+    wanted = local_table(spark, places, T.StructType([
+        T.StructField("target", text), T.StructField("name", text), T.StructField("rank", whole), T.StructField("before", whole)]))
+    octave = F.coalesce(F.signum("value") * (F.log2(F.abs("value")) + LEAST_EXPONENT), F.lit(0.0)) * OCTAVE_BINS
+    step = (F.col("value") - F.col("start")) / F.col("width") * STEPS
+    counted = (frame.select(*cells).unpivot([], list(targets.values()), "target", "value").filter(F.col("value").isNotNull())
+               .join(F.broadcast(cut), "target")
+               .groupBy("target", F.floor(F.when(F.col("start").isNull(), octave).otherwise(step)).alias("bin"))
+               .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")))
+    upto = F.sum("n").over(W.partitionBy("target").orderBy("bin"))  # at most 2 * 2100 * OCTAVE_BINS rows a target
+    place = F.col("rank") - F.col("before")
+    hits = (counted.withColumn("upto", upto).join(F.broadcast(wanted), "target")
+            .filter((place < F.col("upto")) & (place >= F.col("upto") - F.col("n")))
+            .select("name", "rank", "low", "high", (F.col("before") + F.col("upto") - F.col("n")).alias("below")))
+    return {(h["name"], h["rank"]): (h["low"], h["high"], h["below"]) for h in hits.collect()}  # one row per rank

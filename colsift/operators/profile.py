@@ -24,7 +24,7 @@ from ..functions.stage import TOKEN_ROW, small, stage
 SLICE = 80
 # columns per multi-distinct aggregate, which copies a row once per column
 DISTINCT_SLICE = 12
-# share from which the dominant value must be the median, sketch error included
+# share from which the dominant value must be the median
 MEDIAN_SHARE = 51.0
 # share from which the dominant value must be both quartiles
 QUARTILE_SHARE = 80.0
@@ -337,8 +337,7 @@ class TableProfile:
         for part in slices(asked):
             same |= Q.quantiles(
                 self.frame, {c.ref: self.finite(c) for c in part},
-                {c.ref: self.non_null(c) - self.infinite(c) for c in part},
-                {c.ref: (self.counts[f"{c.ref}_min"], self.counts[f"{c.ref}_max"]) for c in part})
+                {c.ref: self.non_null(c) - self.infinite(c) for c in part})
         return same
 
     @staticmethod
@@ -353,20 +352,20 @@ class TableProfile:
     def _candidates(self, columns: list[ColumnInfo], share: float) -> dict[str, list]:
         """Values that alone can reach ``share``: a value with that many rows
         is the median, whatever the others are."""
-        sketch, out = [], {}
+        medians, out = [], {}
         for c in columns:
             out[c.ref] = [float("inf"), float("-inf")] if self.infinite(c) else []
             if "quartiles" in self.__dict__ and c.ref in self.quartiles and share >= QUARTILE_SHARE:
                 q1, q3 = self.quartiles[c.ref]
                 out[c.ref] += [q1] if q1 == q3 else []
             else:
-                sketch.append(c)
-        if sketch:
-            row = self.frame.agg(*[
-                F.percentile_approx(self.finite(c) if c.group == "numeric" else self.ordinal(c), 0.5).alias(c.ref)
-                for c in sketch]).first()
-            for c in sketch:
-                out[c.ref] += [row[c.ref]] if row[c.ref] is not None else []
+                medians.append(c)
+        finite = {c.ref: self.non_null(c) - (self.infinite(c) if c.group == "numeric" else 0) for c in medians}
+        for part in slices([c for c in medians if finite[c.ref]]):
+            found = Q.ranked(self.frame, {c.ref: self.finite(c) if c.group == "numeric" else self.ordinal(c) for c in part},
+                             {c.ref: [(finite[c.ref] - 1) // 2] for c in part})
+            for (ref, _), value in found.items():
+                out[ref].append(value)
         return out
 
     def dominant(self, share: float) -> dict[str, tuple[str, int]]:

@@ -79,14 +79,22 @@ def test_tokens_tell_short_from_long(spark):
     assert all(len(t) == 33 and t.startswith("\x00") for t in tokens[2:])
 
 
-@pytest.mark.parametrize("kind", ["uniform", "hot", "heavy", "few"])
-@pytest.mark.parametrize("sorted_values", [Q.SORTED_VALUES, 40])
-def test_quantiles_equal_numpy(spark, kind, sorted_values):
+@pytest.mark.parametrize("kind", ["uniform", "hot", "heavy", "few", "wide", "close", "zeros"])
+def test_quantiles_equal_numpy(spark, kind):
     rng = np.random.default_rng(5)
     n = 5001
     data = {"uniform": rng.uniform(-5, 5, n), "heavy": rng.standard_cauchy(n) * 1e6, "few": rng.integers(0, 4, n).astype(float),
-            "hot": np.where(rng.uniform(size=n) < 0.4, 3.25, rng.normal(size=n))}[kind]
+            "hot": np.where(rng.uniform(size=n) < 0.4, 3.25, rng.normal(size=n)),
+            "wide": np.exp2(rng.uniform(-1074, 1000, n)) * rng.choice([-1, 1], n), "close": 1.0 + rng.integers(0, 900, n) * 2.0**-52,
+            "zeros": rng.choice([-0.0, 0.0, 5e-324, -5e-324], n)}[kind]
     df = spark.createDataFrame([(float(v), i) for i, v in enumerate(data)], "v double, i long").repartition(7, "i")
-    got = Q.quantiles(df, {"v": F.col("v")}, {"v": n}, {"v": (data.min(), data.max())}, (0.25, 0.5, 0.75),
-                      sorted_values=sorted_values, accuracy=200)
+    got = Q.quantiles(df, {"v": F.col("v")}, {"v": n}, (0.25, 0.5, 0.75))
     assert got["v"] == [float(np.quantile(data, p)) for p in (0.25, 0.5, 0.75)]
+    ranks = [0, 7, 2500, 4999, n - 1]
+    assert Q.ranked(df, {"v": F.col("v")}, {"v": ranks}) == {("v", r): float(np.sort(data)[r]) for r in ranks}
+
+
+def test_ranks_of_several_columns(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    assert Q.ranked(df, {"v": F.col("v"), "w": -F.col("v")}, {"v": [0, 500], "w": [0]}) == {("v", 0): 0.0, ("v", 500): 500.0, ("w", 0): -999.0}
+    assert Q.ranked(df, {}, {}) == {}
