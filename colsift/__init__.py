@@ -2,8 +2,8 @@
 
 from .config import AuditError, CheckConfig, IntakeConfig, ReportConfig, ScoreConfig
 from .operators.profile import TableProfile
-from .plans.audit import Audit, audit
+from .plans.audit import Audit, audit, audit_csv
 
 
 __all__ = ["Audit", "AuditError", "CheckConfig", "IntakeConfig", "ReportConfig",
-           "ScoreConfig", "TableProfile", "audit"]
+           "ScoreConfig", "TableProfile", "audit", "audit_csv"]

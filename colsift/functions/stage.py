@@ -3,39 +3,48 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..config import AuditError
+
 # A join side is broadcast up to this size, by its counted rows and the most
 # bytes a row can have.
 BROADCAST_BYTES = 64 << 20
 TOKEN_ROW = 320  # column reference and token of at most 64 characters
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage.
+def work_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Uses the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
-    Where none is named, a local session gets a folder of its own; a cluster
-    falls back to executor storage, which Spark recomputes after a loss.
+    Where none is named, a local session gets a folder of its own; a cluster must name one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="colsift-"))
-        else:
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        if not configured and not context.master.startswith("local"):
+            raise AuditError("set spark.checkpoint.dir to a folder that all executors share", "no_work_folder")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="colsift-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage, by a checkpoint in the work folder."""
+    work_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stage_columns(df: DataFrame) -> DataFrame:
+    """Write a wide table once as Parquet in the work folder: later passes read the columns they need."""
+    path = f"{work_folder(df.sparkSession).rstrip('/')}/colsift-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Mark ``df`` for broadcast when its proven size is within the bound."""
     return df.hint("broadcast") if rows * row_bytes <= BROADCAST_BYTES else df

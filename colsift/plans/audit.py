@@ -6,14 +6,15 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from ..config import AuditError, CheckConfig, ReportConfig, ScoreConfig
-from ..functions.stage import stage
+from ..config import AuditError, CheckConfig, IntakeConfig, ReportConfig, ScoreConfig
+from ..functions.stage import stage, stage_columns
 from ..operators import checks as C
 from ..operators.duplicates import duplicates
 from ..operators.overview import dataset_overview
 from ..operators.profile import TableProfile
+from ..sources import csv as X
 from . import issues as I
 from . import report as R
 from . import score as S
@@ -105,8 +106,7 @@ class Audit:
 
     @cached_property
     def issues(self) -> DataFrame:
-        large = self.check("category_consistency").count() > I.WINDOW_ROWS
-        return stage(I.ranked_issues(self.checks(), large))
+        return stage(I.ranked_issues(self.checks()))
 
     @cached_property
     def recommendations(self) -> DataFrame:
@@ -146,3 +146,18 @@ def audit(tables: dict[str, DataFrame] | DataFrame, *, order_by=None, row_id: st
     profiles = [TableProfile(df, name, order_by=orders.get(name), row_id=row_id, config=config, reuse=True)
                 for name, df in tables.items()]
     return Audit(profiles, score_config=score_config, report_config=report_config, files=files)
+
+
+def audit_csv(spark: SparkSession, path: str, *, dataset: str = "table", intake: IntakeConfig = IntakeConfig(),
+              config: CheckConfig | None = None, score_config: ScoreConfig | None = None,
+              report_config: ReportConfig | None = None) -> Audit:
+    """Audit a CSV file, or a folder of files with one header, from its path.
+
+    The text is parsed and typed once and staged by columns; rows are known by
+    their position from 0. The report holds the facts of the files.
+    """
+    manifest = X.manifest_of(spark, path, intake)
+    scan = X.scan_csv(spark, path, intake, fmt=X.common_format(manifest, path))
+    rows = X.with_positions(stage_columns(scan.placed))
+    return audit({dataset: rows}, row_id="_ord", config=config, score_config=score_config, report_config=report_config,
+                 files=scan.facts(manifest, path, dataset))

@@ -10,11 +10,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..config import AuditError, IntakeConfig
 from ..functions import text as X
-from ..functions.stage import stage
+from ..functions.stage import small, stage
 from ..operators.profile import SLICE, check_names, quoted
 
 # Texts that a CSV cell may hold for a missing value.
@@ -51,21 +52,25 @@ def _latin(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
-def encoding(content: Column, encodings=("utf-8-sig", "cp1252", "latin-1")) -> Column:
-    """The first encoding that reads the bytes; null when none does."""
+def _readable(content: Column) -> dict[str, Column]:
+    """Whether each encoding reads the bytes."""
     unused = "[" + "".join(f"\\x{b:02x}" for b in CP1252_UNUSED) + "]"
-    reads = {
-        "utf-8-sig": F.is_valid_utf8(content.cast("string")),
-        "utf-8": F.is_valid_utf8(content.cast("string")),
-        "cp1252": ~_latin(content).rlike(unused),
-        "latin-1": content.isNotNull(),
-    }
+    utf8 = F.is_valid_utf8(content.cast("string"))
+    return {"utf-8-sig": utf8, "utf-8": utf8, "cp1252": ~_latin(content).rlike(unused), "latin-1": content.isNotNull()}
+
+
+def _first(reads: dict[str, Column], encodings) -> Column:
     out = None
     for name in encodings:
         out = F.when(reads[name], name) if out is None else out.when(reads[name], name)
     return out
 
 
+def encoding(content: Column, encodings=("utf-8-sig", "cp1252", "latin-1")) -> Column:
+    """The first encoding that reads the bytes; null when none does."""
+    return _first(_readable(content), encodings)
+
+
 def decoded(content: Column, name: Column) -> Column:
     """The text of a file without its byte-order mark."""
     utf8 = F.regexp_replace(content.cast("string"), "^\ufeff", "")
@@ -140,11 +145,47 @@ def _with_head(files: DataFrame, config: IntakeConfig) -> DataFrame:
     Adds encoding, lines, delimiter and names; all null where content is.
     """
     step = files.withColumn("encoding", encoding(F.col("content"), config.encodings))
-    step = step.withColumn("lines", head_lines(F.col("content"), F.col("encoding")))
-    step = step.withColumn("delimiter", delimiter_of(F.col("lines"), config.delimiters))
+    return _split_head(step.withColumn("lines", head_lines(F.col("content"), F.col("encoding"))), config)
+
+
+def _split_head(files: DataFrame, config: IntakeConfig) -> DataFrame:
+    """Add delimiter and names to files whose first lines are known."""
+    step = files.withColumn("delimiter", delimiter_of(F.col("lines"), config.delimiters))
     return step.withColumn("names", header_names(F.get("lines", F.lit(0)), F.col("delimiter")))
 
 
+def bag_digest(digests: Column) -> Column:
+    """One digest of many hexadecimal ones, whatever their order: SHA-256 over the sums of their 60-bit pieces."""
+    pieces = [F.conv(F.substring(digests, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    return F.sha2(F.concat_ws(",", *[F.sum(p).cast("string") for p in pieces]), 256)
+
+
+def _large_files(spark: SparkSession, path: str, config: IntakeConfig) -> DataFrame:
+    """What ``_with_head`` says of files, for those too long for one value, from a split scan of their lines.
+
+    All byte rules hold for a file exactly when they hold for its lines, since no encoding here hides a line feed in
+    a longer character. The fingerprint is ``lines-`` and a digest of the lines that disregards their order.
+    """
+    lines = (spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
+                     F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("content"))
+             .filter(F.col("length") > BINARY_LIMIT).withColumn("line", F.monotonically_increasing_id()))
+    reads = {k: F.bool_and(c) for k, c in _readable(F.col("content")).items()}
+    files = stage(lines.groupBy("path", "length").agg(
+        _first(reads, config.encodings).alias("encoding"),
+        F.bool_or(F.contains(F.col("content").cast("string"), F.lit("\x00"))).alias("nul"),
+        F.concat(F.lit("lines-"), bag_digest(F.sha2("content", 256))).alias("fingerprint_sha256")))
+    known = small(files.select("path", "encoding"), files.count(), 1024)
+    shown = lines.join(known, "path").withColumn("text", decoded(F.col("content"), F.col("encoding")))
+    first = W.partitionBy("path").orderBy("block", "line")
+    head = (shown.filter(X.strip(F.col("text")) != "").select("path", "block", "line", "text")
+            .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= HEAD_LINES)
+            .groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("head")))
+    split = F.slice(F.flatten(F.transform("head", lambda h: _lines(h["text"]))), 1, HEAD_LINES)
+    return _split_head(files.join(head, "path", "left").withColumn(
+        "lines", F.coalesce(split, F.array().cast("array<string>"))).drop("head"), config)
+
+
 def detect_delimiter(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
     return _with_head(files, config).select("path", "delimiter", F.when(F.size("lines") == 0, "empty_file").alias("code"))
 
@@ -173,18 +214,24 @@ def validate_header(files: DataFrame, config: IntakeConfig = IntakeConfig()) ->
 
 
 def _manifest(files: DataFrame, config: IntakeConfig) -> DataFrame:
-    heads = _header(_with_head(files, config), config)
-    name, content, length = file_name(F.col("path")), F.col("content"), F.col("length")
+    content = F.col("content")
+    return _judged(_with_head(files, config).withColumns({
+        "nul": F.contains(content.cast("string"), F.lit("\x00")), "fingerprint_sha256": F.sha2(content, 256)}), config)
+
+
+def _judged(facts: DataFrame, config: IntakeConfig) -> DataFrame:
+    heads = _header(facts, config)
+    name, length = file_name(F.col("path")), F.col("length")
     too_large = F.lit(False) if config.max_bytes is None else length > config.max_bytes
     code = (F.when(~F.lower(name).rlike(r"(?s).\.csv\z"), "invalid_extension")
             .when(length == 0, "empty_file")
             .when(too_large, "file_too_large")
-            .when(F.contains(content.cast("string"), F.lit("\x00")), "binary_content")
-            .when(content.isNotNull() & F.col("encoding").isNull(), "unsupported_encoding")
+            .when(F.col("nul"), "binary_content")
+            .when(F.col("nul").isNotNull() & F.col("encoding").isNull(), "unsupported_encoding")
             .when(F.size("lines") == 0, "empty_file")
             .otherwise(F.col("header_code")))
     return heads.select("path", name.alias("file_name"), length.alias("file_size_bytes"), "encoding",
-                        F.sha2(content, 256).alias("fingerprint_sha256"), code.alias("code"), "delimiter", "column_count",
+                        "fingerprint_sha256", code.alias("code"), "delimiter", "column_count",
                         "blank_names", "names")
 
 
@@ -196,6 +243,8 @@ def file_manifest(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> Da
 # ---- typed scan ------------------------------------------------------------
 
 _ROW_END = "\x01end"
+# Where a row comes from: its file and the start of the block of it that was read.
+PLACE = ("_file", "_block")
 
 
 @dataclass(frozen=True)
@@ -207,10 +256,20 @@ class CsvFormat:
 
 def detect_format(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig()) -> CsvFormat:
     """The common format of the files below ``path``; raises on the first broken rule."""
-    manifest = stage(_manifest(read_files(spark, path), config))
-    unread = manifest.filter(F.col("file_size_bytes") > BINARY_LIMIT).select("file_name").orderBy("file_name").first()
-    if unread:
-        raise AuditError(f"{unread['file_name']}: its rules cannot be checked beyond {BINARY_LIMIT} bytes; split it or pass fmt", "file_too_large")
+    return common_format(manifest_of(spark, path, config), path)
+
+
+def manifest_of(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig()) -> DataFrame:
+    """The staged manifest of the files below ``path``, files of any length among them, with their ``names``."""
+    files = read_files(spark, path)
+    manifest = _manifest(files.filter(F.col("length") <= BINARY_LIMIT), config)
+    if not files.filter(F.col("length") > BINARY_LIMIT).select("path").isEmpty():
+        manifest = manifest.unionByName(_judged(_large_files(spark, path, config), config))
+    return stage(manifest)
+
+
+def common_format(manifest: DataFrame, path: str) -> CsvFormat:
+    """The one format of all files of a manifest."""
     broken = manifest.filter("code IS NOT NULL").orderBy("path").select("file_name", "code").first()
     if broken:
         raise AuditError(f"{broken['file_name']}: {broken['code']}", broken["code"])
@@ -236,13 +295,15 @@ def read_text_columns(spark: SparkSession, path: str, fmt: CsvFormat, multi_line
     refs = [f"c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(r, T.StringType()) for r in [*refs, "_bad"]])
     utf8 = fmt.encoding.startswith("utf-8")
+    place = ["_metadata.file_path", "_metadata.file_block_start"]
     raw = (spark.read.schema(schema).option("header", True).option("sep", fmt.delimiter)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
            .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
            .option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
-           .option("recursiveFileLookup", "true").csv(path))
+           .option("recursiveFileLookup", "true").csv(path)
+           .select("*", *[F.col(c).alias(a) for c, a in zip(place, PLACE)]))
     if fmt.encoding == "cp1252":
-        raw = raw.select(*[F.translate(c, CP1252_BYTES, CP1252_CHARS).alias(c) for c in raw.columns])
+        raw = raw.select(*[F.translate(c, CP1252_BYTES, CP1252_CHARS).alias(c) for c in [*refs, "_bad"]], *PLACE)
     # A row that does not fit is parsed once more with a mark behind its last
     # field: within the header's width the mark stays visible.
     probe = ", ".join(f"{r} STRING" for r in refs)
@@ -251,7 +312,20 @@ def read_text_columns(spark: SparkSession, path: str, fmt: CsvFormat, multi_line
     shown = F.array_contains(F.array(*[marked[r] for r in refs]), _ROW_END)
     overflow = F.col("_bad").isNotNull() & ~F.coalesce(shown, F.lit(False))
     cells = [F.when(~F.col(r).isin(*MISSING_TEXTS), F.col(r)).alias(r) for r in refs]
-    return raw.select(*cells, overflow.alias("_overflow"), F.monotonically_increasing_id().alias("_ord"))
+    return raw.select(*cells, overflow.alias("_overflow"), F.monotonically_increasing_id().alias("_ord"), *PLACE)
+
+
+def with_positions(rows: DataFrame) -> DataFrame:
+    """``rows`` of a staged scan with ``_ord`` as the position of a row from 0: files by path, rows as they stand in them.
+
+    The rows of a block of a file are numbered without gaps already, so only one row a block is summed up.
+    """
+    blocks = stage(rows.groupBy(*PLACE).agg(F.min("_ord").alias("_first"), F.count(F.lit(1)).alias("_rows")))
+    before = F.sum("_rows").over(W.orderBy(*PLACE).rowsBetween(W.unboundedPreceding, -1))
+    starts = blocks.select(*PLACE, "_first", F.coalesce(before, F.lit(0)).alias("_start"))
+    placed = rows.join(small(starts, blocks.count(), 1024), list(PLACE))
+    kept = [quoted(c) for c in rows.columns if c not in ("_ord", *PLACE)]
+    return placed.select(*kept, (F.col("_start") + F.col("_ord") - F.col("_first")).alias("_ord"))
 
 
 def quoted_line_ends(spark: SparkSession, path: str) -> bool:
@@ -278,10 +352,27 @@ class CsvTable:
     format: CsvFormat
     row_count: int
     empty_columns: tuple[str, ...]
+    placed: DataFrame
 
     def warnings(self) -> DataFrame:
         return load_warnings(self.table.sparkSession, self)
 
+    def facts(self, manifest: DataFrame, path: str, dataset: str) -> DataFrame:
+        """One row of what a report says of the files: the file's own facts, or those of a folder as a whole.
+
+        A folder's fingerprint is a digest of its files' names and fingerprints.
+        """
+        prints = F.when(F.count(F.lit(1)) == 1, F.max("fingerprint_sha256")).otherwise(
+            bag_digest(F.sha2(F.concat_ws("|", "file_name", "fingerprint_sha256"), 256)))
+        folder = path.rstrip("/").replace("\\", "/").rsplit("/", 1)[-1]
+        name = F.when(F.count(F.lit(1)) == 1, F.max("file_name")).otherwise(F.lit(folder))
+        codes = F.array(*[F.lit(code) for code, _ in warning_counts(self)]).cast("array<string>")
+        return manifest.agg(
+            F.lit(dataset).alias("dataset"), name.alias("file_name"), F.sum("file_size_bytes").alias("file_size_bytes"),
+            F.lit(self.format.encoding).alias("encoding"), F.lit(self.format.delimiter).alias("delimiter"),
+            prints.alias("fingerprint_sha256"), codes.alias("warnings"), F.lit(self.row_count).cast("long").alias("row_count"),
+            F.lit(len(self.format.names)).cast("long").alias("column_count"))
+
 
 def scan_csv(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig(), *,
              fmt: CsvFormat | None = None, multi_line: bool | None = None) -> CsvTable:
@@ -326,16 +417,16 @@ def scan_csv(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig
         else:
             typed = F.col(r)
         columns.append(typed.alias(name))
-    table = text.select(*columns, "_ord")
+    placed = text.select(*columns, "_ord", *PLACE)
     empty = tuple(name for r, name in zip(refs, fmt.names) if not facts[f"{r}_n"])
-    return CsvTable(table, fmt, facts["rows"], empty)
+    return CsvTable(placed.drop(*PLACE), fmt, facts["rows"], empty, placed)
 
 
 WARNING_SCHEMA = "code string, n long"
 
 
-def load_warnings(spark: SparkSession, scan: CsvTable) -> DataFrame:
-    """What the scan noticed: one row per kind of warning with its count."""
+def warning_counts(scan: CsvTable) -> list[tuple[str, int]]:
+    """What the scan noticed: the kinds of warning with their counts."""
     unnamed = [n for n in scan.format.names if n.strip().casefold().startswith("unnamed:")]
     blank = [n for i, n in enumerate(scan.format.names) if n == f"Unnamed: {i}"]
     found = [("blank_header_names", len(blank)),
@@ -343,7 +434,12 @@ def load_warnings(spark: SparkSession, scan: CsvTable) -> DataFrame:
              ("unnamed_columns", len(unnamed)),
              ("single_column", int(len(scan.format.names) == 1)),
              ("empty_columns", len(scan.empty_columns))]
-    return spark.createDataFrame([f for f in found if f[1]], WARNING_SCHEMA)
+    return [f for f in found if f[1]]
+
+
+def load_warnings(spark: SparkSession, scan: CsvTable) -> DataFrame:
+    """One row per kind of warning with its count."""
+    return spark.createDataFrame(warning_counts(scan), WARNING_SCHEMA)
 
 
 def table_warnings(df: DataFrame, hidden: tuple[str, ...] = ("_ord",)) -> DataFrame:

@@ -2,14 +2,15 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from audit_queries import inputs
-from colsift import AuditError, ReportConfig, ScoreConfig, audit
+from colsift import AuditError, ReportConfig, ScoreConfig, audit, audit_csv
 from colsift.plans import issues as I
 from colsift.plans import report as R
 from colsift.plans import views as V
-from colsift.sources import csv, sinks
+from colsift.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 COMPONENTS = ("completeness", "duplicate_free", "schema_usability", "categorical_consistency", "outlier_risk")
@@ -55,9 +56,9 @@ def test_row_order_and_partitioning_do_not_matter(spark, two):
 
 def test_ranking_over_ranges_equals_the_window(two):
     plain = {(r.dataset, r.evidence, r.column): r.priority_rank for r in two.issues.collect()}
-    spread = I.ranked_issues(two.checks(), large=True)
-    assert {(r.dataset, r.evidence, r.column): r.priority_rank for r in spread.collect()} == plain
-    assert spread.columns == two.issues.columns
+    window = W.partitionBy("dataset").orderBy(*I._order())
+    one = I.all_issues(two.checks()).withColumn("priority_rank", F.row_number().over(window))
+    assert {(r.dataset, r.evidence, r.column): r.priority_rank for r in one.collect()} == plain
 
 
 def test_critical_gate_and_disabled_gates(spark, two):
@@ -148,8 +149,7 @@ def test_trim_conversations_keeps_the_last_messages(spark):
 
 @pytest.mark.skipif("AUDIT_SAMPLE_CSV" not in os.environ, reason="no sample file named")
 def test_published_results_of_the_sample_file(spark):
-    scan = csv.scan_csv(spark, os.environ["AUDIT_SAMPLE_CSV"])
-    a = audit({"sample": scan.table}, row_id="_ord")
+    a = audit_csv(spark, os.environ["AUDIT_SAMPLE_CSV"])
     s = a.score.first()
     assert (s.overall_score, s.critical, s.high, s.medium, s.low) == (92.02, 0, 14, 7, 6)
     assert [s[c] for c in COMPONENTS] == [97.56, 96.15, 76.92, 81.11, 99.61]

@@ -2,7 +2,8 @@ import hashlib
 
 import pytest
 
-from colsift import AuditError, IntakeConfig, TableProfile
+from colsift import AuditError, IntakeConfig, TableProfile, audit_csv
+from colsift.functions.stage import stage_columns
 from colsift.operators import checks as C
 from colsift.sources import csv as X
 from colsift.sources import sinks
@@ -108,11 +109,54 @@ def test_quoted_line_ends_need_no_flag(spark, file, text, rows):
     assert sorted(tuple(r)[:3] for r in scan.table.collect()) == rows
 
 
-def test_a_file_too_large_to_check_is_refused(spark, file, monkeypatch, tmp_path):
+def test_files_too_long_for_one_value_keep_all_rules(spark, file, monkeypatch, tmp_path):
     file("x,y\n1,2\n", "a.csv")
-    file("a,b\n" + "1,2\n" * 20, "b.csv")
+    path = file("a,b\n" + "1,2\n" * 20, "b.csv")
     monkeypatch.setattr(X, "BINARY_LIMIT", 40)
-    assert code_of(spark, str(tmp_path)) == "file_too_large"
+    assert code_of(spark, str(tmp_path)) == "header_mismatch"
+    fmt = X.detect_format(spark, path)
+    assert (fmt.names, fmt.delimiter, fmt.encoding) == (("a", "b"), ",", "utf-8-sig")
+    assert X.scan_csv(spark, path).row_count == 20
+
+
+@pytest.mark.parametrize("content", [
+    b"a;b\n" + b"1;2\n" * 20, "\ufeffa|b\r\n\r\n 1|é\r\n".encode() * 9, b"n\n" + b"\xe9\n" * 30, b"n\n" + b"\x81\xe9\n" * 30,
+    b"a,b\n1,\x002\n" + b"1,2\n" * 20, b" \n\x0b\n" * 20, b"name, NAME\n" * 9, b"a\tb\r" + b"1\t2\r" * 30])
+def test_the_split_manifest_equals_that_of_whole_files(spark, file, monkeypatch, content):
+    path = file(content)
+    keep = lambda: X.manifest_of(spark, path).drop("path", "fingerprint_sha256").collect()
+    whole = keep()
+    monkeypatch.setattr(X, "BINARY_LIMIT", 16)
+    assert keep() == whole
+    assert X.manifest_of(spark, path).first()["fingerprint_sha256"].startswith("lines-")
+
+
+def test_audit_from_a_path_keeps_positions_and_file_facts(spark, file, tmp_path):
+    file("a,b\n1,x\n2,y\n", "p1.csv")
+    file("a,b\n" + "".join(f"{i},z{i}\n" for i in range(3, 200)) + "1,x\n", "p2.csv")
+    a = audit_csv(spark, str(tmp_path))
+    assert a.check("duplicates").first()["example_duplicate_indices"] == ["199"]
+    m = a.metadata.first()
+    assert (m.file_name, m.row_count, m.column_count, m.code, m.encoding, m.delimiter) == (tmp_path.name, 200, 2, None, "utf-8-sig", ",")
+    assert m.file_size_bytes == sum(f.stat().st_size for f in tmp_path.iterdir()) and len(m.fingerprint_sha256) == 64
+
+    one = audit_csv(spark, str(tmp_path / "p1.csv"), dataset="p1")
+    m = one.report("2026-01-01T00:00:00Z").first()["file_metadata"]
+    assert (m.file_name, m.fingerprint_sha256) == ("p1.csv", hashlib.sha256(b"a,b\n1,x\n2,y\n").hexdigest())
+
+
+def test_positions_do_not_depend_on_how_files_are_split(spark, file, tmp_path):
+    file("n\n" + "".join(f"{i}\n" for i in range(500)), "p1.csv")
+    file("n\n" + "".join(f"{i}\n" for i in range(500, 700)), "p2.csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256b")
+    try:
+        scan = X.scan_csv(spark, str(tmp_path))
+        assert scan.table.rdd.getNumPartitions() > 2
+        rows = X.with_positions(stage_columns(scan.placed)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(r.n == r["_ord"] for r in rows) and len(rows) == 700
 
 
 def test_preview_limits(spark):
