@@ -25,9 +25,11 @@ ROW = "page_id long, payload_bytes long, payload_digest string, record_type stri
 
 
 def planned(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """Each page with what its record says: of equal payloads of ``least`` bytes or more, the largest page_id is the response.
+    """Each page, and beside it a mark (``page`` false, no html) if it is a revisit: of equal payloads of ``least`` bytes or more, the
+    largest page_id is the response.
 
-    Only digests are grouped, after partial maxima, so a payload with a third of all pages is a row a task.
+    Only digests are grouped, after partial maxima, so a payload with a third of all pages is a row a task. Marks meet their pages
+    in the writer's order, so that html is shuffled once, for that order.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).cast("long").alias("payload_bytes"),
@@ -35,11 +37,10 @@ def planned(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     heads = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies"))
     heads = heads.where("copies > 1").drop("copies")
     again = ~F.col("page_id").eqNullSafe(F.col("head")) & F.col("head").isNotNull()
-    known = rows.select("page_id", "payload_digest").join(heads, "payload_digest").where(again)
-    known = known.select(F.col("page_id").alias("own_id"), F.col("payload_digest").alias("own_digest"), "head").distinct()
-    both = rows.join(known, F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("payload_digest") == F.col("own_digest")), "left")
-    kind = F.when(F.col("head").isNull(), "response").otherwise("revisit")
-    return both.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), F.col("head").alias("refers_to"), "url", "html")
+    marks = rows.select("page_id", "payload_digest").join(heads, "payload_digest").where(again).distinct()
+    none = F.lit(None).cast("string")
+    marks = marks.select("page_id", "payload_digest", F.lit(False).alias("page"), F.col("head").alias("refers_to"), none.alias("url"), none.alias("html"))
+    return marks.unionByName(rows.select("page_id", "payload_digest", F.lit(True).alias("page"), F.lit(None).cast("long").alias("refers_to"), "url", "html"))
 
 
 def record_name(page_id: int | None) -> str:
@@ -72,6 +73,7 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, leas
 
     def write(batches):
         part, seq, out, n = TaskContext.get().partitionId(), 0, None, 0
+        marked = head = None
 
         def closed():
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": out.commit(), "n_records": n, "n_bytes": out.size}],
@@ -79,6 +81,11 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, leas
 
         for batch in slices(batches, "html"):
             for row in batch.to_pylist():
+                own = row["page_id"], row["payload_digest"]
+                if not row["page"]:
+                    marked, head = own, row["refers_to"]
+                    continue
+                row["record_type"], row["refers_to"] = ("revisit", head) if own == marked else ("response", None)
                 if out is None:
                     out, n = Rolling(folder, f"part-{part:06d}-{seq:06d}", ".warc.gz"), 0
                     out.write(gzip.compress(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_name(None)}\r\nWARC-Date: {DATE}\r\n"
@@ -91,8 +98,8 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, leas
         if out is not None:
             yield closed()
 
-    order = F.col("page_id").asc_nulls_first()
-    spread = planned(pages, least).repartitionByRange(order).sortWithinPartitions(order, "payload_digest", "url")
+    order = F.col("page_id").asc_nulls_first(), F.col("payload_digest").asc()
+    spread = planned(pages, least).repartitionByRange(*order).sortWithinPartitions(*order, "page", "url")
     return staged(spread.mapInArrow(write, "part int, seq int, file string, n_records long, n_bytes long"), "manifest")
 
 
