@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colsift.llm import decontamination, imatch, language, mixing, near_duplicates, personal_data, rollups, token_files, toxicity, warc
+from colsift.llm import decontamination, fill_in_middle, imatch, kmeans_tree, laesa, language, mixing, near_duplicates, personal_data, rollups, token_files, toxicity, warc
 from colsift.llm.staging import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,12 +65,51 @@ def op10_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.maintained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), store)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_warc, op4_mixing, op5_token_files, op6_personal_data, op7_imatch,
-                                   op8_language, op9_near_duplicates, op10_rollups)}
+                                   op8_language, op9_near_duplicates, op10_rollups, op11_fill_in_middle, op12_centroids, op13_neighbours)}
 
 WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
+
+
+def lloyd_sql(rounds: int = laesa.ROUNDS) -> str:
+    """The rounds of op12, one after the other, with exact distances to all centroids."""
+    steps = ["""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)""",
+             """m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, e) - 1 AS c, e AS m FROM v QUALIFY c < 40)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(e) AS e, arg_min(c, d * 64 + c) AS c, min(d) AS d FROM (SELECT r, vec_id, e, c,
+   CAST(list_inner_product(e, e) - 2 * list_inner_product(e, m) + list_inner_product(m, m) AS BIGINT) AS d FROM v, m{i}) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""m{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM m{i} o LEFT JOIN (SELECT c, list(x ORDER BY i) AS m FROM
+   (SELECT c, i, floor(sum(x) / count(*)) AS x FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{i}) GROUP BY c, i) GROUP BY c) n ON n.c = o.c)""")
+    return ",\n ".join(steps) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(list_transform(m, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM a{rounds} a JOIN m{rounds} m ON a.c = m.c"""
+
+
 ORACLES = {
+    "op11_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+ u AS (SELECT *, [CAST('0x' || substr(h, i, 8) AS BIGINT) for i in [1, 9, 17, 25]] AS k FROM d),
+ f AS (SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 90 THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+ p AS (SELECT *, '<P>' || substring(t, 1, a) AS x, '<M>' || substring(t, a + 1, b - a) AS y, '<S>' || substring(t, b + 1, n - b) AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN x || z || y ELSE z || x || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op12_centroids": lloyd_sql(),
     "op3_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
  h AS (SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
