@@ -51,7 +51,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     """Spans of each kind. Matches that fail their check are dropped; nothing is tried again within them."""
     if not MARK.search(text):
         return [[], [], [], []]
-    ips = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    ips = [m.span() for m in IP.finditer(text) if all(len(p := q.lstrip("0")) <= 3 and int(p or 0) <= 255 for q in m[0].split("."))]
     cards = []
     for m in CARD.finditer(text):
         if m.end() - m.start() <= 37 and 16 <= len(digits := digits_in(m[0])) <= 19 and luhn(digits):
