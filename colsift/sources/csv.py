@@ -1,7 +1,8 @@
 """CSV intake: file rules, format detection, header rules and the typed scan.
 
-The file operators take a frame with one row per file (``path``, ``length``,
-``content``), as Spark's binary source reads it, and return one row per file.
+The file operators take a frame with one row per file and return one row per
+file: facts of a folder's files (``read_files``), or files that are rows of a
+table (``path``, ``length``, ``content``).
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from ..config import AuditError, IntakeConfig
 from ..functions import text as X
 from ..functions.stage import small, stage
 from ..operators.profile import SLICE, check_names, quoted
+from .records import read_records
+from .streams import content_facts, file_name, path_facts
 
 # Texts that a CSV cell may hold for a missing value.
 MISSING_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -27,87 +30,28 @@ CP1252_UNUSED = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 CP1252_CHARS = "".join(bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in CP1252_UNUSED)
 CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in CP1252_UNUSED)
 
-# The binary source holds one file in one value, at most this long.
-BINARY_LIMIT = 2**31 - 1 - 1024
-HEAD_LINES = 20
-HEAD_BYTES = 1 << 20
-# Fixed value: the line ends of decoded text.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# Encodings that Spark's own CSV reader is used for, as long as no quoted field holds a line end.
+DIRECT = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file below ``path``; content is null beyond the source's limit."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    within = files.filter(F.col("length") <= BINARY_LIMIT).select("path", "length", "content")
-    beyond = files.filter(F.col("length") > BINARY_LIMIT).select(
-        "path", "length", F.lit(None).cast("binary").alias("content"))
-    return within.unionByName(beyond)
+def read_files(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig()) -> DataFrame:
+    """The facts of every file below ``path``, of any length, each streamed once. Spark does not list files without bytes."""
+    return path_facts(spark, path, config)
 
 
-def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, r"[/\\]"), -1)
-
-
-def _latin(content: Column) -> Column:
-    return F.decode(content, "ISO-8859-1")
-
-
-def _readable(content: Column) -> dict[str, Column]:
-    """Whether each encoding reads the bytes."""
-    unused = "[" + "".join(f"\\x{b:02x}" for b in CP1252_UNUSED) + "]"
-    utf8 = F.is_valid_utf8(content.cast("string"))
-    return {"utf-8-sig": utf8, "utf-8": utf8, "cp1252": ~_latin(content).rlike(unused), "latin-1": content.isNotNull()}
-
-
-def _first(reads: dict[str, Column], encodings) -> Column:
-    out = None
-    for name in encodings:
-        out = F.when(reads[name], name) if out is None else out.when(reads[name], name)
-    return out
-
-
-def encoding(content: Column, encodings=("utf-8-sig", "cp1252", "latin-1")) -> Column:
-    """The first encoding that reads the bytes; null when none does."""
-    return _first(_readable(content), encodings)
-
-
-def decoded(content: Column, name: Column) -> Column:
-    """The text of a file without its byte-order mark."""
-    utf8 = F.regexp_replace(content.cast("string"), "^\ufeff", "")
-    return (F.when(name.startswith("utf-8"), utf8)
-            .when(name == "cp1252", F.translate(_latin(content), CP1252_BYTES, CP1252_CHARS))
-            .otherwise(_latin(content)))
+def _facts(files: DataFrame, config: IntakeConfig) -> DataFrame:
+    return files if "lines" in files.columns else content_facts(files, config)
 
 
 def file_fingerprint(files: DataFrame) -> DataFrame:
     """SHA-256 of the bytes, and of name and bytes together."""
-    name = file_name(F.col("path"))
-    keyed = F.concat(F.encode(name, "UTF-8"), F.lit(b"\x00"), F.col("content"))
-    return files.select("path", name.alias("file_name"), F.sha2("content", 256).alias("fingerprint_sha256"),
-                        F.sha2(keyed, 256).alias("file_key"))
+    return _facts(files, IntakeConfig()).select("path", file_name(F.col("path")).alias("file_name"), "fingerprint_sha256", "file_key")
 
 
 def file_encoding(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
-    name = encoding(F.col("content"), config.encodings)
-    return files.select("path", name.alias("encoding"),
-                        F.when(F.col("content").isNotNull() & name.isNull(), "unsupported_encoding").alias("code"))
-
-
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, LINE_END), lambda x: X.strip(x) != "")
-
-
-def head_lines(content: Column, kind: Column) -> Column:
-    """The first non-blank lines of a file.
-
-    The first megabyte usually holds them; its last line may be cut and does
-    not count. Only a file with longer lines is split as a whole.
-    """
-    start = _lines(decoded(F.substring(content, 1, HEAD_BYTES), kind))
-    start = F.when(F.octet_length(content) <= HEAD_BYTES, start).otherwise(
-        F.slice(start, F.lit(1), F.greatest(F.size(start) - 1, F.lit(0))))
-    enough = (F.octet_length(content) <= HEAD_BYTES) | (F.size(start) >= HEAD_LINES)
-    return F.slice(F.when(enough, start).otherwise(_lines(decoded(content, kind))), 1, HEAD_LINES)
+    """The first of the encodings that reads all bytes; a name that is no text encoding reads none."""
+    return _facts(files, config).select(
+        "path", "encoding", F.when(F.col("nul").isNotNull() & F.col("encoding").isNull(), "unsupported_encoding").alias("code"))
 
 
 def delimiter_of(lines: Column, delimiters=IntakeConfig.delimiters) -> Column:
@@ -140,17 +84,8 @@ def header_names(line: Column, delimiter: Column) -> Column:
 
 
 def _with_head(files: DataFrame, config: IntakeConfig) -> DataFrame:
-    """File facts and header, worked out row by row: the bytes are read once and never shuffled.
-
-    Adds encoding, lines, delimiter and names; all null where content is.
-    """
-    step = files.withColumn("encoding", encoding(F.col("content"), config.encodings))
-    return _split_head(step.withColumn("lines", head_lines(F.col("content"), F.col("encoding"))), config)
-
-
-def _split_head(files: DataFrame, config: IntakeConfig) -> DataFrame:
-    """Add delimiter and names to files whose first lines are known."""
-    step = files.withColumn("delimiter", delimiter_of(F.col("lines"), config.delimiters))
+    """File facts with delimiter and names, from the first lines; all null where the content is."""
+    step = _facts(files, config).withColumn("delimiter", delimiter_of(F.col("lines"), config.delimiters))
     return step.withColumn("names", header_names(F.get("lines", F.lit(0)), F.col("delimiter")))
 
 
@@ -160,32 +95,6 @@ def bag_digest(digests: Column) -> Column:
     return F.sha2(F.concat_ws(",", *[F.sum(p).cast("string") for p in pieces]), 256)
 
 
-def _large_files(spark: SparkSession, path: str, config: IntakeConfig) -> DataFrame:
-    """What ``_with_head`` says of files, for those too long for one value, from a split scan of their lines.
-
-    All byte rules hold for a file exactly when they hold for its lines, since no encoding here hides a line feed in
-    a longer character. The fingerprint is ``lines-`` and a digest of the lines that disregards their order.
-    """
-    lines = (spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
-                     F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("content"))
-             .filter(F.col("length") > BINARY_LIMIT).withColumn("line", F.monotonically_increasing_id()))
-    reads = {k: F.bool_and(c) for k, c in _readable(F.col("content")).items()}
-    files = stage(lines.groupBy("path", "length").agg(
-        _first(reads, config.encodings).alias("encoding"),
-        F.bool_or(F.contains(F.col("content").cast("string"), F.lit("\x00"))).alias("nul"),
-        F.concat(F.lit("lines-"), bag_digest(F.sha2("content", 256))).alias("fingerprint_sha256")))
-    known = small(files.select("path", "encoding"), files.count(), 1024)
-    shown = lines.join(known, "path").withColumn("text", decoded(F.col("content"), F.col("encoding")))
-    first = W.partitionBy("path").orderBy("block", "line")
-    head = (shown.filter(X.strip(F.col("text")) != "").select("path", "block", "line", "text")
-            .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= HEAD_LINES)
-            .groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("head")))
-    split = F.slice(F.flatten(F.transform("head", lambda h: _lines(h["text"]))), 1, HEAD_LINES)
-    return _split_head(files.join(head, "path", "left").withColumn(
-        "lines", F.coalesce(split, F.array().cast("array<string>"))).drop("head"), config)
-
-
 def detect_delimiter(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
     return _with_head(files, config).select("path", "delimiter", F.when(F.size("lines") == 0, "empty_file").alias("code"))
 
@@ -213,12 +122,6 @@ def validate_header(files: DataFrame, config: IntakeConfig = IntakeConfig()) ->
         "path", "delimiter", "names", "column_count", "blank_names", "repeated_names", F.col("header_code").alias("code"))
 
 
-def _manifest(files: DataFrame, config: IntakeConfig) -> DataFrame:
-    content = F.col("content")
-    return _judged(_with_head(files, config).withColumns({
-        "nul": F.contains(content.cast("string"), F.lit("\x00")), "fingerprint_sha256": F.sha2(content, 256)}), config)
-
-
 def _judged(facts: DataFrame, config: IntakeConfig) -> DataFrame:
     heads = _header(facts, config)
     name, length = file_name(F.col("path")), F.col("length")
@@ -237,7 +140,7 @@ def _judged(facts: DataFrame, config: IntakeConfig) -> DataFrame:
 
 def file_manifest(files: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
     """One row per file: its facts and the code of the first rule it breaks."""
-    return _manifest(files, config).drop("names")
+    return _judged(_with_head(files, config), config).drop("names")
 
 
 # ---- typed scan ------------------------------------------------------------
@@ -260,12 +163,8 @@ def detect_format(spark: SparkSession, path: str, config: IntakeConfig = IntakeC
 
 
 def manifest_of(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig()) -> DataFrame:
-    """The staged manifest of the files below ``path``, files of any length among them, with their ``names``."""
-    files = read_files(spark, path)
-    manifest = _manifest(files.filter(F.col("length") <= BINARY_LIMIT), config)
-    if not files.filter(F.col("length") > BINARY_LIMIT).select("path").isEmpty():
-        manifest = manifest.unionByName(_judged(_large_files(spark, path, config), config))
-    return stage(manifest)
+    """The staged manifest of the files below ``path``, with their ``names``."""
+    return stage(_judged(_with_head(read_files(spark, path, config), config), config))
 
 
 def common_format(manifest: DataFrame, path: str) -> CsvFormat:
@@ -289,21 +188,20 @@ def common_format(manifest: DataFrame, path: str) -> CsvFormat:
 def read_text_columns(spark: SparkSession, path: str, fmt: CsvFormat, multi_line: bool = False) -> DataFrame:
     """All cells as text, missing texts as null, with ``_ord`` and ``_overflow``.
 
-    ``_overflow`` marks rows with more fields than the header has.
+    ``_overflow`` marks rows with more fields than the header has. With
+    ``multi_line``, and for encodings other than DIRECT, records are cut first,
+    blocks of files side by side, and staged.
     """
-    width = len(fmt.names)
-    refs = [f"c{i}" for i in range(width)]
+    refs = [f"c{i}" for i in range(len(fmt.names))]
     schema = T.StructType([T.StructField(r, T.StringType()) for r in [*refs, "_bad"]])
-    utf8 = fmt.encoding.startswith("utf-8")
-    place = ["_metadata.file_path", "_metadata.file_block_start"]
-    raw = (spark.read.schema(schema).option("header", True).option("sep", fmt.delimiter)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-           .option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
-           .option("recursiveFileLookup", "true").csv(path)
-           .select("*", *[F.col(c).alias(a) for c, a in zip(place, PLACE)]))
-    if fmt.encoding == "cp1252":
-        raw = raw.select(*[F.translate(c, CP1252_BYTES, CP1252_CHARS).alias(c) for c in [*refs, "_bad"]], *PLACE)
+    if multi_line or fmt.encoding not in DIRECT:
+        options = {"sep": fmt.delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "multiLine": "true"}
+        records = read_records(spark, path, fmt.delimiter, fmt.encoding)
+        raw = records.withColumn("row", F.from_csv("record", schema.toDDL(), options)).select(
+            "row.*", F.lit("").alias(PLACE[0]), F.col("rank").alias(PLACE[1]), "n")
+        order = F.shiftleft(PLACE[1], 32) + F.col("n")
+    else:
+        raw, order = _read_lines(spark, path, fmt, schema), F.monotonically_increasing_id()
     # A row that does not fit is parsed once more with a mark behind its last
     # field: within the header's width the mark stays visible.
     probe = ", ".join(f"{r} STRING" for r in refs)
@@ -312,7 +210,21 @@ def read_text_columns(spark: SparkSession, path: str, fmt: CsvFormat, multi_line
     shown = F.array_contains(F.array(*[marked[r] for r in refs]), _ROW_END)
     overflow = F.col("_bad").isNotNull() & ~F.coalesce(shown, F.lit(False))
     cells = [F.when(~F.col(r).isin(*MISSING_TEXTS), F.col(r)).alias(r) for r in refs]
-    return raw.select(*cells, overflow.alias("_overflow"), F.monotonically_increasing_id().alias("_ord"), *PLACE)
+    return raw.select(*cells, overflow.alias("_overflow"), order.alias("_ord"), *PLACE)
+
+
+def _read_lines(spark: SparkSession, path: str, fmt: CsvFormat, schema: T.StructType) -> DataFrame:
+    """Cells of files in which every line is a record, by Spark's own reader."""
+    place = ["_metadata.file_path", "_metadata.file_block_start"]
+    raw = (spark.read.schema(schema).option("header", True).option("sep", fmt.delimiter)
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+           .option("quote", '"').option("escape", '"')
+           .option("encoding", "UTF-8" if fmt.encoding.startswith("utf-8") else "ISO-8859-1")
+           .option("recursiveFileLookup", "true").csv(path)
+           .select("*", *[F.col(c).alias(a) for c, a in zip(place, PLACE)]))
+    if fmt.encoding == "cp1252":
+        raw = raw.select(*[F.translate(c, CP1252_BYTES, CP1252_CHARS).alias(c) for c in schema.fieldNames()], *PLACE)
+    return raw
 
 
 def with_positions(rows: DataFrame) -> DataFrame:
@@ -378,14 +290,14 @@ def scan_csv(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig
              fmt: CsvFormat | None = None, multi_line: bool | None = None) -> CsvTable:
     """Read one table of CSV files with types inferred over all its rows.
 
-    Files in which every line has an even number of quotes are read in splits.
-    Where a line has an odd number, a quoted field holds a line end, and each
-    file is read by one task; ``multi_line`` skips this look at the lines.
+    Where some line has an odd number of quotes, a quoted field may hold a line
+    end, and blocks are cut at true record ends; ``multi_line`` skips this look
+    at the lines. Either way a file is read by as many tasks as it has blocks.
     """
     fmt = fmt or detect_format(spark, path, config)
     check_names(list(fmt.names))
     if multi_line is None:
-        multi_line = quoted_line_ends(spark, path)
+        multi_line = fmt.encoding not in DIRECT or quoted_line_ends(spark, path)
     text = read_text_columns(spark, path, fmt, multi_line)
     refs = [f"c{i}" for i in range(len(fmt.names))]
     facts: dict = {}

@@ -1,12 +1,18 @@
+import codecs
+import csv
+import gzip
 import hashlib
+import io
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from colsift import AuditError, IntakeConfig, TableProfile, audit_csv
 from colsift.functions.stage import stage_columns
 from colsift.operators import checks as C
 from colsift.sources import csv as X
-from colsift.sources import sinks
+from colsift.sources import records, sinks, streams
 
 
 @pytest.fixture
@@ -109,26 +115,135 @@ def test_quoted_line_ends_need_no_flag(spark, file, text, rows):
     assert sorted(tuple(r)[:3] for r in scan.table.collect()) == rows
 
 
-def test_files_too_long_for_one_value_keep_all_rules(spark, file, monkeypatch, tmp_path):
-    file("x,y\n1,2\n", "a.csv")
-    path = file("a,b\n" + "1,2\n" * 20, "b.csv")
-    monkeypatch.setattr(X, "BINARY_LIMIT", 40)
-    assert code_of(spark, str(tmp_path)) == "header_mismatch"
-    fmt = X.detect_format(spark, path)
-    assert (fmt.names, fmt.delimiter, fmt.encoding) == (("a", "b"), ",", "utf-8-sig")
-    assert X.scan_csv(spark, path).row_count == 20
+def compare_facts(spark, folder, files, config):
+    """Facts of streamed files, against the same rules on whole contents and against Python."""
+    found = {r.path.rsplit("/", 1)[-1]: r for r in X.read_files(spark, str(folder), config).collect()}
+    rows = spark.createDataFrame([(n, len(c), bytearray(c)) for n, c in files.items()], "path string, length long, content binary")
+    whole = {r.path: r for r in streams.content_facts(rows, config).collect()}
+    assert set(found) == set(files)
+    for name, content in files.items():
+        r = found[name]
+        assert tuple(r)[1:] == tuple(whole[name])[1:]
+        assert r.fingerprint_sha256 == hashlib.sha256(content).hexdigest() and r.file_key == hashlib.sha256(name.encode() + b"\0" + content).hexdigest()
+        for encoding in config.encodings:
+            try:
+                codecs.lookup(encoding)
+                text = content.removeprefix(b"\xef\xbb\xbf").decode(encoding).removeprefix("\ufeff")
+            except (UnicodeDecodeError, LookupError):
+                continue
+            assert r.encoding == encoding and r.nul == ("\0" in text) and r.lines == [x for x in text.splitlines() if x.strip()][:20]
+            break
+        else:
+            assert r.encoding is None and r.lines == []
+    return found
+
+
+def test_streamed_files_keep_all_rules(spark, file, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "WINDOW", 64)
+    rng = random.Random(1)
+    bom = b"\xef\xbb\xbf"
+    files = {"a b+%.csv": bom + b"a\r\nb\n\nc\rd", "e.csv": b"x,y\n1,2\n", "bom.csv": bom, "bomnl.csv": bom + b"\n", "nl.csv": b"\n\n", "nul.csv": b"a\x00b\n", "l.csv": b"n\x81\n",
+             "w.csv": "\u201cé\u201d\n".encode("cp1252"), "u16.csv": "\ufeffnäme,\u0a0a\u0a0d\nx,\u0a41\n".encode("utf-16-le"), "u16b.csv": "a,b\nx,y\n".encode("utf-16"),
+             "be.csv": "\ufeffa,b\nx,y\n".encode("utf-16-be"), "sj.csv": "名前,値\nア,ソ\n".encode("cp932"), "late.csv": b"a,b\n" * 30000 + b"\xe9\n",
+             "cr.csv": b"a,b\r" + b"1,2\r" * 40, "blank.csv": b" \n\x0b\n" * 5000,
+             "long.csv": b"".join(rng.choice([b"a,b\n", b"\r\n", b"  \n", b"x" * 5000 + b"\n", b"\xc3\xa9\n", b"q\r"]) for _ in range(20000))}
+    for name, content in files.items():
+        file(content, name)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = compare_facts(spark, tmp_path, files, IntakeConfig(encodings=("utf-8-sig", "shift_jis", "utf-16", "nope", "base64", "cp1252", "latin-1")))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found["u16.csv"].encoding == "utf-16" and found["sj.csv"].encoding == "shift_jis"
+    compare_facts(spark, tmp_path, files, IntakeConfig())
+    none = compare_facts(spark, tmp_path, files, IntakeConfig(encodings=("nope",)))
+    assert none["e.csv"].encoding is None
+    codes = {r.file_name: r.code for r in X.file_manifest(X.read_files(spark, str(tmp_path), IntakeConfig(encodings=("nope",)))).collect()}
+    assert codes["e.csv"] == "unsupported_encoding" and codes["nul.csv"] == "binary_content"
+
+
+def test_compressed_names_have_no_facts(spark, file):
+    r = X.file_manifest(X.read_files(spark, file(gzip.compress(b"a,b\n1,2\n"), "t.csv.gz"))).first()
+    assert r.code == "invalid_extension" and r.fingerprint_sha256 is None
+
+
+def random_table(seed, rows=60):
+    rng = random.Random(seed)
+    cells = ["a", "x y", "", "é", 'q "" z', "l1\nl2", "\r\n", "c\rd", ",", '"', "  ", "last\n", "😀" * 30, "n" * 200, '5" in', '\n"\n']
+    return [[str(i), *(rng.choice(cells) for _ in range(3))] for i in range(rows)]
+
+
+def as_csv(table, end, seed):
+    """Quoted where it must be, and now and then where it need not."""
+    rng = random.Random(seed)
+    quote = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\r\n') and c != '5" in' or rng.random() < 0.2 else c
+    lines = [",".join(map(quote, r)) for r in [["id", "p", "q", "r"], *table]]
+    return "".join(line + end + (end if rng.random() < 0.1 else "") for line in lines)
+
+
+@pytest.mark.parametrize("encoding, end", [("utf-8-sig", "\n"), ("utf-8-sig", "\r\n"), ("latin-1", "\n"), ("utf-16", "\r\n"), ("utf-16-be", "\n"), ("cp932", "\n")])
+def test_quoted_line_ends_are_read_in_blocks(spark, tmp_path, monkeypatch, encoding, end):
+    monkeypatch.setattr(records, "ROWS", 7)
+    tables = {f"{name}.csv": random_table(seed, n) for seed, (name, n) in enumerate([("a", 400), ("b", 3), ("c", 60)])}
+    if encoding in ("latin-1", "cp932"):
+        tables = {f: [[c.replace("😀", "x").replace("é", "e" if encoding == "cp932" else "é") for c in r] for r in t] for f, t in tables.items()}
+    for name, t in tables.items():
+        (tmp_path / name).write_bytes(as_csv(t, end, 1).encode(encoding))
+    fmt = X.CsvFormat(("id", "p", "q", "r"), ",", encoding)
+    want = [[None if c in X.MISSING_TEXTS else c for c in r] for f in sorted(tables) for r in tables[f]]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("300b", "1k", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            scan = X.scan_csv(spark, str(tmp_path), fmt=fmt, multi_line=True)
+            assert [list(map(lambda c: None if c is None else str(c), r))[:4] for r in scan.table.orderBy("_ord").collect()] == want
+            places = X.with_positions(stage_columns(scan.placed)).orderBy("_ord").collect()
+            assert [r["_ord"] for r in places] == list(range(len(want))) and [str(r.id) for r in places] == [r[0] for r in want]
+            if size == "300b" and encoding == "utf-8-sig":
+                tasks = records.raw_lines(spark, str(tmp_path)).rdd.getNumPartitions()
+                assert tasks > 20  # the long file alone is cut into many blocks
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
 
 
-@pytest.mark.parametrize("content", [
-    b"a;b\n" + b"1;2\n" * 20, "\ufeffa|b\r\n\r\n 1|é\r\n".encode() * 9, b"n\n" + b"\xe9\n" * 30, b"n\n" + b"\x81\xe9\n" * 30,
-    b"a,b\n1,\x002\n" + b"1,2\n" * 20, b" \n\x0b\n" * 20, b"name, NAME\n" * 9, b"a\tb\r" + b"1\t2\r" * 30])
-def test_the_split_manifest_equals_that_of_whole_files(spark, file, monkeypatch, content):
-    path = file(content)
-    keep = lambda: X.manifest_of(spark, path).drop("path", "fingerprint_sha256").collect()
-    whole = keep()
-    monkeypatch.setattr(X, "BINARY_LIMIT", 16)
-    assert keep() == whole
-    assert X.manifest_of(spark, path).first()["fingerprint_sha256"].startswith("lines-")
+def test_blocks_equal_one_task_on_random_quoted_files(spark, file, tmp_path):
+    """Stray quotes, open quotes at the end and fields of many lines, against Spark's reader of whole files."""
+    rng = random.Random(9)
+    parts = ['a,b\n', '1,"x\ny"\n', '2,"""\n"\n', '3,5" in\n', '4,"p"q\n', '\n', '5,"' + "z\n" * 40 + '"\n', '"6\n",\n', "7,w\n"]
+    path = file("h1,h2\n" + "".join(rng.choice(parts) for _ in range(300)) + '8,"open')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        found = records.read_records(spark, path, ",", "utf-8").orderBy("rank", "n").select(F.from_csv("record", "c0 string, c1 string", {"escape": '"', "multiLine": "true"}).alias("r")).select("r.*").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = spark.read.schema("c0 string, c1 string").option("header", True).option("multiLine", True).option("escape", '"').csv(path).collect()
+    assert [tuple(r) for r in found] == [tuple(r) for r in want] and len(found) > 200
+
+
+def test_the_rule_of_record_ends_for_any_cut():
+    rng = random.Random(3)
+    cells = ["a", "", "x y", '"q,""\n"', '"\r\nz"', '"a\rb"', '""', '"""",', "5 in", '5" in', '"a"b']
+    quoting = records.Quoting(",")
+    for _ in range(3000):
+        text = "".join(",".join(rng.choice(cells) for _ in range(rng.randrange(1, 4))) + rng.choice(["\n", "\r\n"]) for _ in range(rng.randrange(1, 6)))
+        lines = text.encode().split(b"\n")[:-1]
+        want = [d for _, d in quoting.records(lines, False)]
+        cuts = sorted(rng.choices(range(len(lines) + 1), k=2))
+        got, inside = [], False
+        for block in (lines[: cuts[0]], lines[cuts[0] : cuts[1]], lines[cuts[1] :]):
+            for kind, data in quoting.records(block, inside) if block else ():
+                if kind == records.GOES_ON:
+                    got[-1] += b"\n" + data
+                else:
+                    got.append(data)
+            inside = quoting.effect(block)[inside]
+        assert got == want
+        plain = lambda rows: [r for r in rows if r and (len(r) > 1 or r[0].strip())]
+        assert plain(next(csv.reader(io.StringIO(d.decode(), newline=""))) for d in want) == plain(csv.reader(io.StringIO(text, newline="")))
 
 
 def test_audit_from_a_path_keeps_positions_and_file_facts(spark, file, tmp_path):
@@ -168,7 +283,7 @@ def test_preview_limits(spark):
 
 
 def test_heads_longer_than_the_first_read(spark, file, monkeypatch):
-    monkeypatch.setattr(X, "HEAD_BYTES", 64)
+    monkeypatch.setattr(streams, "WINDOW", 64)
     wide = ";".join(f"column {i}" for i in range(40))
     row = ";".join("é" * 3 for _ in range(40))
     fmt = X.detect_format(spark, file(f"\n{wide}\n" + f"{row}\n" * 3))
