@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -15,8 +16,8 @@ from colsift.llm.words import SHINGLE, shingle_runs, slices, text_bytes, word_ha
 RADIUS = 11
 BLOCKS = 4
 SIMILARITY = 0.75
-# Benchmark text a task holds at once; a larger benchmark is taken in several passes over the documents.
-BLOCK_BYTES = 16 << 20
+# Items and bytes of benchmark text a task holds at once (an index of about 5 KB an item); a larger benchmark takes several passes over the documents.
+BLOCK_ITEMS, BLOCK_BYTES = 4000, 4 << 20
 
 
 def fingerprints(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -32,40 +33,41 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class HammingIndex:
-    """Finds every item whose fingerprint is within ``RADIUS``.
+    """Finds every item of a window's length whose fingerprint is within ``RADIUS``.
 
     Fingerprints are cut into four blocks of 16 bits. Of two within the radius, some block differs by ``RADIUS // BLOCKS`` bits at
-    most; every value so near to an item's block names the item. Candidates are then compared in full. Items go 64 to a table row.
+    most; every value so near to an item's block names the item. A block's table is a sorted list of (length, value) and item, for all
+    lengths, so it is as long as there are items. Candidates are then compared in full.
     """
 
-    def __init__(self, prints: np.ndarray):
-        self.prints = prints
+    def __init__(self, prints: np.ndarray, lengths: np.ndarray):
+        self.prints, self.lengths = prints, np.unique(lengths)
         near = RADIUS // BLOCKS
         flips = np.array([sum(1 << b for b in c) for n in range(near + 1) for c in combinations(range(16), n)], np.uint16)
         blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
-        self.tables = []
-        for first in range(0, len(prints), 64):
-            table = np.zeros((BLOCKS, 1 << 16), np.uint64)
-            for i, item in enumerate(blocks[first : first + 64]):
-                for b in range(BLOCKS):
-                    table[b, item[b] ^ flips] |= np.uint64(1) << np.uint64(i)
-            self.tables.append(table)
-
-    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window and item numbers of all pairs within the radius."""
+        group = np.searchsorted(self.lengths, lengths).astype(np.uint64) << np.uint64(16)
+        self.keys, self.items = [], []
+        for b in range(BLOCKS):
+            keys = (group[:, None] | (blocks[:, b, None] ^ flips[None]).astype(np.uint64)).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.keys.append(keys[order].astype(np.uint32 if len(self.lengths) < 1 << 16 else np.uint64))
+            self.items.append((order // len(flips)).astype(np.int32))
+
+    def within(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Window and item numbers of all pairs within the radius, for windows that stand for items of ``length`` words."""
+        group = int(np.searchsorted(self.lengths, length)) << 16
         blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
-        windows, items = [], []
-        for k, table in enumerate(self.tables):
-            named = table[0, blocks[:, 0]]
-            for b in range(1, BLOCKS):
-                named = named | table[b, blocks[:, b]]
-            hit = np.flatnonzero(named)
-            bits = np.unpackbits(named[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            at, item = np.nonzero(bits)
-            windows.append(hit[at]), items.append(item + 64 * k)
-        windows, items = np.concatenate(windows), np.concatenate(items)
-        near = distance(prints[windows], self.prints[items]) <= RADIUS
-        return windows[near], items[near]
+        pairs = []
+        for b, (keys, items) in enumerate(zip(self.keys, self.items)):
+            wanted = (blocks[:, b].astype(np.uint64) | np.uint64(group)).astype(keys.dtype)
+            low = np.searchsorted(keys, wanted)
+            count = np.searchsorted(keys, wanted, "right") - low
+            window = np.repeat(np.arange(len(prints)), count)
+            item = items[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            near = distance(prints[window], self.prints[item]) <= RADIUS
+            pairs.append(window[near] * len(self.prints) + item[near])
+        found = np.unique(np.concatenate(pairs))
+        return found // len(self.prints), found % len(self.prints)
 
 
 @dataclass
@@ -73,7 +75,7 @@ class Benchmark:
     ids: list
     lengths: np.ndarray
     shingles: list[tuple[np.ndarray, np.ndarray]]
-    by_length: dict[int, tuple[np.ndarray, HammingIndex]]
+    index: HammingIndex
     known: np.ndarray
     weights: np.ndarray
 
@@ -88,7 +90,7 @@ def counted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prepared(ids: list, texts: list[bytes]) -> Benchmark | None:
-    """Items with words, indexed by their number of words."""
+    """Items with words, indexed by number of words and fingerprint."""
     words, at = word_hashes(texts)
     runs = [shingle_runs(words[a:b]) for a, b in zip(at[:-1], at[1:])]
     some = [i for i, r in enumerate(runs) if len(r)]
@@ -98,8 +100,7 @@ def prepared(ids: list, texts: list[bytes]) -> Benchmark | None:
     shingles = [counted(runs[i]) for i in some]
     known, holders = np.unique(np.concatenate([s for s, _ in shingles]), return_counts=True)
     prints = np.concatenate([fingerprints(words[at[i] : at[i + 1]], np.array([0]), int(at[i + 1] - at[i])) for i in some])
-    by_length = {int(n): (np.flatnonzero(lengths == n), HammingIndex(prints[lengths == n])) for n in np.unique(lengths)}
-    return Benchmark([ids[i] for i in some], lengths, shingles, by_length, known, 1 + np.log(len(some) / holders))
+    return Benchmark([ids[i] for i in some], lengths, shingles, HammingIndex(prints, lengths), known, 1 + np.log(len(some) / holders))
 
 
 def similarity(bench: Benchmark, item: int, shingles: np.ndarray) -> float:
@@ -119,31 +120,31 @@ def matches(words: np.ndarray, bench: Benchmark, least: float = SIMILARITY) -> l
     # A window without any shingle of the benchmark has similarity 0 to all items: only the others are fingerprinted.
     hits = np.concatenate(([0], np.cumsum(np.isin(runs, bench.known))))
     best: dict[int, tuple[float, int, int]] = {}
-    for length, (items, index) in bench.by_length.items():
+    for length in bench.index.lengths.tolist():
         size = min(length, n)
         span = max(1, size - SHINGLE + 1)
         starts = np.arange(n - size + 1) if n >= SHINGLE else np.zeros(1, np.int64)
         starts = starts[hits[np.minimum(starts + span, len(runs))] > hits[starts]] if size >= SHINGLE or n < SHINGLE else starts
         if not len(starts):
             continue
-        at, item = index.within(fingerprints(words, starts, size))
-        for s, i in zip(starts[at].tolist(), items[item].tolist()):
+        at, item = bench.index.within(fingerprints(words, starts, size), length)
+        for s, i in zip(starts[at].tolist(), item.tolist()):
             score = similarity(bench, i, runs[s : s + span] if size >= SHINGLE or n < SHINGLE else shingle_runs(words[s : s + size]))
             if score >= least and score > best.get(i, (0.0,))[0]:
                 best[i] = (score, s, size)
     return [(i, *x) for i, x in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame) -> list[Benchmark]:
-    """The benchmark, cut into blocks of bounded size by a hash of the item; each is sent to the tasks in turn."""
+def blocks(benchmark: DataFrame) -> Iterator[Benchmark]:
+    """The benchmark, cut into blocks of bounded size by a hash of the item, one after the other; each is sent to the tasks in turn."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // BLOCK_BYTES))
-    out = []
+    total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    parts = max(1, -(-total["n"] // BLOCK_ITEMS), -(-total["size"] // BLOCK_BYTES))
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        out.append(prepared([r["item_id"] for r in rows], [r["text"].encode() for r in rows]))
-    return [b for b in out if b]
+        found = prepared([r["item_id"] for r in rows], [r["text"].encode() for r in rows])
+        if found:
+            yield found
 
 
 def touched(texts: list[bytes], bench: Benchmark):
