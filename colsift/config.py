@@ -45,6 +45,8 @@ class CheckConfig:
     cardinality_high_share: float = 80.0
 
     iqr_multiplier: float = 1.5
+    # quartiles from sketches of this size in one pass, within a stated rank error; exact where it is None
+    approx_quartiles: int | None = None
 
     numeric_text_share: float = 90.0
     date_text_share: float = 80.0
@@ -72,6 +74,7 @@ class CheckConfig:
         _require(self.cardinality_share <= self.cardinality_high_share,
                  "cardinality_high_share must not be below cardinality_share")
         _require(self.cardinality_count >= 2, "cardinality_count must be at least 2")
+        _require(self.approx_quartiles is None or 8 <= self.approx_quartiles <= 65535, "approx_quartiles must lie within 8..65535")
         _require(self.iqr_multiplier > 0, "iqr_multiplier must be positive")
         _require(self.mixed_date_formats >= 2, "mixed_date_formats must be at least 2")
         _require(self.variant_examples >= 2, "variant_examples must be at least 2")

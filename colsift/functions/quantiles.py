@@ -51,6 +51,18 @@ def ranked(frame: DataFrame, values: dict[str, Column], ranks: dict[str, Iterabl
     return found
 
 
+def rank_error(size: int) -> float:
+    """How far, as a share of all values, the rank of a sketched quantile may be off: twice the 99 % bound of KLL sketches, five standard deviations."""
+    return 2 * 2.296 / size ** 0.9021
+
+
+def sketched(frame: DataFrame, values: dict[str, Column], size: int, probs=(0.25, 0.75)) -> dict[str, list[float]]:
+    """Quantiles of finite double columns within ``rank_error(size)``, in one pass: mergeable KLL sketches, a few KB a column and task."""
+    asked = F.array(*[F.lit(p) for p in probs])
+    row = frame.agg(*[F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v.cast("double"), size), asked).alias(name) for name, v in values.items()]).first()
+    return {name: list(row[name]) for name in values}
+
+
 def _narrowed(frame: DataFrame, values: dict[str, Column], pending: dict) -> dict:
     """Each rank with the bin of its bracket that holds it as the new bracket."""
     targets: dict[tuple, str] = {}

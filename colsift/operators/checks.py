@@ -173,15 +173,19 @@ def high_cardinality_categories(p: TableProfile) -> DataFrame:
 
 
 def numeric_outliers(p: TableProfile, include_clean: bool = False) -> DataFrame:
-    """Values outside the interquartile bounds; infinities always count."""
+    """Values outside the interquartile bounds; infinities always count.
+
+    With ``approx_quartiles`` the bounds come from sketches, and the method says so; what lies outside them is counted exactly.
+    """
     cfg = p.config
+    quartiles = p.sketched_quartiles if cfg.approx_quartiles else p.quartiles
     asked = [c for c in p.of_group("numeric") if p.non_null(c)]
     values: dict[str, dict] = {}
     outside: dict[str, Column] = {}
     for c in asked:
         value = F.col(c.ref).cast("double")
-        if c.ref in p.quartiles:
-            q1, q3 = p.quartiles[c.ref]
+        if c.ref in quartiles:
+            q1, q3 = quartiles[c.ref]
             low, high = q1 - cfg.iqr_multiplier * (q3 - q1), q3 + cfg.iqr_multiplier * (q3 - q1)
             values[c.ref] = dict(q1=q1, q3=q3, iqr=q3 - q1, lower_bound=low, upper_bound=high)
             outside[c.ref] = F.when((value < F.lit(low)) | (value > F.lit(high)), value)
@@ -207,7 +211,7 @@ def numeric_outliers(p: TableProfile, include_clean: bool = False) -> DataFrame:
             .select("dataset", "column", "dtype",
                     F.when(count == 0, "PASS").otherwise("OUTLIERS_DETECTED").alias("status"),
                     four_bands(count, F.col("outlier_percentage"), cfg.outlier_bands).alias("severity"),
-                    F.lit("IQR").alias("method"), F.lit(float(cfg.iqr_multiplier)).alias("iqr_multiplier"),
+                    F.lit("IQR_APPROX" if cfg.approx_quartiles else "IQR").alias("method"), F.lit(float(cfg.iqr_multiplier)).alias("iqr_multiplier"),
                     "non_null_count", "finite_count", "infinite_count",
                     *doubles[:5],
                     "outlier_count", "outlier_percentage", "minimum_outlier", "maximum_outlier",

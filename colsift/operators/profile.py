@@ -340,6 +340,15 @@ class TableProfile:
                 {c.ref: self.non_null(c) - self.infinite(c) for c in part})
         return same
 
+    @cached_property
+    def sketched_quartiles(self) -> dict[str, list[float]]:
+        """The same within the rank error of the sketch size that the configuration asks for."""
+        asked = [c for c in self.of_group("numeric") if self.non_null(c) > self.infinite(c)]
+        found: dict[str, list[float]] = {}
+        for part in slices(asked):
+            found |= Q.sketched(self.frame, {c.ref: self.finite(c) for c in part}, self.config.approx_quartiles)
+        return found
+
     @staticmethod
     def ordinal(c: ColumnInfo) -> Column:
         """A datetime as a long that keeps equality and order."""

@@ -15,6 +15,7 @@ from ..operators.duplicates import duplicates
 from ..operators.overview import dataset_overview
 from ..operators.profile import TableProfile
 from ..sources import csv as X
+from ..sources.folder import scan_folder
 from . import issues as I
 from . import report as R
 from . import score as S
@@ -150,12 +151,20 @@ def audit(tables: dict[str, DataFrame] | DataFrame, *, order_by=None, row_id: st
 
 def audit_csv(spark: SparkSession, path: str, *, dataset: str = "table", intake: IntakeConfig = IntakeConfig(),
               config: CheckConfig | None = None, score_config: ScoreConfig | None = None,
-              report_config: ReportConfig | None = None) -> Audit:
+              report_config: ReportConfig | None = None, per_file: bool = False) -> Audit:
     """Audit a CSV file, or a folder of files with one header, from its path.
 
     The text is parsed and typed once and staged by columns; rows are known by
     their position from 0. The report holds the facts of the files.
+
+    With ``per_file`` every file of the folder is a data set of its own, named
+    by its path below the folder, whatever its header and encoding. Files that
+    break a rule are left out; ``scan_folder`` tells which and why.
     """
+    if per_file:
+        folder = scan_folder(spark, path, intake)
+        return audit({name: folder.table(name) for name in folder.names()}, row_id="_ord", config=config, score_config=score_config,
+                     report_config=report_config, files=folder.files.where("code IS NULL").drop("path", "code"))
     manifest = X.manifest_of(spark, path, intake)
     scan = X.scan_csv(spark, path, intake, fmt=X.common_format(manifest, path))
     rows = X.with_positions(stage_columns(scan.placed))

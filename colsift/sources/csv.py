@@ -18,7 +18,7 @@ from ..config import AuditError, IntakeConfig
 from ..functions import text as X
 from ..functions.stage import small, stage
 from ..operators.profile import SLICE, check_names, quoted
-from .records import read_records
+from .records import Formats, read_records
 from .streams import content_facts, file_name, path_facts
 
 # Texts that a CSV cell may hold for a missing value.
@@ -196,7 +196,7 @@ def read_text_columns(spark: SparkSession, path: str, fmt: CsvFormat, multi_line
     schema = T.StructType([T.StructField(r, T.StringType()) for r in [*refs, "_bad"]])
     if multi_line or fmt.encoding not in DIRECT:
         options = {"sep": fmt.delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "multiLine": "true"}
-        records = read_records(spark, path, fmt.delimiter, fmt.encoding)
+        records = read_records(spark, path, Formats.one(fmt.delimiter, fmt.encoding))
         raw = records.withColumn("row", F.from_csv("record", schema.toDDL(), options)).select(
             "row.*", F.lit("").alias(PLACE[0]), F.col("rank").alias(PLACE[1]), "n")
         order = F.shiftleft(PLACE[1], 32) + F.col("n")
@@ -247,7 +247,8 @@ def quoted_line_ends(spark: SparkSession, path: str) -> bool:
     return not lines.filter(quotes % 2 == 1).isEmpty()
 
 
-def _typing(ref: str) -> list[Column]:
+def type_counts(ref: str) -> list[Column]:
+    """How many values a text column has, and how many of them read as whole numbers, numbers and truth values."""
     text = F.col(ref)
     bare = X.strip(text)
     whole = bare.rlike(r"^[+-]?\d+\z") & bare.try_cast("long").isNotNull()
@@ -256,6 +257,17 @@ def _typing(ref: str) -> list[Column]:
             F.count_if(text.isin("true", "false", "TRUE", "FALSE", "True", "False")).alias(f"{ref}_bool")]
 
 
+def number_value(text: Column, kind: str) -> Column:
+    """A text as a value of the type its column was found to have."""
+    bare = X.strip(text)
+    if kind == "long":
+        return bare.cast("long")
+    if kind == "double":
+        return (F.when(bare.rlike(X.INFINITY), F.when(bare.startswith("-"), F.lit(float("-inf")))
+                       .otherwise(F.lit(float("inf")))).otherwise(bare.try_cast("double")))
+    return F.lower(text) == "true" if kind == "boolean" else text
+
+
 @dataclass(frozen=True)
 class CsvTable:
     """A typed table with ``_ord`` as its row order, and the facts of its scan."""
@@ -303,7 +315,7 @@ def scan_csv(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig
     facts: dict = {}
     for i in range(0, len(refs), SLICE):
         row = text.agg(F.count(F.lit(1)).alias("rows"), F.count_if("_overflow").alias("overflow"),
-                       *[a for r in refs[i:i + SLICE] for a in _typing(r)]).first()
+                       *[a for r in refs[i:i + SLICE] for a in type_counts(r)]).first()
         facts.update(row.asDict())
     if facts["overflow"]:
         raise AuditError(f"{facts['overflow']} rows have more fields than the header", "parser_error")
@@ -316,19 +328,10 @@ def scan_csv(spark: SparkSession, path: str, config: IntakeConfig = IntakeConfig
 
     columns = []
     for r, name in zip(refs, fmt.names):
-        n, bare = facts[f"{r}_n"], X.strip(F.col(r))
-        if n == 0:
-            typed = F.col(r).cast("double")
-        elif facts[f"{r}_int"] == n:
-            typed = bare.cast("long")
-        elif facts[f"{r}_num"] == n:
-            typed = (F.when(bare.rlike(X.INFINITY), F.when(bare.startswith("-"), F.lit(float("-inf")))
-                            .otherwise(F.lit(float("inf")))).otherwise(bare.try_cast("double")))
-        elif facts[f"{r}_bool"] == n:
-            typed = F.lower(r) == "true"
-        else:
-            typed = F.col(r)
-        columns.append(typed.alias(name))
+        n = facts[f"{r}_n"]
+        kind = ("double" if n == 0 else "long" if facts[f"{r}_int"] == n else "double" if facts[f"{r}_num"] == n
+                else "boolean" if facts[f"{r}_bool"] == n else "string")
+        columns.append(number_value(F.col(r), kind).alias(name))
     placed = text.select(*columns, "_ord", *PLACE)
     empty = tuple(name for r, name in zip(refs, fmt.names) if not facts[f"{r}_n"])
     return CsvTable(placed.drop(*PLACE), fmt, facts["rows"], empty, placed)

@@ -8,7 +8,6 @@ block has of a record that began before it, and of one that goes on behind it, m
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.stage import stage, stage_columns, work_folder
-from .streams import StreamDecoder, chunks, listing, raw_lines, runs, splits_at_bytes, whole_file_session
+from ..functions.stage import stage, stage_columns
+from .streams import COMPRESSED, StreamDecoder, chunks, listing, raw_lines, runs, splits_at_bytes, whole_file_session, written
 
 # Fixed value: the characters up to the blank, of which a line without any record consists.
 BLANK = bytes(range(33))
@@ -81,17 +80,20 @@ class Quoting:
             yield (GOES_ON if kind == GOES_ON else OPEN), b"".join(held[:-1])
 
 
-def _effects(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
+def _effects(spark: SparkSession, path: str, formats: Formats) -> DataFrame:
     """One row a block: file, block, outside, inside (what it ends in for either beginning), text."""
 
     def read(batches):
-        quoting = Quoting(delimiter)
+        quoting = formats.quoting()
         state: dict[tuple[int, int], list[bool]] = {}
         for key, rows in runs(batches):
+            kind = formats.kind(key[0])
+            if kind < 0:
+                continue
             if key not in state:
                 yield from rows_of(state)
                 state = {key: [False, True, False]}
-            out, ins, text = quoting.effect(rows.column("value").to_pylist())
+            out, ins, text = quoting[kind].effect(rows.column("value").to_pylist())
             a, b, t = state[key]
             state[key] = [ins if a else out, ins if b else out, t or text]
         yield from rows_of(state)
@@ -122,6 +124,40 @@ def block_starts(effects: DataFrame, files: DataFrame) -> DataFrame:
     return placed.join(files.select("file", "path"), "file").withColumn("rank", F.row_number().over(W.orderBy("path", "block")).cast("long")).drop("path")
 
 
+class Formats:
+    """Delimiter and encoding of files, as arrays of some 10 bytes a file; or one format for all."""
+
+    def __init__(self, files: np.ndarray | None, kinds: np.ndarray | None, known: list[tuple[str, str]]):
+        order = None if files is None else np.argsort(files)
+        self.files, self.kinds = (None, None) if order is None else (files[order], kinds[order])
+        self.known = known
+
+    @staticmethod
+    def one(delimiter: str, encoding: str) -> Formats:
+        return Formats(None, None, [(delimiter, encoding)])
+
+    def kind(self, file: int) -> int:
+        """Number of the file's format, -1 for a file that is not to be read."""
+        if self.files is None:
+            return 0
+        i = int(np.searchsorted(self.files, file))
+        return int(self.kinds[i]) if i < len(self.files) and self.files[i] == file else -1
+
+    def select(self, split: bool) -> Formats:
+        """The files that can be read in blocks, or the others."""
+        wanted = np.array([splits_at_bytes(e) == split for _, e in self.known], bool)
+        if self.files is None:
+            return self if wanted.all() else Formats(np.zeros(0, np.int64), np.zeros(0, np.int16), self.known)
+        keep = wanted[self.kinds] if len(self.files) else np.zeros(0, bool)
+        return Formats(self.files[keep], self.kinds[keep], self.known)
+
+    def any(self) -> bool:
+        return self.files is None or len(self.files) > 0
+
+    def quoting(self) -> list[Quoting]:
+        return [Quoting(d) for d, _ in self.known]
+
+
 class Blocks:
     """The facts of all blocks as arrays of 18 bytes a block, found by their place."""
 
@@ -186,27 +222,32 @@ def block_lines(batches, current: dict) -> Iterator[tuple[tuple[int, int, int],
         yield (*key, place), lines(key)
 
 
-def split_records(spark: SparkSession, path: str, delimiter: str, encoding: str) -> DataFrame:
+def split_records(spark: SparkSession, path: str, formats: Formats) -> DataFrame:
     """Records of the files below ``path``, blocks side by side: PARTS."""
     files = stage(listing(spark, path))
     place = F.xxhash64("file", "block").alias("place")
-    starts = stage(block_starts(stage(_effects(spark, path, delimiter)), files))
+    starts = stage(block_starts(stage(_effects(spark, path, formats)), files))
     blocks = Blocks(starts.select(place, "rank", "starts", "header").toArrow())
 
     def read(batches):
-        quoting = Quoting(delimiter)
+        quoting = formats.quoting()
         for (file, _, at), lines in block_lines(batches, {}):
+            kind = formats.kind(file)
+            if kind < 0:
+                for _ in lines:
+                    pass
+                continue
             rank, inside, header = blocks[at]
-            yield from _part_rows(file, rank, header, quoting.records(lines, inside), encoding)
+            yield from _part_rows(file, rank, header, quoting[kind].records(lines, inside), formats.known[kind][1])
 
     return stage_columns(raw_lines(spark, path).select("file", "block", place, "value").mapInArrow(read, PARTS))
 
 
-def stream_records(spark: SparkSession, path: str, delimiter: str, encoding: str) -> DataFrame:
-    """The same for encodings in which a block can't be read by itself: each file is decoded by one task, as a stream."""
+def stream_records(spark: SparkSession, path: str, formats: Formats) -> DataFrame:
+    """The same for encodings in which a block can't be read by itself: each file is decoded by one task, as a stream. Parts are UTF-8."""
     files = stage(listing(spark, path).withColumn("rank", F.row_number().over(W.orderBy("path")).cast("long")))
 
-    def decoded(pieces) -> Iterator[bytes]:
+    def decoded(pieces, encoding) -> Iterator[bytes]:
         decoder, rest = StreamDecoder(encoding), b""
         for piece, last in pieces:
             *lines, rest = (rest + decoder.decode(piece, last).encode()).split(b"\n")
@@ -215,7 +256,7 @@ def stream_records(spark: SparkSession, path: str, delimiter: str, encoding: str
             yield rest
 
     def read(batches):
-        quoting, source, ahead = Quoting(delimiter), chunks(batches), []
+        quoting, source, ahead = formats.quoting(), chunks(batches), []
 
         def pieces():
             while True:
@@ -227,34 +268,46 @@ def stream_records(spark: SparkSession, path: str, delimiter: str, encoding: str
 
         for one in source:
             ahead.append(one)
-            yield from _part_rows(one[0], 0, True, quoting.records(decoded(pieces()), False), "utf-8")
+            kind = formats.kind(one[0])
+            if kind < 0:
+                for _ in pieces():
+                    pass
+                continue
+            yield from _part_rows(one[0], 0, True, quoting[kind].records(decoded(pieces(), formats.known[kind][1]), False), "utf-8")
 
-    lines = raw_lines(whole_file_session(spark), path)
-    target = f"{work_folder(spark).rstrip('/')}/colsift-{uuid.uuid4().hex}"
-    parts = lines.mapInArrow(read, PARTS)
-    parts.write.parquet(target)
-    return spark.read.schema(parts.schema).parquet(target).drop("rank").join(files.select("file", "rank"), "file").select(*[x.split()[0] for x in PARTS.split(", ")])
+    lines = raw_lines(whole_file_session(spark), path).where(~F.col("name").rlike(COMPRESSED))
+    parts = written(lines.mapInArrow(read, PARTS), spark)
+    return parts.drop("rank").join(files.select("file", "rank"), "file").select(*[x.split()[0] for x in PARTS.split(", ")])
 
 
-def joined_records(parts: DataFrame, encoding: str) -> DataFrame:
-    """rank, n, record: whole records, and those put together of the parts that blocks have of them."""
+def joined_records(parts: DataFrame, formats: Formats) -> DataFrame:
+    """file, rank, n, record: whole records, and those put together of the parts that blocks have of them."""
     cut = parts.where(F.col("kind") != WHOLE)
     # In a block the rest of an earlier record comes before the one that goes on behind it.
     order = W.partitionBy("file").orderBy("rank", F.desc("kind"))
     numbered = cut.withColumn("own", F.sum((F.col("kind") == OPEN).cast("long")).over(order))
     each = numbered.groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("kind") == GOES_ON, "n", "part"))).alias("all"))
-    each = each.select(F.col("all")[0]["rank"].alias("rank"), F.col("all")[0]["n"].alias("n"), F.transform("all", lambda x: x["part"]).alias("parts"))
+    each = each.select("file", F.col("all")[0]["rank"].alias("rank"), F.col("all")[0]["n"].alias("n"), F.transform("all", lambda x: x["part"]).alias("parts"))
 
     def join(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column("rank"), batch.column("n"), pa.array([b"\n".join(p).decode(encoding) for p in batch.column("parts").to_pylist()], pa.string())], ["rank", "n", "record"])
+            encodings = [formats.known[formats.kind(f)][1] for f in batch.column("file").to_pylist()]
+            joined = [b"\n".join(p).decode(e if splits_at_bytes(e) else "utf-8") for p, e in zip(batch.column("parts").to_pylist(), encodings)]
+            yield pa.record_batch([*(batch.column(c) for c in ("file", "rank", "n")), pa.array(joined, pa.string())], ["file", "rank", "n", "record"])
+
+    whole = parts.where(F.col("kind") == WHOLE).select("file", "rank", "n", "record")
+    return whole.unionByName(each.mapInArrow(join, "file long, rank long, n long, record string")).where("n >= 0")
 
-    whole = parts.where(F.col("kind") == WHOLE).select("rank", "n", "record")
-    return whole.unionByName(each.mapInArrow(join, "rank long, n long, record string")).where("n >= 0")
 
+def read_records(spark: SparkSession, path: str, formats: Formats) -> DataFrame:
+    """file, rank, n, record of the files below ``path`` without their headers; ``n`` counts the records of a block, whose order is ``rank``.
 
-def read_records(spark: SparkSession, path: str, delimiter: str, encoding: str) -> DataFrame:
-    """rank, n, record of all files below ``path`` without their headers; ``n`` counts the records of a block, whose order is ``rank``."""
-    if splits_at_bytes(encoding):
-        return joined_records(split_records(spark, path, delimiter, encoding), encoding)
-    return joined_records(stream_records(spark, path, delimiter, encoding), "utf-8")
+    Whatever the number of files and formats, the jobs are the same: at most one series for files that are read in blocks, one for others.
+    """
+    out = None
+    for split, reader in ((True, split_records), (False, stream_records)):
+        own = formats.select(split)
+        if own.any():
+            part = joined_records(reader(spark, path, own), own)
+            out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "file long, rank long, n long, record string") if out is None else out

@@ -12,7 +12,7 @@ from colsift import AuditError, IntakeConfig, TableProfile, audit_csv
 from colsift.functions.stage import stage_columns
 from colsift.operators import checks as C
 from colsift.sources import csv as X
-from colsift.sources import records, sinks, streams
+from colsift.sources import folder, records, sinks, streams
 
 
 @pytest.fixture
@@ -217,7 +217,7 @@ def test_blocks_equal_one_task_on_random_quoted_files(spark, file, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
     try:
-        found = records.read_records(spark, path, ",", "utf-8").orderBy("rank", "n").select(F.from_csv("record", "c0 string, c1 string", {"escape": '"', "multiLine": "true"}).alias("r")).select("r.*").collect()
+        found = records.read_records(spark, path, records.Formats.one(",", "utf-8")).orderBy("rank", "n").select(F.from_csv("record", "c0 string, c1 string", {"escape": '"', "multiLine": "true"}).alias("r")).select("r.*").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     want = spark.read.schema("c0 string, c1 string").option("header", True).option("multiLine", True).option("escape", '"').csv(path).collect()
@@ -290,3 +290,67 @@ def test_heads_longer_than_the_first_read(spark, file, monkeypatch):
     assert fmt.delimiter == ";" and len(fmt.names) == 40 and fmt.names[-1] == "column 39"
     many = X.detect_format(spark, file("a|b\n" + "1|2\n" * 100, "u.csv"))
     assert many.delimiter == "|" and many.names == ("a", "b")
+
+
+def mixed_folder(tmp_path):
+    (tmp_path / "sub").mkdir()
+    tables = {"a": "id,b\n1,x\n2,y\n2,y\n", "sub/a": "id;b;c\n1;2.5;true\n2;;False\n", "t": "k\tv\n1\t\"p\nq\"\n2\tr\n", "one": "only\n5\n7\n",
+              "blank": ",w,\n1,x,\n2,y,\n", "wide": ",".join(f"c{i}" for i in range(30)) + "\n" + ",".join("9" * 30) + "\n"}
+    for name, text in tables.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    (tmp_path / "win.csv").write_bytes("n,m\n“é”x,1\n".encode("cp1252"))
+    (tmp_path / "u16.csv").write_bytes("n,m\n\"é\n2\",1\nz,2\n".encode("utf-16"))
+    (tmp_path / "bad.csv").write_bytes(b"a,b\n1,2,3\n")
+    (tmp_path / "nul.csv").write_bytes(b"a,b\n1,\x002\n")
+    (tmp_path / "twice.csv").write_bytes(b"a,A\n1,2\n")
+    (tmp_path / "head.csv").write_bytes(b"a,b\n")
+    (tmp_path / "none.csv").write_bytes(b"a,b\n,NA\n")
+    (tmp_path / "note.txt").write_bytes(b"a,b\n1,2\n")
+    return [*tables, "win", "u16"]
+
+
+def test_a_folder_of_different_tables_equals_each_file(spark, tmp_path):
+    good = mixed_folder(tmp_path)
+    intake = IntakeConfig(encodings=("utf-8-sig", "utf-16", "cp1252"))
+    scan = folder.scan_folder(spark, str(tmp_path), intake)
+    files = {r.dataset: r for r in scan.files.collect()}
+    wrong = {"bad": "parser_error", "nul": "binary_content", "twice": "duplicate_columns", "head": "no_data_rows", "none": "all_rows_empty", "note.txt": "invalid_extension"}
+    assert {n: r.code for n, r in files.items() if r.code} == wrong and scan.names() == sorted(good)
+    for name in good:
+        alone = X.scan_csv(spark, str(tmp_path / f"{name}.csv"), intake)
+        here = scan.table(name)
+        assert here.dtypes[:-1] == alone.table.dtypes[:-1]
+        rows = lambda df: [tuple(r)[:-1] for r in df.orderBy("_ord").collect()]
+        assert rows(here) == rows(alone.table) and [r["_ord"] for r in here.orderBy("_ord").collect()] == list(range(alone.row_count))
+        assert (files[name].row_count, files[name].column_count) == (alone.row_count, len(alone.format.names))
+        assert files[name].warnings == [r.code for r in alone.warnings().collect()]
+        assert files[name].fingerprint_sha256 == hashlib.sha256((tmp_path / f"{name}.csv").read_bytes()).hexdigest()
+    with pytest.raises(AuditError):
+        scan.table("bad")
+
+
+def test_jobs_of_a_folder_do_not_grow_with_its_files(spark, tmp_path):
+    def jobs(n):
+        path = tmp_path / str(n)
+        path.mkdir()
+        for i in range(n):
+            (path / f"f{i}.csv").write_text(f"h{i}{';,'[i % 2]}b\n{i}{';,'[i % 2]}x\n")
+        spark.sparkContext.setJobGroup(f"folder-{n}", "folder")
+        try:
+            scan = folder.scan_folder(spark, str(path))
+            assert scan.files.where("code IS NULL").count() == n and scan.columns.count() == 2 * n
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"folder-{n}"))
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+    assert jobs(40) <= jobs(4) + 3
+
+
+def test_audit_of_every_file_equals_audits_of_each(spark, tmp_path):
+    for name, text in {"a": "id,b\n1,x\n2,y\n2,y\n3,\n", "b": "k;v\n" + "".join(f"{i};{i * i}\n" for i in range(30)) + "5;99999\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    both = audit_csv(spark, str(tmp_path), per_file=True)
+    for name in ("a", "b"):
+        alone = audit_csv(spark, str(tmp_path / f"{name}.csv"), dataset=name)
+        for result in ("score", "issues", "overview", "metadata"):
+            one = lambda df: sorted(map(str, df.where(F.col("dataset") == name).collect()))
+            assert one(getattr(both, result)) == one(getattr(alone, result))
