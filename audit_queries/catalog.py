@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsift import Audit, TableProfile, audit
+from colsift import Audit, CheckConfig, TableProfile, audit
+from colsift.functions.quantiles import rank_error
 from colsift.operators import checks as C
 from colsift.operators.duplicates import duplicates
 from colsift.operators.overview import dataset_overview
@@ -18,6 +19,7 @@ from colsift.plans import score as S
 from colsift.plans import views as V
 from colsift.sources import csv as X
 from colsift.sources import sinks as K
+from colsift.sources.folder import scan_folder
 
 from . import inputs
 
@@ -117,6 +119,51 @@ def load_warnings(spark: SparkSession, d: str) -> DataFrame:
     return _scan(spark, d).warnings()
 
 
+def scan_csv_multi_line(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as CSV, whose html holds line ends and quotes, written and read back."""
+    path = inputs.scratch(spark)
+    pages = inputs.table(spark, d, "pages").select("page_id", "url", "html")
+    (pages.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    found = X.scan_csv(spark, path, fmt=X.CsvFormat(("page_id", "url", "html"), ",", "utf-8-sig"), multi_line=True).table
+    return found.select("page_id", "url", F.length("html").cast("long").alias("chars"), F.sha2("html", 256).alias("html_sha256"))
+
+
+def folder_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Some hundred and fifty CSV files of four tables, read as data sets of their own: the columns of each."""
+    path = inputs.scratch(spark)
+    for name, key, columns, sep, encoding in inputs.FOLDER:
+        table = inputs.table(spark, d, name).selectExpr(f"{key} AS k", *columns)
+        (table.repartition("k").write.partitionBy("k").option("header", True).option("escape", '"').option("sep", sep).option("encoding", encoding)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{name}"))
+    scan = scan_folder(spark, path)
+    part = F.regexp_extract("dataset", "^([a-z]+/k=[^/]+)/", 1)
+    files = scan.files.select("dataset", part.alias("part"), "row_count", "column_count", "encoding", "delimiter", "code", F.concat_ws(",", "warnings").alias("warnings"))
+    return files.join(scan.columns.select("dataset", "position", "name", "dtype", "non_null_count"), "dataset").drop("dataset")
+
+
+def audit_several(spark: SparkSession, d: str) -> DataFrame:
+    """The findings of one audit of four tables."""
+    tables = {inputs.NAME: inputs.dirty(spark, d), inputs.DOCS_NAME: inputs.documents(spark, d),
+              "customer": inputs.table(spark, d, "customer"), "labels": inputs.table(spark, d, "labels")}
+    return findings(audit(tables, order_by={inputs.NAME: "order_id", inputs.DOCS_NAME: inputs.DOCS_INDEX}), S.CHECKS)
+
+
+def approximate_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Sketched quartiles of lineitem's numbers, and whether their exact ranks are within the stated error."""
+    size = 1024
+    p = TableProfile(inputs.table(spark, d, "lineitem"), "lineitem", config=CheckConfig(approx_quartiles=size))
+    columns = {c.name: c for c in p.of_group("numeric")}
+    error, counts = rank_error(size), []
+    for c in columns.values():
+        for place, q in zip((0.25, 0.75), p.sketched_quartiles[c.ref]):
+            below, upto = F.count_if(F.col(c.ref) < F.lit(q)) / F.count(c.ref), F.count_if(F.col(c.ref) <= F.lit(q)) / F.count(c.ref)
+            counts.append(((below <= place + error) & (upto >= place - error)).alias(f"{c.name}_{place}"))
+    ranks = p.frame.agg(*counts)
+    within = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}_0.25`").alias("q1_within"), F.col(f"`{n}_0.75`").alias("q3_within")) for n in columns])
+    found = C.numeric_outliers(p, include_clean=True).select("dataset", "column", "method", "non_null_count", "finite_count")
+    return found.join(ranks.select(F.inline(within)), "column")
+
+
 def write_report_json(spark: SparkSession, d: str) -> DataFrame:
     path, a = inputs.scratch(spark), shared_audit(spark, d)
     K.write_report_json(a.report(inputs.STAMP), path, a.issues)
@@ -175,6 +222,8 @@ QUERIES: dict[str, Query] = {
     "validate_header": file_query(X.validate_header),
     "scan_csv": scan_csv,
     "load_warnings": load_warnings,
+    "scan_csv_multi_line": scan_csv_multi_line,
+    "folder_columns": folder_columns,
     # sinks
     "write_report_json": write_report_json,
     "write_issues_csv": write_issues_csv,
@@ -204,6 +253,8 @@ QUERIES: dict[str, Query] = {
     "outliers_events": on_table(C.numeric_outliers, "events", drop=("example_outlier_values",)),
     "outliers_documents": on_table(C.numeric_outliers, "documents", drop=("example_outlier_values",)),
     "outliers_lineitem": on_table(C.numeric_outliers, "lineitem", drop=("example_outlier_values",)),
+    "outliers_lineitem_approx": approximate_outliers,
+    "audit_several": audit_several,
     "near_constant_labels": on_table(C.near_constant_columns, "labels"),
     "missing_values_documents_dirty": on_documents(C.missing_values),
     "near_constant_documents_dirty": on_documents(C.near_constant_columns),

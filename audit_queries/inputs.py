@@ -80,6 +80,16 @@ FROM ({files}) f
 """
 
 
+# Tables cut into files: name, key, columns (SQL, the names they get), delimiter, encoding. Some texts hold line ends and letters beyond ASCII.
+FOLDER = [
+    ("customer", "c_nationkey", ("c_custkey AS id", "CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, chr(10), '\"x\"') ELSE c_name END AS name", "c_acctbal AS balance", "c_mktsegment AS segment"), ",", "UTF-8"),
+    ("supplier", "s_nationkey", ("concat(s_name, chr(233)) AS label", "s_acctbal AS balance", "s_suppkey % 2 = 0 AS even"), ";", "ISO-8859-1"),
+    ("part", "p_size", ("p_partkey AS id", "p_brand AS brand", "CASE WHEN p_partkey % 5 = 0 THEN 'n/a' ELSE p_type END AS kind", "p_retailprice AS price", "CAST(NULL AS STRING) AS note"), "|", "UTF-8"),
+    ("orders", "substr(CAST(o_orderdate AS STRING), 1, 7)", ("o_orderkey AS id", "concat(o_orderpriority, ',', o_orderstatus) AS state", "o_totalprice AS total"), "\t", "UTF-8"),
+]
+FOLDER_TYPES = [("long", "string", "double", "string"), ("string", "double", "boolean"), ("long", "string", "string", "double", "double"), ("long", "string", "double")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -334,6 +334,45 @@ def _findings(names) -> str:
  FROM ({CHECK_SQL[n]}) x""" for n in names)
 
 
+def _folder() -> str:
+    """The columns of each file that FOLDER makes; a text that stands for a missing value is none."""
+    parts = []
+    for (name, key, columns, sep, encoding), types in zip(inputs.FOLDER, inputs.FOLDER_TYPES):
+        kind = "cp1252" if encoding == "ISO-8859-1" else "utf-8-sig"
+        names = [c.rsplit(" AS ", 1) for c in columns]
+        notes = ([] if kind == "utf-8-sig" else ["fallback_encoding"]) + ["empty_columns"] * ("note" in [n for _, n in names])
+        for i, ((sql, shown), dtype) in enumerate(zip(names, types)):
+            count = f"count(CASE WHEN CAST({sql} AS VARCHAR) NOT IN ('n/a') THEN 1 END)"
+            parts.append(f"""SELECT concat('{name}/k=', {key}) AS part, count(*) AS row_count, CAST({len(columns)} AS BIGINT) AS column_count, '{kind}' AS encoding,
+ {q(sep)} AS delimiter, CAST(NULL AS VARCHAR) AS code, '{",".join(notes)}' AS warnings, CAST({i} AS INTEGER) AS position, '{shown}' AS name, '{dtype}' AS dtype, {count} AS non_null_count
+FROM {name} GROUP BY {key}""")
+    return " UNION ALL ".join(parts)
+
+
+def _several() -> str:
+    """The findings of four tables: the checks' own SQL over each."""
+    def of(check: str, sql: str) -> str:
+        return f"""SELECT dataset, {q(check)} AS check_name, {'CAST(NULL AS VARCHAR)' if check == 'duplicates' else '"column"'} AS "column", status, severity FROM ({sql}) x"""
+    parts = [with_base(_findings(CHECKS))]
+    for name in (inputs.DOCS_NAME, "customer", "labels"):
+        columns = TYPES[name]
+        checks = {"missing_values": missing(name), "duplicates": copies(name, list(columns), None), "constant_columns": constant(name), "near_constant_columns": near_constant(name),
+                  "potential_identifiers": identifiers(name), "high_cardinality_categories": cardinality(name), "numeric_outliers": outliers(name, columns),
+                  "category_consistency": category(name, brief=True)}
+        if name == inputs.DOCS_NAME:
+            checks["data_type_warnings"] = (
+                f"""SELECT {q(name)} AS dataset, col AS "column", 'UNNAMED_COLUMN' AS status, 'MEDIUM' AS severity FROM f WHERE lower(col) LIKE 'unnamed:%'
+ UNION ALL SELECT {q(name)}, 'seen', 'DATETIME_LIKE_TEXT', 'MEDIUM'""")
+        parts.append(with_base(" UNION ALL ".join(of(c, sql) for c, sql in checks.items()), name))
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
+def _approximate() -> str:
+    columns = [c for c, t in TYPES["lineitem"].items() if t in NUMERIC]
+    return " UNION ALL ".join(f"""SELECT 'lineitem' AS dataset, {q(c)} AS "column", 'IQR_APPROX' AS method, count({c}) AS non_null_count, count({c}) AS finite_count,
+ true AS q1_within, true AS q3_within FROM lineitem""" for c in columns)
+
+
 GROUP_SQL = ", ".join(f"CAST({len(c)} AS INTEGER) AS {g}_column_count, {q(','.join(c))} AS {g}_columns" for g, c in GROUP_LISTS.items())
 FILE_SQL = """{name} AS file_name, CAST(NULL AS BIGINT) AS file_size_bytes, CAST(NULL AS VARCHAR) AS encoding,
  CAST(NULL AS VARCHAR) AS delimiter, CAST(NULL AS VARCHAR) AS fingerprint_sha256, '' AS loader_warnings"""
@@ -438,6 +477,11 @@ def oracle_sql() -> dict[str, str]:
         "scan_csv": f"SELECT * EXCLUDE (notes), CAST(notes AS DOUBLE) AS notes FROM ({inputs.DIRTY}) x",
         "load_warnings": f"""SELECT * FROM (SELECT 'empty_columns' AS code, {' + '.join(f'CAST(count({c}) = 0 AS BIGINT)' for c in inputs.COLUMNS)} AS n
  FROM ({inputs.DIRTY}) x) WHERE n > 0""",
+        "scan_csv_multi_line": """SELECT page_id, url, length(h)::BIGINT AS chars, sha256(h) AS html_sha256
+ FROM (SELECT page_id, url, nullif(html, '') AS h FROM pages)""",
+        "folder_columns": _folder(),
+        "audit_several": _several(),
+        "outliers_lineitem_approx": _approximate(),
         "preview_rows": f"SELECT * FROM ({inputs.DIRTY}) x ORDER BY order_id LIMIT 25",
         "value_frequencies": with_base(f"SELECT {q(N)} AS dataset, v.col AS \"column\", val AS value, n FROM v JOIN t ON t.col = v.col AND dtype = 'string'"),
         "numeric_like_text": warn("NUMERIC_LIKE_TEXT"),
