@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colsift import Audit, CheckConfig, TableProfile, audit
@@ -165,22 +166,23 @@ def approximate_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def write_report_json(spark: SparkSession, d: str) -> DataFrame:
-    path, a = inputs.scratch(spark), shared_audit(spark, d)
-    K.write_report_json(a.report(inputs.STAMP), path, a.issues)
-    doc = F.col("value")
-    get = lambda p: F.get_json_object(doc, p)
-    return spark.read.text(f"{path}/report").select(
-        get("$.summary.overall_score").cast("double").alias("overall_score"),
-        get("$.summary.readiness_status").alias("readiness_status"),
-        get("$.overview.row_count").cast("long").alias("row_count"),
-        F.json_array_length(get("$.issues")).cast("long").alias("issue_count"),
-        get("$.issues[0].issue_type").alias("first_issue_type"))
+    """The written document, read back line by line: its facts, and every issue with its place in the document."""
+    path = inputs.scratch(spark)
+    shared_audit(spark, d).write_report(path, inputs.STAMP)
+    lines = K.read_report_lines(spark, path).withColumn("place", F.row_number().over(W.partitionBy("dataset").orderBy("file", "at")) - 1)
+    head = lines.where("place = 0").select("dataset", F.concat("line", F.lit("]}")).alias("document"))
+    get = lambda p, c="document": F.get_json_object(c, p)
+    facts = head.select("dataset", get("$.summary.overall_score").cast("double").alias("overall_score"), get("$.summary.readiness_status").alias("readiness_status"),
+                        get("$.overview.row_count").cast("long").alias("row_count"))
+    issue = F.from_json(F.regexp_replace("line", "^,", ""), "priority_rank int, issue_id string, check_name string, issue_type string, `column` string, severity string, "
+                                                            "count long, percentage double, evidence string, recommendation string")
+    return lines.where("place > 0").select("dataset", "place", issue.alias("i")).where("i.issue_id IS NOT NULL").select("dataset", "place", "i.*").join(facts, "dataset")
 
 
 def write_issues_csv(spark: SparkSession, d: str) -> DataFrame:
     path = inputs.scratch(spark)
     K.write_issues_csv(shared_audit(spark, d).issues, path)
-    schema = ("rank int, severity string, check string, issue_type string, column string, count long, percentage double, "
+    schema = ("dataset string, rank int, severity string, check string, issue_type string, column string, count long, percentage double, "
               "evidence string, recommendation string, limitation string")
     return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
 
@@ -286,7 +288,8 @@ QUERIES: dict[str, Query] = {
     "issue_type_impact": of_audit(lambda a: a.check("data_type_warnings").select(
         "dataset", "column", "status", I.issue_type_impact().alias("impact_percentage"))),
     "ranked_issues": of_audit(lambda a: a.issues, "details"),
-    "recommendations": of_audit(lambda a: a.recommendations),
+    "recommendations": of_audit(lambda a: I.with_issue_ids(a.recommendations)),
+    "recommendation_ranges": of_audit(lambda a: a.recommendations.select("dataset", "recommendation_id", F.inline("related_issue_ranges"))),
     "recommendation_links": of_audit(lambda a: I.recommendation_links(a.issues)),
     "report_summary": of_audit(lambda a: a.summary, "readiness_gates"),
     "file_metadata": file_metadata,
@@ -299,7 +302,7 @@ QUERIES: dict[str, Query] = {
     "duplicate_view": of_audit(lambda a: V.duplicate_view(a.overview, a.issues)),
     "column_view": of_audit(lambda a: V.column_view("priority", a.issues, limit=3), "details"),
     "column_summary": of_audit(lambda a: V.column_summary("priority", a.overview, a.issues, a.diagnostics)),
-    "column_recommendations": of_audit(lambda a: V.column_recommendations("ref_code", a.recommendations)),
+    "column_recommendations": of_audit(lambda a: V.column_recommendations("ref_code", I.with_issue_ids(a.recommendations))),
     "priority_view": of_audit(lambda a: V.priority_view(a.issues, limit=5, min_severity="HIGH", check="category consistency"), "details"),
     "ml_view": of_audit(lambda a: V.ml_view(a.issues), "details"),
     "ml_summary": of_audit(lambda a: V.ml_summary(a.issues, a.summary)),

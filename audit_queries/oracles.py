@@ -409,6 +409,9 @@ def chain_queries() -> dict[str, str]:
         "score_table": "SELECT dataset, overall_score, readiness_status, issue_count_total FROM score",
         "ranked_issues": "SELECT * FROM issues",
         "recommendations": "SELECT * FROM rec",
+        "recommendation_ranges": """SELECT dataset, recommendation_id, CAST(min(r) AS INTEGER) AS first, CAST(max(r) AS INTEGER) AS last FROM
+ (SELECT i.dataset, recommendation_id, i.priority_rank AS r, i.priority_rank - row_number() OVER (PARTITION BY recommendation_id ORDER BY i.priority_rank) AS run
+  FROM issues i JOIN rec r ON r."column" IS NOT DISTINCT FROM i."column" AND r.action = i.recommendation) GROUP BY dataset, recommendation_id, run""",
         "recommendation_links": """SELECT i.dataset, recommendation_id, issue_id, i.priority_rank AS issue_rank, check_name, related_issue_count
  FROM issues i JOIN rec r ON r."column" IS NOT DISTINCT FROM i."column" AND r.action = i.recommendation""",
         "report_summary": SUMMARY,
@@ -418,8 +421,8 @@ def chain_queries() -> dict[str, str]:
  concat('AUD-', substr(sha256(concat('|uploaded.csv|{inputs.STAMP}|', {TWO('overall_score')})), 1, 12)) AS report_id,
  {q(inputs.STAMP)} AS generated_at_utc, overall_score, issue_count_total AS issue_count, (SELECT count(*) FROM rec) AS recommendation_count,
  (SELECT issue_type FROM issues WHERE priority_rank = 1) AS first_issue_type FROM score""",
-        "write_report_json": """SELECT overall_score, readiness_status, row_count, issue_count_total AS issue_count,
- (SELECT issue_type FROM issues WHERE priority_rank = 1) AS first_issue_type FROM score JOIN ov USING (dataset)""",
+        "write_report_json": """SELECT i.dataset, priority_rank AS place, priority_rank, issue_id, check_name, issue_type, "column", severity, "count", percentage, evidence,
+ recommendation, overall_score, readiness_status, row_count FROM issues i JOIN score s ON s.dataset = i.dataset JOIN ov ON ov.dataset = i.dataset""",
         "file_metadata": f"""SELECT dataset, {FILE_SQL.format(name="'orders.csv'")}, row_count, column_count,
  'metadata_column_count_mismatch' AS code FROM ov""",
         "dataset_overview": f"SELECT ov.*, {GROUP_SQL} FROM ov",
@@ -446,7 +449,7 @@ def chain_queries() -> dict[str, str]:
         "component_scores": components,
         "issues_table": """SELECT dataset, priority_rank AS rank, severity, check_name AS "check", issue_type, "column", "count", percentage,
  evidence, recommendation, limitation FROM issues""",
-        "write_issues_csv": """SELECT priority_rank AS rank, severity, check_name AS "check", issue_type, "column", "count", percentage,
+        "write_issues_csv": """SELECT dataset, priority_rank AS rank, severity, check_name AS "check", issue_type, "column", "count", percentage,
  evidence, recommendation, limitation FROM issues""",
         "recommendations_table": """SELECT dataset, priority_rank AS rank, priority_level AS priority, severity, "column", issue_type, action,
  rationale, source_checks, replace(related_issue_ids, ',', ', ') AS related_issues FROM rec""",

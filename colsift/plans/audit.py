@@ -15,6 +15,7 @@ from ..operators.duplicates import duplicates
 from ..operators.overview import dataset_overview
 from ..operators.profile import TableProfile
 from ..sources import csv as X
+from ..sources import sinks as K
 from ..sources.folder import scan_folder
 from . import issues as I
 from . import report as R
@@ -121,8 +122,11 @@ class Audit:
     def summary(self) -> DataFrame:
         return R.report_summary(self.score, self.issues, self.recommendations)
 
-    def report(self, generated_at: str | None = None) -> DataFrame:
-        """One row per data set; refuses results that contradict each other."""
+    def report(self, generated_at: str | None = None, nested: bool = True) -> DataFrame:
+        """One row per data set; refuses results that contradict each other.
+
+        ``nested`` rows hold all issues; without it a row stays small.
+        """
         wrong = self.metadata.filter("code IS NOT NULL").select("code").first()
         if wrong:
             raise AuditError("file metadata and table differ", wrong["code"])
@@ -131,7 +135,12 @@ class Audit:
         return R.audit_report(
             overview=self.overview, score=self.score, summary=self.summary, issues=self.issues,
             recommendations=self.recommendations, diagnostics=self.diagnostics, metadata=self.metadata,
-            generated_at=generated_at, config=self.report_config, score_config=self.score_config, checks=self.checks())
+            generated_at=generated_at, config=self.report_config, score_config=self.score_config, checks=self.checks(), nested=nested)
+
+    def write_report(self, path: str, generated_at: str | None = None) -> DataFrame:
+        """Write one JSON document per data set, of any size, below ``path``; returns the manifest of its files."""
+        checks = self.checks() if self.report_config.include_check_results else None
+        return K.write_report_json(self.report(generated_at, nested=False), path, self.issues, checks)
 
 
 def audit(tables: dict[str, DataFrame] | DataFrame, *, order_by=None, row_id: str | None = None,

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..config import COMPONENTS, ReportConfig, ScoreConfig
 from ..functions.measures import SEVERITIES
-from .issues import counted
+from .issues import counted, with_issue_ids
 from .score import METHODOLOGY
 
 HEADLINES = {
@@ -97,15 +97,22 @@ def file_metadata(overview: DataFrame, files: DataFrame | None = None) -> DataFr
         "row_count", "column_count", code.alias("code"))
 
 
+def ordered_maps(df: DataFrame) -> DataFrame:
+    """Maps have no order, their entries do."""
+    return df.select(*[F.array_sort(F.map_entries(f.name)).alias(f.name) if isinstance(f.dataType, T.MapType) else f"`{f.name}`" for f in df.schema.fields])
+
+
 def audit_report(*, overview: DataFrame, score: DataFrame, summary: DataFrame, issues: DataFrame,
                  recommendations: DataFrame, diagnostics: DataFrame, metadata: DataFrame,
                  generated_at: str | None = None, config: ReportConfig = ReportConfig(),
-                 score_config: ScoreConfig = ScoreConfig(), checks: dict[str, DataFrame] | None = None) -> DataFrame:
+                 score_config: ScoreConfig = ScoreConfig(), checks: dict[str, DataFrame] | None = None,
+                 nested: bool = True) -> DataFrame:
     """One row per data set that nests all parts of its report.
 
-    All issues and, if asked for, the results of all checks are nested. For
-    data sets with very many findings read the issue table instead, which
-    ``write_report_json`` writes in parts beside the documents.
+    All issues and, if asked for, the results of all checks are nested. With
+    ``nested`` off these lists are left out and recommendations name their
+    issues as runs of ranks: such a row stays small whatever was found, and
+    ``write_report_json`` streams the lists into its document.
     """
     def nest(df: DataFrame, order: str, name: str) -> DataFrame:
         rest = [c for c in df.columns if c not in ("dataset", order)]
@@ -121,21 +128,21 @@ def audit_report(*, overview: DataFrame, score: DataFrame, summary: DataFrame, i
            .join(summary.select("dataset", F.struct(*[c for c in summary.columns if c != "dataset"]).alias("summary")), "dataset")
            .join(metadata.select("dataset", F.col("fingerprint_sha256").alias("_print"), F.col("file_name").alias("_name"),
                                  F.struct(*[c for c in metadata.columns if c not in ("dataset", "code")]).alias("file_metadata")), "dataset")
-           .join(nest(issues, "priority_rank", "issues"), "dataset", "left")
-           .join(nest(recommendations, "priority_rank", "prioritized_recommendations"), "dataset", "left")
+           .join(nest(with_issue_ids(recommendations) if nested else recommendations, "priority_rank", "prioritized_recommendations"), "dataset", "left")
            .join(nest(diagnostics, "column", "scoring_diagnostics"), "dataset", "left"))
     raw = []
-    if config.include_check_results and checks:
+    if nested:
+        out = out.join(nest(issues, "priority_rank", "issues"), "dataset", "left")
+    if nested and config.include_check_results and checks:
         for name, df in checks.items():
-            # maps have no order, their entries do
-            df = df.select(*[F.array_sort(F.map_entries(f.name)).alias(f.name) if isinstance(f.dataType, T.MapType) else f"`{f.name}`" for f in df.schema.fields])
+            df = ordered_maps(df)
             out = out.join(nest(df, [c for c in df.columns if c != "dataset"][0], f"_{name}"), "dataset", "left")
             raw.append(F.col(f"_{name}").alias(name))
     stamp = F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     source = F.concat_ws("|", F.coalesce("_print", F.lit("")), F.coalesce("_name", F.lit("")), F.col("_at"),
                          F.format_string("%.2f", "overall_score"))
     texts = lambda d: F.struct(*[F.lit(v).alias(k) for k, v in d.items()])
-    empty = [F.coalesce("issues", F.array()).alias("issues")]
+    empty = [F.coalesce("issues", F.array()).alias("issues")] if nested else []
     return (out.withColumn("_at", stamp)
             .select("dataset", F.lit(config.version).alias("report_version"),
                     F.concat(F.lit("AUD-"), F.substring(F.sha2(source, 256), 1, 12)).alias("report_id"),

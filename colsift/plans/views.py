@@ -10,6 +10,7 @@ from ..config import COMPONENTS, AuditError, ScoreConfig
 from ..functions import text as X
 from ..functions.measures import SEVERITIES, severity_rank
 from ..operators.overview import GROUPS
+from .issues import with_issue_ids
 from .report import COUNTS, DISCLAIMER
 from .score import CHECKS
 
@@ -191,7 +192,7 @@ def issues_table(issues: DataFrame) -> DataFrame:
 
 
 def recommendations_table(recommendations: DataFrame) -> DataFrame:
-    return recommendations.select(
+    return with_issue_ids(recommendations).select(
         "dataset", F.col("priority_rank").alias("rank"), F.col("priority_level").alias("priority"), "severity", "column",
         "issue_type", "action", "rationale", F.concat_ws(", ", "source_checks").alias("source_checks"),
         F.concat_ws(", ", "related_issue_ids").alias("related_issues"))

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import Window as W
@@ -76,13 +77,26 @@ def test_score_config_is_checked(bad):
 
 
 def test_recommendations_merge_one_action_per_column(two):
-    recs = two.recommendations.filter("dataset = 'dirty'").orderBy("priority_rank").collect()
+    recs = I.with_issue_ids(two.recommendations).filter("dataset = 'dirty'").orderBy("priority_rank").collect()
     assert [r.recommendation_id for r in recs] == [f"REC-{i:03d}" for i in range(1, len(recs) + 1)] and len(recs) == 10
     merged = next(r for r in recs if r.issue_type == "CATEGORY_LABEL_INCONSISTENCY")
     assert merged.related_issue_count == len(merged.related_issue_ids) == 5 and merged.related_issue_ids == sorted(merged.related_issue_ids)
     assert I.recommendation_links(two.issues).filter("related_issue_count > 2").count() == 5
 
 
+def test_runs_of_related_issues_expand_to_all(spark):
+    rng = random.Random(2)
+    rows = [("d" if i % 7 else "e", "c" + str(rng.randrange(3)), "act" + str(rng.random() < 0.3), "HIGH", "P1", "T", "x", "k" + str(i % 2), i, f"ISSUE-{i:03d}") for i in range(1, 1500)]
+    issues = spark.createDataFrame(rows, "dataset string, `column` string, recommendation string, severity string, priority_level string, issue_type string, evidence string, check_name string, priority_rank int, issue_id string")
+    found = {(r.dataset, r["column"], r.action): r.related_issue_ids for r in I.with_issue_ids(I.recommendations(issues, 50)).collect()}
+    plain = {}
+    for r in rows:
+        plain.setdefault((r[0], r[1], r[2]), []).append(r[-1])
+    assert found == plain
+    one = spark.createDataFrame([("d", "c", "a", "HIGH", "P1", "T", "x", "k", i, f"ISSUE-{i:03d}") for i in range(1, 3000)], issues.schema)
+    assert [tuple(x) for x in I.recommendations(one).first().related_issue_ranges] == [(1, 2999)]
+
+
 def test_views(two):
     dirty = two.issues.filter("dataset = 'dirty'")
     view = V.priority_view(two.issues, limit=3, min_severity="high").collect()
@@ -116,8 +130,33 @@ def test_report_documents(spark, two, tmp_path):
     assert dirty["generated_at_utc"] == stamp and dirty["report_id"].startswith("AUD-") and len(dirty["report_id"]) == 16
     assert len(dirty["issues"]) == dirty["summary"]["issue_count_total"] and docs["clean"]["issues"] == []
     assert [i["priority_rank"] for i in dirty["issues"]] == sorted(i["priority_rank"] for i in dirty["issues"])
-    sinks.write_report_json(two.report(stamp), str(tmp_path / "out"), two.issues)
-    assert spark.read.json(str(tmp_path / "out/issues")).count() == two.issues.count()
+    ids = {d: [r.pop("related_issue_ids") for r in docs[d]["prioritized_recommendations"] or []] for d in docs}
+    for path, manifest in ((str(tmp_path / n), two.write_report(str(tmp_path / n), stamp)) for n in ("one", "again")):
+        for name, doc in docs.items():
+            folder = tmp_path / path / "report" / f"dataset={name}"
+            files = [r.file for r in manifest.where(F.col("dataset") == name).orderBy("file").collect()]
+            text = "".join((folder / f).read_text() for f in files)
+            written = json.loads(text, parse_constant=lambda c: pytest.fail(c))
+            ranges = [r.pop("related_issue_ranges") for r in written["prioritized_recommendations"] or []]
+            assert written == doc and "\n".join(sinks.report_document(spark, path, name)) + "\n" == text
+            assert [[f"ISSUE-{i:03d}" for x in r for i in range(x["first"], x["last"] + 1)] for r in ranges] == ids[name]
+            assert manifest.where(F.col("dataset") == name).agg(F.sum("lines")).first()[0] == text.count("\n") == len(doc["issues"]) + 2
+
+
+def test_documents_with_check_results_are_strict_json(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        a = audit({'q"\n/=': inputs.dirty(spark, SF), "b": inputs.table(spark, SF, "labels")}, report_config=ReportConfig(include_check_results=True))
+        manifest = a.write_report(str(tmp_path / "out"), "2026-01-01T00:00:00Z")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    docs = {r.dataset: json.loads(r.document) for r in sinks.report_json(a.report("2026-01-01T00:00:00Z")).collect()}
+    assert {r.dataset for r in manifest.collect()} == set(docs) and manifest.groupBy("dataset").count().agg(F.max("count")).first()[0] > 1
+    for name, doc in docs.items():
+        written = json.loads("\n".join(sinks.report_document(spark, str(tmp_path / "out"), name)))
+        key = lambda rows: sorted(map(json.dumps, rows))
+        assert written["issues"] == doc["issues"] and written["summary"] == doc["summary"]
+        assert {c: key(rows) for c, rows in written["quality_check_results"].items()} == {c: key(rows or []) for c, rows in doc["quality_check_results"].items()}
 
 
 def test_reports_hold_all_issues_and_check_results(spark):
