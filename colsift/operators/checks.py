@@ -128,12 +128,13 @@ def potential_identifiers(p: TableProfile) -> DataFrame:
     """Columns that may only label rows, by name or by uniqueness.
 
     A distinct count is taken only where it can matter: for text, and for
-    columns with a telling name whose value range leaves room for the share.
+    columns with a telling name whose value range leaves room for the share
+    and whose sketched count does not rule it out.
     """
     cfg = p.config
-    asked = [c for c in p.columns if p.non_null(c) and c.group != "other" and (
-        c.group == "categorical"
-        or (c.name_hint and p.most_unique(c) / p.non_null(c) * 100 >= cfg.identifier_name_share - 0.01))]
+    some = [c for c in p.columns if p.non_null(c) and c.group != "other"]
+    named = p.may_reach([c for c in some if c.name_hint and c.group != "categorical"], cfg.identifier_name_share)
+    asked = [c for c in some if c.group == "categorical" or c in named]
     unique = p.unique_counts(asked)
     hits = [c for c in asked if unique[c.ref] > 1]
     values = {c.ref: dict(unique_non_null=unique[c.ref], name_hint=c.name_hint,

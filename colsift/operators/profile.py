@@ -24,6 +24,9 @@ from ..functions.stage import TOKEN_ROW, small, stage
 SLICE = 80
 # columns per multi-distinct aggregate, which copies a row once per column
 DISTINCT_SLICE = 12
+# relative standard error of sketched distinct counts, and how many of them an exact count is taken to be away at most
+HLL_ERROR = 0.01
+SIGMAS = 6
 # share from which the dominant value must be the median
 MEDIAN_SHARE = 51.0
 # share from which the dominant value must be both quartiles
@@ -325,6 +328,19 @@ class TableProfile:
         width = self.counts.get(f"{c.ref}_range")
         return bound if width is None else min(bound, int(width))
 
+    def may_reach(self, columns: list[ColumnInfo], share: float) -> list[ColumnInfo]:
+        """The columns whose distinct values may be ``share`` per cent of their non-missing ones.
+
+        Sketches of one pass settle those that are ``SIGMAS`` standard errors below it; only the others need an exact count, which
+        copies a row once per column and shuffles every value.
+        """
+        room = [c for c in columns if self.most_unique(c) / self.non_null(c) * 100 >= share - 0.01]
+        kept = []
+        for part in slices(room):
+            near = self.frame.agg(*[F.approx_count_distinct(c.ref, HLL_ERROR).alias(c.ref) for c in part]).first()
+            kept += [c for c in part if near[c.ref] * (1 + SIGMAS * HLL_ERROR) / self.non_null(c) * 100 >= share - 0.01]
+        return kept
+
     # ---- quartiles and dominant values of other columns -------------------
 
     @cached_property

@@ -75,6 +75,44 @@ def test_identifiers_need_a_name_or_text(spark):
         "record_id": ("HIGH", "IDENTIFIER_NAME_PATTERN"), "label": ("MEDIUM", "HIGH_UNIQUENESS_CATEGORICAL")}
 
 
+def test_sketches_rule_out_exact_distinct_counts(spark):
+    shares = {"user_id": 25, "order_key": 60, "row_id": 100, "item_code": 79, "part_key": 81, "index": 80}
+    n = 4000
+    df = spark.range(n).select(*[((F.col("id") * 7919) % int(n * s / 100)).alias(c) for c, s in shares.items()])
+    p = TableProfile(df)
+    got = by_column(C.potential_identifiers(p))
+    assert {c: v["unique_non_null"] for c, v in got.items()} == {c: n * s // 100 for c, s in shares.items() if s >= 80}
+    by_ref = {c.ref: c.name for c in p.columns}
+    # the value range alone settles these; sketches settle wide ones
+    wide = TableProfile(df.select(*[(F.col(c) * 10**12).alias(c) for c in shares]))
+    assert {c: v["unique_non_null"] for c, v in by_column(C.potential_identifiers(wide)).items()} == {c: v["unique_non_null"] for c, v in got.items()}
+    assert {by_ref[r] for r in wide._distinct} == {"row_id", "item_code", "part_key", "index"}
+    plan = wide.frame.agg(*[F.count_distinct(r) for r in wide._distinct])._jdf.queryExecution().optimizedPlan().toString()
+    assert max(map(int, re.findall(r"gid#\d+ = (\d+)", plan))) == 4  # a row is copied once for each of these only
+
+
+def test_sketched_quartiles_stay_within_their_rank_error(spark):
+    from colsift.functions import quantiles as Q
+    rng = random.Random(4)
+    data = [(rng.gauss(0, 1), float(rng.randrange(5)), float("inf") if i % 50 == 0 else rng.random() ** 8, None if i % 3 else 7.5) for i in range(20000)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double").repartition(16)
+    for size in (64, 1024):
+        p = TableProfile(df, config=CheckConfig(approx_quartiles=size))
+        for c, (q1, q3) in {c: p.sketched_quartiles[c.ref] for c in p.columns}.items():
+            values = sorted(r[c.position] for r in data if r[c.position] is not None and math.isfinite(r[c.position]))
+            for share, q in ((0.25, q1), (0.75, q3)):
+                below, upto = sum(v < q for v in values) / len(values), sum(v <= q for v in values) / len(values)
+                assert below - Q.rank_error(size) <= share <= upto + Q.rank_error(size)
+        found = by_column(C.numeric_outliers(p))
+        assert {v["method"] for v in found.values()} == {"IQR_APPROX"} and found["c"]["infinite_count"] == 400 and "quartiles" not in p.__dict__
+        for c, v in found.items():
+            values = [r["abcd".index(c)] for r in data]
+            outside = lambda slack: sum(x is not None and not v["lower_bound"] - slack <= x <= v["upper_bound"] + slack for x in values)
+            assert outside(1e-3) <= v["outlier_count"] <= outside(-1e-3)  # bounds are shown rounded
+    with pytest.raises(ValueError):
+        CheckConfig(approx_quartiles=4)
+
+
 def test_cardinality_is_configurable(spark):
     df = spark.createDataFrame([(f"group-{i % 10}",) for i in range(100)], "category string")
     assert not C.high_cardinality_categories(TableProfile(df)).collect()
