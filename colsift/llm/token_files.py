@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,45 +21,94 @@ from colsift.llm.words import slices
 MAGIC = b"EFTOKEN1"
 HEAD = "<8sBQQQ"
 FILE_IDS = 1 << 22
-# Words, and pieces of words, whose ids a Python worker remembers over its tasks; then it begins anew.
-REMEMBERED = 500_000
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+# Pieces whose ids a Python worker remembers over its tasks, in each of two generations.
+REMEMBERED = 250_000
+# Latin letters, then ASCII signs other than the apostrophe: two pieces to the tokenizer, the case of the first does not matter.
+PLAIN = "^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\\[-`{-~]*)$"
+
+
+class Remembered:
+    """Values by key, in two generations: when the young one is full it becomes the old one, and what is asked for again is young again."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def all(self, keys: list, make) -> list:
+        """The value of each key; ``make`` gives those of a list of new ones."""
+        found = list(map(self.young.get, keys))
+        again, new = {}, []
+        for i in [i for i, value in enumerate(found) if value is None]:
+            value = self.old.get(keys[i])
+            if value is None:
+                new.append(i)
+            else:
+                found[i] = again[keys[i]] = value
+        if new:
+            for i, value in zip(new, make([keys[i] for i in new])):
+                found[i] = again[keys[i]] = value
+        if len(self.young) + len(again) > self.size:
+            self.young, self.old = {}, self.young
+        self.young.update(again)
+        return found
 
 
-class WordIds(dict):
-    """White-space separated word to the little-endian ids the tokenizer gives it.
+class WordIds:
+    """Little-endian ids of texts, by the pieces of their different white-space separated words.
 
-    For tokenizers that drop white space: there a text's ids are those of its words, one after the other. A word of Latin letters
-    with at most one mark behind it is two pieces to the tokenizer, whose case does not matter; their ids are remembered too.
+    For tokenizers that drop white space: there a text's ids are those of its words, one after the other. A plain word is a run of letters
+    and one of signs; unseen runs of letters are encoded many in one call. Any other word goes to the tokenizer as it is, special tokens in it included.
     """
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.kind, self.pieces = Tokenizer.from_file(path), f"<u{width}", {}
-        self.tokenizer.encode_special_tokens = True
-
-    def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
-        if found is None:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            found = self.pieces[text] = self.encoded(text)
-        return found
-
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        text = word.decode()
-        plain = PLAIN.fullmatch(text)
-        ids = self.piece(plain[1].lower()) + (self.piece(plain[2]) if plain[2] else b"") if plain else self.encoded(text)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        self.tokenizer, self.width, self.kind = Tokenizer.from_file(path), width, f"<u{width}"
+        self.pieces, self.others = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        # Ids that end a piece, in vocabularies that mark the ends of words.
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, pieces: list[str]) -> list[bytes]:
+        """Ids of runs of letters: encoded many as one text and cut where an id ends a word, if the vocabulary shows that."""
+        runs = ["\n".join(pieces[i : i + 500]) for i in range(0, len(pieces), 500)]
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(pieces) or stops[-1] != len(ids):
+            return self.encoded(pieces)
+        data, at = ids.astype(self.kind).tobytes(), [0, *(stops * self.width).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
+    def texts(self, column: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), ``end`` behind each, and how many each has."""
+        lists = pa.compute.ascii_split_whitespace(pa.compute.fill_null(column.cast(pa.large_string()), ""))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        plain = pa.compute.extract_regex(words, PLAIN)
+        head = pa.compute.utf8_lower(pa.compute.struct_field(plain, "head")).dictionary_encode()
+        tail = pa.compute.struct_field(plain, "tail").dictionary_encode()
+        is_plain = plain.is_valid().to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~is_plain)
+        # Ids of all pieces: none, the end, letters, signs, other words.
+        signs = [x or "" for x in tail.dictionary.to_pylist()]
+        ids = [b"", end, *self.pieces.all(head.dictionary.to_pylist(), self.letters), *self.others.all(signs, self.encoded),
+               *self.others.all(words.take(pa.array(rest)).to_pylist(), self.encoded)]
+        pieces = np.zeros((len(words) + 1, 2), np.int64)
+        pieces[:-1, 0][is_plain] = 2 + head.indices.drop_null().to_numpy()
+        pieces[:-1, 1][is_plain] = 2 + len(head.dictionary) + tail.indices.drop_null().to_numpy()
+        pieces[rest, 0] = 2 + len(head.dictionary) + len(signs) + np.arange(len(rest))
+        pieces[-1, 0] = 1
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        order = np.insert(coded.indices.to_numpy(), np.cumsum(lists.value_lengths().to_numpy()), len(words))
+        order = pieces[order].ravel()
+        order = order[size[order] > 0]
+        last = np.flatnonzero(order == 1)
+        first, count = (np.cumsum(size) - size)[order], size[order]
+        stop = np.cumsum(count)
+        places = np.repeat(first - stop + count, count) + np.arange(stop[-1] if len(stop) else 0)
+        return np.frombuffer(b"".join(ids), self.kind)[places], np.diff(stop[last], prepend=0)
 
 
 _known: dict[tuple[str, int], WordIds] = {}
@@ -99,11 +148,13 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width:
             held, names, size, seq = [], [], 0, seq + 1
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-        for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
-                ids = b"".join(map(ids_of.__getitem__, (text or b"").split())) + end
-                held.append(ids), names.append(doc_id)
-                size += len(ids) // width
+        for batch in slices(batches, size=2 << 20):
+            ids, lengths = ids_of.texts(batch.column("text"), end)
+            at = 0
+            for doc_id, n in zip(batch.column("doc_id").to_pylist(), lengths.tolist()):
+                held.append(ids[at : at + n].tobytes()), names.append(doc_id)
+                at += n
+                size += n
                 if size >= file_ids:
                     yield rolled()
         if held:

@@ -143,3 +143,4 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+            pa.default_memory_pool().release_unused()  # a worker lives on between tasks
