@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,65 +14,105 @@ from colsift.llm.staging import staged
 
 KEYS = ("source", "lang", "version")
 MEASURES = ("documents", "tokens")
+TOTALS = "source string, lang string, version string, documents long, tokens long"
 
 
 class Rollup:
-    """Additive totals in a folder, one Parquet folder a batch.
+    """Additive totals in a folder: Parquet folders of deltas, and a log of generations that says which of them count.
 
-    A batch of deltas is reduced to a row a key and written under a temporary name; the rename is its commit. A batch id that is
-    already there is left as it is, so a batch that is sent again, by a retry or twice, counts once. Totals are sums over batches; ``compact``
-    folds committed batches into one and remembers their names.
+    A generation is one small JSON file: its data folders and the ids of all batches in them. Data goes to a folder of its own first; then the
+    next generation is written aside and renamed to its number, which fails if another writer was faster. So a crash leaves a
+    folder nobody names, never a state in between, and of two writers of one batch a single one commits it. Compaction is a generation
+    as well: it names one folder in place of many and keeps all batch ids.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        root = self._path(self.folder)
+        self._files = root.getFileSystem(conf)
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri() if root.toUri().getScheme() else self._files.getUri(), conf)
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(name)
+
+    def generation(self) -> dict:
+        """The last generation: number, folders, batches."""
+        log = self._path(f"{self.folder}/log")
+        names = [s.getPath().getName() for s in self._files.listStatus(log)] if self._files.exists(log) else []
+        last = max((n for n in names if re.fullmatch(r"[0-9]{12}[.]json", n)), default=None)
+        if last is None:
+            return {"number": 0, "folders": [], "batches": []}
+        stream = self._files.open(self._path(f"{self.folder}/log/{last}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _advance(self, following: dict) -> bool:
+        """Make ``following`` the next generation, if no other writer has made it."""
+        aside, target = f"{self.folder}/aside/{uuid.uuid4().hex}", f"{self.folder}/log/{following['number']:012d}.json"
+        for name in ("aside", "log"):
+            self._files.mkdirs(self._path(f"{self.folder}/{name}"))
+        stream = self._files.create(self._path(aside), True)
+        stream.write(json.dumps(following).encode())
+        stream.close()
+        never = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            self._context.rename(self._path(aside), self._path(target), never)
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in str(error.java_exception):
+                raise
+            return False
+        return True
 
-    def _exists(self, name: str) -> bool:
-        return self._files.exists(self._path(f"{self.folder}/{name}"))
+    def _written(self, sums: DataFrame) -> str:
+        name = f"data-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.folder}/{name}")
+        return name
 
-    def committed(self) -> list[str]:
-        """Names of the committed batch folders."""
-        root = self._path(self.folder)
-        return sorted(s.getPath().getName() for s in (self._files.listStatus(root) if self._files.exists(root) else []) if s.getPath().getName().startswith("batch-"))
+    def batches(self) -> list[str]:
+        """Ids of the batches that count."""
+        return self.generation()["batches"]
 
     def apply(self, batch: str, deltas: DataFrame) -> bool:
-        """Commit ``deltas`` (KEYS, documents, tokens: signed) as ``batch``; False if that was done before."""
-        name = f"batch-{batch}"
-        if self._exists(name) or self._exists(f"folded-{batch}"):
+        """Commit ``deltas`` (KEYS, documents, tokens: signed; other columns are ignored) as ``batch``; False if that was done before."""
+        if batch in self.batches():
             return False
-        sums = deltas.groupBy(*KEYS).agg(*(F.sum(m).cast("long").alias(m) for m in MEASURES))
-        sums.write.mode("overwrite").parquet(f"{self.folder}/tmp-{batch}")
-        return bool(self._files.rename(self._path(f"{self.folder}/tmp-{batch}"), self._path(f"{self.folder}/{name}")))
+        data = self._written(deltas.groupBy(*KEYS).agg(*(F.sum(m).cast("long").alias(m) for m in MEASURES)))
+        while True:
+            now = self.generation()
+            if batch in now["batches"]:
+                return False
+            if self._advance({"number": now["number"] + 1, "folders": [*now["folders"], data], "batches": [*now["batches"], batch]}):
+                return True
+
+    def _sums(self, folders: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(TOTALS).parquet(*(f"{self.folder}/{n}" for n in folders)) if folders else self.spark.createDataFrame([], TOTALS)
+        return rows.groupBy(*KEYS).agg(*(F.sum(m).cast("long").alias(m) for m in MEASURES)).where("documents != 0 or tokens != 0")
 
     def totals(self) -> DataFrame:
         """Current totals; keys whose documents have all been deleted are gone."""
-        names = self.committed()
-        if not names:
-            return self.spark.createDataFrame([], "source string, lang string, version string, documents long, tokens long")
-        rows = self.spark.read.parquet(*(f"{self.folder}/{n}" for n in names))
-        sums = rows.groupBy(*KEYS).agg(*(F.sum(m).cast("long").alias(m) for m in MEASURES))
-        return sums.where("documents != 0 or tokens != 0")
-
-    def compact(self, batch: str) -> None:
-        """Fold all committed batches into ``batch``, by one writer at a time. Markers of the folded batches stay, so none is applied again.
-
-        Their folders move aside before the fold gets its name: a crash in between is seen as ``tmp-`` beside ``old-`` and ends by that rename.
-        """
-        names = self.committed()
-        target = f"batch-{batch}"
-        if target in names or not names:
-            return
-        self.totals().write.mode("overwrite").parquet(f"{self.folder}/tmp-{batch}")
-        for n in names:
-            self._files.mkdirs(self._path(f"{self.folder}/folded-{n.removeprefix('batch-')}"))
-        old = self._path(f"{self.folder}/old-{batch}")
-        self._files.mkdirs(old)
-        for n in names:
-            self._files.rename(self._path(f"{self.folder}/{n}"), self._path(f"{self.folder}/old-{batch}/{n}"))
-        self._files.rename(self._path(f"{self.folder}/tmp-{batch}"), self._path(f"{self.folder}/{target}"))
+        return self._sums(self.generation()["folders"])
+
+    def compact(self) -> bool:
+        """Fold all folders into one; False if another writer committed meanwhile, whose generation then stands."""
+        now = self.generation()
+        if len(now["folders"]) < 2:
+            return False
+        data = self._written(self._sums(now["folders"]))
+        return self._advance({"number": now["number"] + 1, "folders": [data], "batches": now["batches"]})
+
+    def forgotten(self) -> list[str]:
+        """Data folders that no generation names: left by crashes or by writers that came too late. They may be deleted when no writer is at work."""
+        root, log = self._path(self.folder), self._path(f"{self.folder}/log")
+        named: set[str] = set()
+        for s in self._files.listStatus(log) if self._files.exists(log) else []:
+            stream = self._files.open(s.getPath())
+            named |= set(json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["folders"])
+            stream.close()
+        found = [s.getPath().getName() for s in self._files.listStatus(root)] if self._files.exists(root) else []
+        return sorted(n for n in found if n.startswith("data-") and n not in named)
 
 
 def signed(rows: DataFrame, version: str, tokens: str, sign: int = 1) -> DataFrame:
