@@ -5,9 +5,12 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colsift.llm import components, decontamination, elias_fano, imatch, language, mixing, near_duplicates, personal_data, rollups, token_files, toxicity, warc, words
 from colsift.llm.queries import tokenizer_path
@@ -91,10 +94,56 @@ def test_decontamination_finds_copies_and_near_copies(spark, docs):
 
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
-    items = rng.integers(0, 2**63, 100, dtype=np.uint64)
-    near = items[rng.integers(0, 100, 3000)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (3000, 12), dtype=np.uint64), axis=1)
-    w, i = decontamination.HammingIndex(items).within(near)
-    assert set(zip(w.tolist(), i.tolist())) == {(a, b) for a, b in zip(*np.nonzero(np.bitwise_count(near[:, None] ^ items[None]) <= decontamination.RADIUS))}
+    items, lengths = rng.integers(0, 2**63, 300, dtype=np.uint64), rng.choice([7, 9, 40], 300)
+    near = items[rng.integers(0, 300, 3000)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (3000, 12), dtype=np.uint64), axis=1)
+    index = decontamination.HammingIndex(items, lengths)
+    for length in (7, 9, 40):
+        w, i = index.within(near, length)
+        close = (np.bitwise_count(near[:, None] ^ items[None]) <= decontamination.RADIUS) & (lengths == length)
+        assert list(zip(w.tolist(), i.tolist())) == [(a, b) for a, b in zip(*np.nonzero(close))]
+    assert sum(k.nbytes + i.nbytes for k, i in zip(index.keys, index.items)) < 5000 * 300
+
+
+def edited(text, share, seed):
+    """The text with a share of its words replaced, left out or doubled."""
+    rng, out = random.Random(seed), []
+    for w in text.split():
+        kind = rng.randrange(3) if rng.random() < share else 3
+        out += {0: [rng.choice(VOCABULARY) + "x"], 1: [], 2: [w, w], 3: [w]}[kind]
+    return " ".join(out)
+
+
+def plain_matches(text, items):
+    """Every window against every item, by sets of words written out."""
+    def shingles(w):
+        return Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    split = [(k, t.lower().split()) for k, t in items]
+    holders = Counter(s for _, w in split for s in set(shingles(w)))
+    weight = lambda s: 1 + np.log(len(split) / holders.get(s, 1))
+    found, words = {}, (text or "").lower().split()
+    for k, w in split:
+        size, own = min(len(w), len(words)), shingles(w)
+        for at in range(len(words) - size + 1) if size else ():
+            there = shingles(words[at:at + size])
+            shared = sum(weight(s) * min(n, there[s]) for s, n in own.items())
+            score = shared / (sum(weight(s) * n for s, n in own.items()) + sum(weight(s) * n for s, n in there.items()) - shared)
+            if score >= decontamination.SIMILARITY and score > found.get(k, (0,))[0]:
+                found[k] = (score, at, size)
+    return found
+
+
+def test_decontamination_against_every_window(spark, docs):
+    """Verbatim and edited passages: all that brute force finds within the radius, and what share of the rest the radius costs."""
+    items = [(i, prose(500 + i, 8 + 3 * i)) for i in range(20)]
+    rows = [(100 * i + j, f"{prose(i + j, 30)} {edited(t, share, 7 * i + j)} {prose(i - j, 25)}") for i, t in items for j, share in enumerate((0, 0, 0.02, 0.04, 0.08, 0.25))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {}
+    for r in decontamination.contaminations(docs(rows), bench).collect():
+        found[r.doc_id, r.item_id] = (r.similarity, r.first_word, r.n_words)
+    exact = {(d, k): x for d, t in rows for k, x in plain_matches(t, items).items()}
+    assert set(found) <= set(exact) and all(abs(found[p][0] - exact[p][0]) < 1e-5 for p in found if found[p][1] == exact[p][1])
+    assert len(found) >= 0.99 * len(exact) and len(exact) > 50
+    assert {(100 * i + j, i) for i, _ in items for j in (0, 1)} <= set(found)
 
 
 def test_warc_round_trip(spark):
@@ -143,8 +192,7 @@ def test_token_files_equal_the_tokenizer(spark, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    rows = [r for r in corpus() if r[0] is not None] + [(30, "Don't stop, ΣΑΣ é ñandú 12,5 a b <|endoftext|> Straße! it's ǅ x y"), (31, "The end. THE END; x?! " + prose(3, 50))]
+    rows = [r for r in corpus() if r[0] is not None] + [(29, "hello <|endoftext|> world, a<|startoftext|>b\u00a0c e\u0301 \u0301x I\u0130 \x1c\x85y d'un l'été au,### <|ENDOFTEXT|>"), (30, "Don't stop, ΣΑΣ é ñandú 12,5 a b <|endoftext|> Straße! it's ǅ x y"), (31, "The end. THE END; x?! " + prose(3, 50))]
     folder = shared_folder(spark)
     manifest = token_files.write_ids(docs(rows), folder, tokenizer_path(), 2, file_ids=200)
     found = {(r.doc_id, r.start): r for r in token_files.read_ids(spark, manifest, folder).collect()}
@@ -172,6 +220,8 @@ def test_personal_data_patterns_and_model(spark, docs):
     assert found[40].base_sha256 == hashlib.sha256(personal_data.joined(plain).encode()).hexdigest() and found[4].spans == "" and found[4].n_email == 0
     assert found[41].spans == "phone:11:22" and found[41].n_phone == 0
     assert all(s in found[40].spans.split(",") for s in personal_data.joined(plain).split(","))
+    zeros = "0" * 5000
+    assert personal_data.base_spans(f"{zeros}.{zeros}1.2.{zeros}255 {'9' * 5000}.1.1.1 1.1.1.{'1' * 5000}")[1] == [(0, 15008)]
     states = personal_data.viterbi([personal_data.feature_ids(t, {}) for t, _ in personal_data.labelled()], model)
     assert np.mean([(a == b).all() for a, (_, b) in zip(states, personal_data.labelled())]) > 0.9
 
@@ -188,11 +238,41 @@ def test_imatch_order_and_fingerprints(spark, docs):
         half = len(a) // 2
         assert found[i].n_chars == len(a) and found[i].edited_sha256 == hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest()
         assert 0 <= found[i].near_edited <= 1 and 0 <= found[i].near_next <= 1
+        assert found[i].fingerprint == imatch.fingerprints([a.encode()], terms)[0] and found[i].near_next == imatch.likeness(found[i].fingerprint, imatch.fingerprints([b.encode()], terms)[0])
     assert found[4].fingerprint == found[5].fingerprint == found[11].fingerprint
+    same = imatch.compared(docs([(None, "a b"), (None, "a b"), (7, "a b"), (7, None)]), terms).collect()
+    assert len(same) == 4 and len({r.fingerprint for r in same if r.n_chars}) == 1
     one = imatch.compared(docs([(1, "a b c d")]), terms).collect()
     assert one[0].near_next == 1 and imatch.compared(docs([]), terms).count() == 0
 
 
+def plain_imatch(text, terms):
+    """Each lexicon's terms of a text, by draws written out."""
+    own = sorted({int(h) for h in words.word_hashes([text.encode()])[0]} & {int(t) for t in terms})
+    draw = lambda copy, t: int(words.mix(np.array([(t + (copy + 1) * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0])
+    return [tuple(t for t in own if draw(copy, t) < 2 ** (64 - level)) for level in imatch.LEVELS for copy in range(imatch.COPIES)]
+
+
+def test_fingerprints_tell_shared_halves_from_none():
+    vocabulary = [f"w{i}" for i in range(4000)]
+    terms = np.unique(words.word_hashes([" ".join(vocabulary).encode()])[0])
+    rng, above = random.Random(3), []
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice([20, 60, 400, 3000]))) for _ in range(120)]
+    prints = imatch.hashes([t.encode() for t in texts], terms)
+    assert (imatch.read_back(imatch.written(prints)) == prints).all()
+    for i in range(0, 120, 10):
+        sets = plain_imatch(texts[i], terms)
+        flat = prints[i].ravel()
+        assert [bool(s) for s in sets] == [bool(x) for x in flat]
+        other = plain_imatch(texts[i - 1], terms)
+        assert all((a == b) == (x == y) for a, b, x, y in zip(sets, other, flat, prints[i - 1].ravel()) if a or b)
+    for i, t in enumerate(texts):
+        half = " ".join(t.split()[: len(t.split()) // 2] + texts[i - 1].split()[: len(t.split()) // 2])
+        made = imatch.hashes([half.encode()], terms)
+        above.append(imatch.alike(prints[i : i + 1], made)[0] > imatch.alike(prints[i : i + 1], prints[i - 2 : i - 1] if i > 1 else prints[-1:])[0])
+    assert np.mean(above) >= 0.9 and imatch.likeness("0" * 528, "0" * 528) == 1
+
+
 def test_language_and_backoff(spark, docs):
     kinds = {"aa": "bare kito lumo sena".split(), "bb": "xyrg vulq zzop wrek".split()}
     rows = [(i, " ".join(random.Random(i).choices(kinds[k], k=12)), k) for i in range(200) for k in (("aa", "bb")[i % 2],)]
@@ -203,10 +283,49 @@ def test_language_and_backoff(spark, docs):
     assert found[900].lang_pred == found[901].lang_pred == "und" and found[902].lang_pred == "aa" and found[903].lang_pred == "bb" and found[None].lang_pred == "bb"
     assert all(found[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(200))
     assert {r.doc_id for r in language.accepted(docs(rows), model).collect()} == {r[0] for r in rows} - {900, 901}
+    assert language.identify(docs([]), model).count() == 0 and language.accepted(docs([]), model).count() == 0
+    many = rows + [(2000 + i, f"solo{i} solo{i}", f"l{i:03d}") for i in range(300)] + [(1, rows[1][1], "bb")] * 50 + [(5000, "bare " * 100_000)]
+    wide = language.fit(docs(many))
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs(many), wide).collect()}
+    learned = [i for i in range(300) if zlib.crc32(str(2000 + i).encode()) % 4 != 2]
+    assert len(wide.languages) == 2 + len(learned) and all(found[2000 + i] == f"l{i:03d}" for i in learned) and found[5000] == "aa"
     empty = language.fit(docs([]))
     assert {r.lang_pred for r in language.identify(docs(rows), empty).collect()} == {"und"}
 
 
+def test_backoff_equals_a_plain_version(spark, docs):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choices("abcd" if i % 3 else "cdef", k=rng.randrange(1, 7))) for _ in range(8)), "xyz"[i % 3]) for i in range(120)]
+    kept = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = [{}, {}]
+    for t, x in kept:
+        for w in t.split():
+            for k, key in [(0, w), *((1, w[a:a + n]) for n in range(1, 6) for a in range(len(w) - n + 1))]:
+                counts[k].setdefault(key, {}).setdefault(x, 0)
+                counts[k][key][x] += 1
+    counts = [{key: by for key, by in c.items() if sum(by.values()) > 1} for c in counts]
+    whole = [{x: sum(by.get(x, 0) for by in c.values()) + 0.5 * (len(c) + 1) for x in "xyz"} for c in counts]
+    score = lambda k, key, x: np.log((counts[k][key].get(x, 0) + 0.5) / whole[k][x])
+
+    def plain(text):
+        used = []
+        for w in text.split():
+            if w in counts[0]:
+                used.append((0, w))
+            else:
+                for a in range(len(w)):
+                    longest = next((w[a:a + n] for n in range(min(5, len(w) - a), 0, -1) if w[a:a + n] in counts[1]), None)
+                    used += [(1, longest)] if longest else []
+        z = np.array([sum(score(k, key, x) for k, key in used) for x in "xyz"]) / np.sqrt(max(len(used), 1))
+        p = np.exp(z - z.max())
+        return "xyz"[p.argmax()], p.max() / p.sum()
+
+    tried = rows + [(1000 + i, " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(5))) for i in range(50)]
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs(tried), language.fit(docs(rows))).collect()}
+    for i, t, *_ in tried:
+        assert found[i][0] == plain(t)[0] and abs(found[i][1] - plain(t)[1]) < 1e-4
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     rows = [(i, prose(i, 60) + (" vile" + "x" * (i % 3) if i % 4 == 0 else "") + (" worst" if i % 8 == 0 else "")) for i in range(800)] + [(900, None), (901, "")]
     labels = spark.createDataFrame([(i, int(i % 8 != 0), int(i % 4 == 0)) for i in range(400)] + [(None, 1, 1), (5000, None, None)], "doc_id long, quality int, toxic int")
@@ -227,7 +346,67 @@ def test_rollups_count_each_batch_once(spark, docs):
     want = {("x", "en", 2, 4), ("y", None, 2, 0)}
     state = lambda: {(r.source, r.lang, r.documents, r.tokens) for r in store.totals().collect()}
     assert state() == want
-    store.compact("3")
-    assert state() == want and not store.apply("2", rollups.signed(counts, "v", "words")) and store.committed() == ["batch-3"]
+    assert store.compact() and state() == want and not store.apply("2", rollups.signed(counts, "v", "words")) and len(store.generation()["folders"]) == 1
     store.apply("4", rollups.signed(counts.where("doc_id = 2"), "v", "words", -1))
-    assert state() == {("x", "en", 1, 3), ("y", None, 2, 0)}
+    assert state() == {("x", "en", 1, 3), ("y", None, 2, 0)} and store.batches() == ["1", "2", "4"]
+    assert rollups.maintained(docs([]), spark.createDataFrame([], "doc_id long, toxic int"), rollups.Rollup(spark, shared_folder(spark))).count() == 0
+
+
+def test_a_crash_after_any_step_loses_and_doubles_nothing(spark, docs):
+    rows = [(1, "a b c", "en", "x"), (2, "d", "en", "x"), (3, "long " * 50_000, None, None)]
+    counts = rollups.counted(docs(rows)).cache()
+    delta = rollups.signed(counts, "v", "words").withColumn("batch", F.lit("clash"))
+
+    class Crash(Exception):
+        pass
+
+    def crashing(folder, step):
+        """A store whose next write stops after ``step``."""
+        store = rollups.Rollup(spark, folder)
+
+        def written(sums):
+            name = rollups.Rollup._written(store, sums)
+            if step == "data":
+                raise Crash
+            return name
+
+        class Context:
+            def rename(self, *args):
+                if step == "aside":
+                    raise Crash
+                rollups.Rollup(spark, folder)._context.rename(*args)
+                raise Crash
+        store._written, store._context = written, Context()
+        return store
+
+    plain = lambda store: sorted(map(tuple, store.totals().collect()), key=repr)
+    for step in ("data", "aside", "renamed"):
+        folder = shared_folder(spark)
+        store = rollups.Rollup(spark, folder)
+        store.apply("0", delta)
+        before = plain(store)
+        with pytest.raises(Crash):
+            crashing(folder, step).apply("1", delta)
+        assert plain(store) == before if step != "renamed" else len(store.batches()) == 2
+        store.apply("1", delta)
+        twice = plain(store)
+        assert [(r[3], r[4]) for r in twice] == [(2 * r[3], 2 * r[4]) for r in before] and store.batches() == ["0", "1"]
+        with pytest.raises(Crash):
+            crashing(folder, step).compact()
+        assert plain(store) == twice and not store.apply("1", delta)
+        store.compact()
+        assert plain(store) == twice and not store.apply("0", delta)
+        assert bool(store.forgotten()) == (step != "renamed")
+
+
+def test_writers_side_by_side_commit_each_batch_once(spark, docs):
+    counts = rollups.counted(docs([(i, "a b", "en", "x") for i in range(5)])).cache()
+    folder = shared_folder(spark)
+
+    def send(batch):
+        return rollups.Rollup(spark, folder).apply(batch, rollups.signed(counts, "v", "words"))
+
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(send, ["a", "b", "a", "c", "a", "b", "c", "a"]))
+    store = rollups.Rollup(spark, folder)
+    assert sum(done) == 3 and sorted(store.batches()) == ["a", "b", "c"] and [tuple(r) for r in store.totals().collect()] == [("x", "en", "v", 15, 30)]
