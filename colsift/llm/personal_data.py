@@ -102,11 +102,44 @@ score 3-1 after 90 minutes
 it is 12 @ 3.50 each
 x2 and y10 are names of 2 things
 flight 1203 leaves 06:45 from gate 22
+serial 4929 1203 8841 0077 is printed below
+parcel 1234567890123456 left the depot
+order 9876-5432-1098-7654 was sent out
+batch 5500 0000 0000 0005 of the mill
+the counter stood at 4111111111111112 then
+invoice 20240517 and 30012345678901 are paid
+amex [card|371449635398431] on file
+visa [card|4222222222222] was charged
+card number [card|30569309025904] please
+pay by card [card|3056 930902 5904] today
+release 10.4.300.2 fixed it
+firmware 2.18.512.7 is out
+build 7.1.0.4412 broke the test
+the range 1.2 to 3.4 holds
+my office line is [phone|030-2345678] until noon
+call back on [phone|(0171) 555 0199] tonight
+mobile [phone|0171-5550199] or landline [phone|089/123456]
+fax [phone|0221-998877] and mail [email|office@firm]
+his phone is [phone|555.0123.44] now
+text me at [phone|07700-900123] later
+contact [email|sam(at)mail.example.net] for it
+email [email|team@intranet] with questions
+mail to [email|lee[at]example.com] please
+user @home and user @work were there
+tweet by @someone at 10:15
+scale 1:50000 and 2:1 were used
+isbn 978-3-16-148410-0 is listed
+row 12-34-56 of the sheet
+score 112-98 in game 7
+years 1914-1918 and 1939-1945
+id 555-0134-88-A of the part
 """.strip().splitlines()
 STATES = ("other", *KINDS)
-BITS = 13
-EPOCHS = 150
+BITS = 14
+EPOCHS = 200
 PUNCTUATION = ".,;:!?\"'<>[]{}"
+# Tokens whose class a worker remembers before it begins anew.
+REMEMBERED = 100_000
 
 
 def shape(token: str) -> str:
@@ -119,32 +152,64 @@ def shape(token: str) -> str:
     return "".join(out) + ("*" if len(token) > 48 else "")
 
 
-def feature_ids(tokens: list[str], shapes: dict[str, str]) -> list[list[int]]:
-    """Hashed features of each token: its shape, its neighbours' shapes, how many digits it has and what it begins with."""
-    own = ["<", *(shapes.setdefault(t, shape(t.strip(PUNCTUATION))) for t in tokens), ">"]
-    out = []
-    for i in range(1, len(own) - 1):
-        s = own[i]
-        names = ("s" + s, "p" + own[i - 1], "n" + own[i + 1], "d" + str(s.count("9")), "c" + "".join(sorted({c for c in s if not c.isalnum()})), "f" + s[:2],
-                 "m" + str("@" in s) + str(s.count(".")) + str(s.count("-")), "l" + str(min(len(s), 12)))
-        out.append([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=4).digest()) & ((1 << BITS) - 1) for n in names])
-    return out
+def hashed(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest()) & ((1 << BITS) - 1)
+
+
+def token_class(token: str, words: frozenset[str]) -> tuple[str, str, str]:
+    """All that the model sees of a token: its shape, itself if it is one of the known ``words``, and whether many digits pass Luhn."""
+    bare = token.strip(PUNCTUATION)
+    word = bare.lower() if len(bare) <= 16 else ""
+    digits = digits_in(bare) if len(bare) <= 64 else ""
+    return shape(bare), word if word in words else "", str(luhn(digits)) if len(digits) >= 13 else ""
+
+
+def own_features(kind: tuple[str, str, str]) -> list[int]:
+    """Hashed features of a token's class: shape, its digits, signs, beginning and length, and the Luhn test."""
+    s, word, passes = kind
+    names = ("s" + s, "d" + str(s.count("9")), "c" + "".join(sorted({c for c in s if not c.isalnum()})), "f" + s[:2],
+             "m" + str("@" in s) + str(s.count(".")) + str(s.count("-")), "l" + str(min(len(s), 12)), "w" + word, "k" + passes)
+    return [hashed(n) for n in names]
+
+
+def side_features(kind: tuple[str, str, str] | None, side: str) -> list[int]:
+    """Hashed features that a token's neighbour on one side gives it; None is the end of the text."""
+    s, word, _ = kind or ("end", "", "")
+    return [hashed(side + s), hashed(side + side + word)]
+
+
+def feature_ids(tokens: list[str], words: frozenset[str]) -> list[list[int]]:
+    """All features of each token of a sequence."""
+    kinds = [None, *(token_class(t, words) for t in tokens), None]
+    return [own_features(kinds[i]) + side_features(kinds[i - 1], "p") + side_features(kinds[i + 1], "n") for i in range(1, len(kinds) - 1)]
 
 
 @dataclass
 class Crf:
-    """Linear chain: a weight for each feature and state, and for each pair of states."""
+    """Linear chain: a weight for each feature and state, and for each pair of states; ``words`` are those it knows."""
 
     weights: np.ndarray
     moves: np.ndarray
+    words: frozenset[str]
 
+    def vectors(self, kind: tuple[str, str, str] | None) -> np.ndarray:
+        """What a class gives to its own token, to the one behind it and to the one before it, by state."""
+        own = self.weights[own_features(kind)].sum(0) if kind else np.zeros(len(STATES))
+        return np.stack([own, self.weights[side_features(kind, "p")].sum(0), self.weights[side_features(kind, "n")].sum(0)])
 
-def labelled() -> list[tuple[list[str], list[int]]]:
+    def certain(self, emit: np.ndarray) -> np.ndarray:
+        """Tokens that are state other in every best sequence: there, no other state can win back by its moves what it loses by itself."""
+        into = (self.moves - self.moves[:, :1]).max(0).clip(0)
+        out = (self.moves - self.moves[:1]).max(1).clip(0)
+        return (emit[:, :1] - emit[:, 1:] > (into + out)[1:]).all(1)
+
+
+def labelled(lines: list[str] | None = None) -> list[tuple[list[str], list[int]]]:
     """Tokens and states of the labelled table."""
     rows = []
-    for line in LABELLED:
+    for line in LABELLED if lines is None else lines:
         tokens, states = [], []
-        for plain, kind, inside in re.findall(r"([^\[]+)|\[(\w+)\|([^\]]+)\]", line):
+        for plain, kind, inside in re.findall(r"((?:[^\[]|\[(?!\w+\|))+)|\[(\w+)\|((?:[^\[\]]|\[\w+\])+)\]", line):
             words = (plain or inside).split()
             tokens += words
             states += [STATES.index(kind) if kind else 0] * len(words)
@@ -169,8 +234,8 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def train(table: list[tuple[list[str], list[int]]] | None = None, epochs: int = EPOCHS) -> Crf:
     """Maximum likelihood with a quadratic penalty by adaptive gradient steps over the whole table, forward-backward in numpy."""
     table = table or labelled()
-    shapes: dict[str, str] = {}
-    ids, lengths = padded([feature_ids(t, shapes) for t, _ in table])
+    words = frozenset(w for t, _ in table for w in (x.strip(PUNCTUATION).lower() for x in t) if w.isalpha() and len(w) <= 16)
+    ids, lengths = padded([feature_ids(t, words) for t, _ in table])
     n, longest, k = len(table), ids.shape[1], len(STATES)
     gold = np.zeros((n, longest, k))
     for i, (_, states) in enumerate(table):
@@ -203,25 +268,27 @@ def train(table: list[tuple[list[str], list[int]]] | None = None, epochs: int =
         gm += move_slope**2
         w += 0.3 * slope / np.sqrt(gw)
         moves += 0.3 * move_slope / np.sqrt(gm)
-    return Crf(w, moves)
+    return Crf(w, moves, words)
 
 
-def viterbi(rows: list[list[list[int]]], model: Crf) -> list[np.ndarray]:
-    """Best states of many sequences at once, those of like length together."""
+def viterbi(rows: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
+    """Best states of many sequences at once, each given by its scores (token, state); those of like length together."""
     out: list[np.ndarray] = [np.zeros(0, int)] * len(rows)
-    order = sorted((i for i in range(len(rows)) if rows[i]), key=lambda i: len(rows[i]))
+    order = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: len(rows[i]))
     at = 0
     while at < len(order):
         group = order[at : at + 4096]
         while len(group) > 1 and len(rows[group[-1]]) * len(group) > 1 << 17:
             group = group[: len(group) // 2]
         at += len(group)
-        ids, lengths = padded([rows[i] for i in group])
-        emit = sum(model.weights[ids[:, :, f]] for f in range(ids.shape[2]))
-        score, came = emit[:, 0], np.zeros(emit.shape, np.int8)
-        every = [score]
+        lengths = np.array([len(rows[i]) for i in group])
+        emit = np.zeros((len(group), lengths.max(), len(STATES)))
+        for j, i in enumerate(group):
+            emit[j, : lengths[j]] = rows[i]
+        came = np.zeros(emit.shape, np.int8)
+        every = [emit[:, 0]]
         for t in range(1, emit.shape[1]):
-            ways = every[-1][:, :, None] + model.moves[None]
+            ways = every[-1][:, :, None] + moves[None]
             came[:, t] = ways.argmax(1)
             every.append(ways.max(1) + emit[:, t])
         last = np.stack(every, 1)[np.arange(len(group)), lengths - 1].argmax(1)
@@ -234,48 +301,80 @@ def viterbi(rows: list[list[list[int]]], model: Crf) -> list[np.ndarray]:
     return out
 
 
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Token runs worth decoding: tokens with a digit or an @ sign, with one token on either side. All others are state other.
-
-    The reach of personal data is that of these tokens: each kind needs digits or an @ sign.
-    """
-    if not MARK.search(text):
-        return []
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+class Tagger:
+    """States of all tokens of texts. Chains are cut at tokens that are certainly other, which leaves the best sequence as it is."""
+
+    def __init__(self, model: Crf):
+        self.model, self.of, self.kinds, self.table = model, {}, {}, [model.vectors(None)]
+
+    def classes(self, tokens: list[str]) -> np.ndarray:
+        """Number of each token's class; 0 is the end of a text."""
+        if len(self.of) > REMEMBERED or len(self.table) > REMEMBERED:
+            self.of, self.kinds, self.table = {}, {}, self.table[:1]
+        out = list(map(self.of.get, tokens))
+        for i, found in enumerate(out):
+            if found is None:
+                kind = token_class(tokens[i], self.model.words)
+                if kind not in self.kinds:
+                    self.kinds[kind] = len(self.table)
+                    self.table.append(self.model.vectors(kind))
+                out[i] = self.of[tokens[i]] = self.kinds[kind]
+        return np.array(out, np.int64)
+
+    def emissions(self, tokens: list[str]) -> np.ndarray:
+        """Scores (token, state) of a whole text."""
+        ends = np.concatenate(([0], self.classes(tokens), [0]))
+        different, place = np.unique(ends, return_inverse=True)
+        vectors = np.stack([self.table[i] for i in different])
+        return vectors[place[1:-1], 0] + vectors[place[:-2], 1] + vectors[place[2:], 2]
+
+    def states(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """States of all tokens of each text."""
+        moves, pieces, places = self.model.moves, [], []
+        out = [np.zeros(len(t), np.int8) for t in texts]
+        for i, tokens in enumerate(texts):
+            if not tokens:
+                continue
+            emit = self.emissions(tokens)
+            open_at = np.flatnonzero(~self.model.certain(emit))
+            for run in np.split(open_at, np.flatnonzero(np.diff(open_at) > 1) + 1) if len(open_at) else []:
+                scores = emit[run]
+                if run[0] > 0:
+                    scores[0] += moves[0]
+                if run[-1] + 1 < len(tokens):
+                    scores[-1] += moves[:, 0]
+                pieces.append(scores), places.append((i, run))
+        for (i, run), states in zip(places, viterbi(pieces, moves)):
+            out[i][run] = states
+        return out
+
+
+def token_spans(text: str) -> tuple[list[int], list[int]]:
+    """Where the words of a text, between ASCII white space, begin and end."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     space = ((points >= 9) & (points <= 13)) | (points == 32)
     turn = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
-    starts, ends = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
-    marks = np.concatenate(([0], np.cumsum(((points >= 48) & (points <= 57)) | (points == 64))))
-    has = marks[ends] > marks[starts]
-    near = has.copy()
-    near[1:] |= has[:-1]
-    near[:-1] |= has[1:]
-    at = np.flatnonzero(near)
-    groups = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
-    return [list(zip(starts[g].tolist(), ends[g].tolist())) for g in groups]
-
-
-def added_spans(texts: list[str], bases: list[list[list[tuple[int, int]]]], model: Crf) -> list[list[list[tuple[int, int]]]]:
-    """Spans of each text that the model finds apart from the base ones: runs of tokens of one kind, without the punctuation around them."""
-    shapes: dict[str, str] = {}
-    found = [runs(t) for t in texts]
-    owners = [(i, r) for i, rs in enumerate(found) for r in rs]
-    decoded = viterbi([feature_ids([texts[i][a:b] for a, b in r], shapes) for i, r in owners], model)
+    return np.flatnonzero(turn == -1).tolist(), np.flatnonzero(turn == 1).tolist()
+
+
+def added_spans(texts: list[str], bases: list[list[list[tuple[int, int]]]], tagger: Tagger) -> list[list[list[tuple[int, int]]]]:
+    """Spans of each text that the model finds apart from the base ones: runs of tokens of one kind, without the punctuation around them.
+
+    A span has a digit or an @ sign; texts without either have none and are not decoded.
+    """
     out: list[list[list[tuple[int, int]]]] = [[[] for _ in KINDS] for _ in texts]
-    for (i, run), states in zip(owners, decoded):
+    some = [i for i, t in enumerate(texts) if MARK.search(t)]
+    spans = [token_spans(texts[i]) for i in some]
+    found = tagger.states([[texts[i][a:b] for a, b in zip(*s)] for i, s in zip(some, spans)])
+    for i, (starts, ends), states in zip(some, spans, found):
         taken = sorted(s for kind in bases[i] for s in kind)
-        at = 0
-        while at < len(run):
-            end = at + 1
-            while states[at] and end < len(run) and states[end] == states[at]:
-                end += 1
-            if states[at]:
-                a, b = run[at][0], run[end - 1][1]
-                piece = texts[i][a:b]
-                a, b = a + len(piece) - len(piece.lstrip(PUNCTUATION)), b - len(piece) + len(piece.rstrip(PUNCTUATION))
-                if b > a and MARK.search(texts[i], a, b) and not any(x < b and a < y for x, y in taken):
-                    out[i][states[at] - 1].append((a, b))
-            at = end
+        marked = np.flatnonzero(states)
+        for run in np.split(marked, np.flatnonzero((np.diff(marked) > 1) | (np.diff(states[marked]) != 0)) + 1) if len(marked) else []:
+            a, b = starts[run[0]], ends[run[-1]]
+            piece = texts[i][a:b]
+            a, b = a + len(piece) - len(piece.lstrip(PUNCTUATION)), b - len(piece) + len(piece.rstrip(PUNCTUATION))
+            if b > a and MARK.search(texts[i], a, b) and not any(x < b and a < y for x, y in taken):
+                out[i][states[run[0]] - 1].append((a, b))
     return out
 
 
@@ -292,10 +391,11 @@ def personal_data(docs: DataFrame, model: Crf) -> DataFrame:
     kind = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
     def read(batches):
+        tagger = Tagger(model)
         for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             bases = [base_spans(t) for t in texts]
-            more = added_spans(texts, bases, model)
+            more = added_spans(texts, bases, tagger)
             columns = {"doc_id": batch.column("doc_id")}
             for k, name in enumerate(KINDS):
                 columns[f"n_{name}"] = pa.array([len(b[k]) for b in bases], pa.int64())

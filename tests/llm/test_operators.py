@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -222,8 +223,85 @@ def test_personal_data_patterns_and_model(spark, docs):
     assert all(s in found[40].spans.split(",") for s in personal_data.joined(plain).split(","))
     zeros = "0" * 5000
     assert personal_data.base_spans(f"{zeros}.{zeros}1.2.{zeros}255 {'9' * 5000}.1.1.1 1.1.1.{'1' * 5000}")[1] == [(0, 15008)]
-    states = personal_data.viterbi([personal_data.feature_ids(t, {}) for t, _ in personal_data.labelled()], model)
+    tagger = personal_data.Tagger(model)
+    states = tagger.states([t for t, _ in personal_data.labelled()])
     assert np.mean([(a == b).all() for a, (_, b) in zip(states, personal_data.labelled())]) > 0.9
+    assert personal_data.personal_data(docs([]), model).count() == 0
+
+
+HELD_OUT = """
+you can call [phone|555-0177-21] after nine
+her line is [phone|(040) 3322-1100] at work
+ring [phone|0049-89-7654321] before noon
+the fax is [phone|212.555.0122] today
+mobile [phone|0160-4455667] or mail [email|eva@localhost] now
+please mail [email|max(at)example.net] about that
+write to [email|support@intranet] with it
+send that to [email|joe[at]example.org] now
+amex [card|341111111111111] was used
+card [card|36148900647913] please
+visa [card|4222222222222] is on file
+serial 4000 1111 2222 3333 stands below
+parcel 9876543210987654 is late
+order 1111-2222-3333-4445 went out
+invoice 20231124 and 40098765432101 are open
+release 11.2.400.1 is out
+on 2023-11-24 we met at 11:45 in room 9
+version 4.5.6 came out in 2020 with 99 fixes
+pages 33-71 of volume 8 from 2001
+in 1871 there were 3,400,000 of them
+flight 4410 leaves 07:20 from gate 3
+score 2-0 after 45 minutes
+isbn 978-0-30-640615-7 is listed
+years 1848-1849 and 1870-1871
+a plain line that has no numbers at all
+""".strip().splitlines()
+
+
+def test_personal_data_on_held_out_lines():
+    model = personal_data.train()
+    table = personal_data.labelled(HELD_OUT)
+    found = personal_data.Tagger(model).states([t for t, _ in table])
+    hit = {k: [0, 0, 0] for k in personal_data.KINDS}  # right, found, there
+    for states, (_, gold) in zip(found, table):
+        for a, b in zip(states.tolist(), gold):
+            for k, name in enumerate(personal_data.KINDS, 1):
+                hit[name][0] += a == b == k
+                hit[name][1] += a == k
+                hit[name][2] += b == k
+    for name in ("email", "card", "phone"):
+        right, all_found, there = hit[name]
+        assert right >= 0.75 * all_found and right >= 0.75 * there > 0, (name, hit)
+    assert hit["ip"][1] <= 1
+
+
+def test_viterbi_equals_all_sequences():
+    rng = np.random.default_rng(5)
+    moves = rng.normal(size=(5, 5))
+    rows = [rng.normal(size=(n, 5)) for n in (0, 1, 2, 3, 4, 5, 5)]
+    for scores, best in zip(rows, personal_data.viterbi(rows, moves)):
+        ways = list(itertools.product(range(5), repeat=len(scores)))
+        worth = [sum(scores[t, k] for t, k in enumerate(w)) + sum(moves[a, b] for a, b in zip(w, w[1:])) for w in ways]
+        assert tuple(best) == ways[int(np.argmax(worth))]
+
+
+def test_cutting_chains_leaves_the_best_sequence():
+    rng = random.Random(6)
+    model = personal_data.train()
+    lines = [personal_data.labelled()[rng.randrange(len(personal_data.LABELLED))][0] + prose(i, rng.randrange(12)).split() for i in range(300)]
+    texts = [sum(rng.choices(lines, k=5), []) for _ in range(60)] + [["7"], [], ["x"]]
+    tagger = personal_data.Tagger(model)
+    for tokens, states in zip(texts, tagger.states(texts)):
+        whole = personal_data.viterbi([tagger.emissions(tokens)], model.moves)[0] if tokens else np.zeros(0)
+        assert (states == whole).all()
+        if tokens:
+            ids = personal_data.feature_ids(tokens, model.words)
+            assert np.allclose(tagger.emissions(tokens), [model.weights[i].sum(0) for i in ids])
+    # and where the weights make no token certain, nothing is cut
+    loose = personal_data.Crf(model.weights * 0.01, model.moves * 30, model.words)
+    tagger = personal_data.Tagger(loose)
+    for tokens, states in zip(texts, tagger.states(texts)):
+        assert not len(tokens) or (states == personal_data.viterbi([tagger.emissions(tokens)], loose.moves)[0]).all()
 
 
 def test_imatch_order_and_fingerprints(spark, docs):

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -46,3 +47,18 @@ def test_pipeline_stages(spark, docs):
             assert docs.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 2
             mixed = docs.count()
     assert docs.count() == mixed
+
+
+def test_stages_pass_on_columns_with_names_of_their_own(spark, docs):
+    from test_operators import prose
+    names = ["kept_id", "kept_rows", "kept_digest", "plan_id", "plan_times", "plan_turn", "digest", "component_id", "size", "taken"]
+    rows = [(i, f"{prose(i, 30)} number{i}", "en", f"s{i % 2}") for i in range(40)] + [(5, f"{prose(5, 30)} number5", "en", "s1"), (90, None), (91, ""), (None, prose(77, 30), "en", "s0")]
+    frame = docs(rows)
+    for n in names:
+        frame = frame.withColumn(n, F.lit("own"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, SF)
+        assert out.columns == frame.columns and {r[n] for r in out.select(*names).collect() for n in names} == {"own"}
+        assert stage(spark, frame.where("false"), SF).count() == 0
+    ids = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, SF).collect()]
+    assert ids.count(5) == 1 and {90, 91, None} <= set(ids)
