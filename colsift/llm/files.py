@@ -7,11 +7,25 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 
 
+# Names that Hadoop and pyarrow have for the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else "file://" + uri)
+    """The file system and path of a folder; a clear error where pyarrow has none for it."""
+    scheme, sep, rest = uri.partition("://")
+    if sep:
+        uri = SCHEMES.get(scheme, scheme) + sep + rest
+    else:
+        uri = uri.replace("file:", "file://", 1) if uri.startswith("file:") else "file://" + uri
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError) as error:
+        raise ValueError(f"tasks write files through pyarrow, which can't open {uri} ({error}); name a spark.checkpoint.dir that it can") from error
 
 
 class Rolling:

@@ -13,8 +13,8 @@ WEIGHTS = (5, 2, 1)
 # Share of all words to take, and how often a document may be taken.
 BUDGET, REPEATS = 1.5, 2
 WORD = "[^\\x20\\x09-\\x0D]+"
-# Parts a source's shuffled order and the common queue are cut into for running sums.
-PARTS = 1024
+# Least number of parts that a source's shuffled order and the common queue are cut into for running sums, and most rows a part should have.
+PARTS, PART_ROWS = 1024, 50_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
@@ -50,6 +50,21 @@ def _before(rows: DataFrame, group: list[str], order: list[Column], part: Column
     return placed.withColumn(name, F.col("offset") + F.sum("size").over(inside)).drop("part", "offset")
 
 
+def _first(rows: DataFrame, order: list[str], total: int) -> DataFrame:
+    """Of rows with the sum ``begin`` of all before them, those that come in ``order`` until ``total`` is reached.
+
+    Many small sources end together, so these may be most of the queue: they are sorted into ranges, and a range begins where the sum of
+    those before it ends.
+    """
+    ranged = staged(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "edge")
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("range_size"))
+    up = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("range", F.coalesce(F.sum("range_size").over(up), F.lit(0)).alias("offset"))  # a row a range
+    upto = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.join(F.broadcast(offsets), "range").withColumn("sum", F.col("begin") + F.col("offset") + F.sum("size").over(upto))
+    return summed.where(F.col("sum") <= total).select("row", "size")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source; other columns are ignored): doc_id, size, source_size, target, taken.
 
@@ -66,7 +81,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = B
     rows = staged(rows, "sizes")
     goals = staged(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, repeats), "targets")
 
-    lane = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * PARTS / F.lit(1 << 32)
+    parts = max(PARTS, 1 << (rows.count() // PART_ROWS).bit_length())
+    lane = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)
     part = F.floor(lane).cast("int")
     queued = _before(rows, ["source"], [F.col("key"), F.col("doc_id"), F.col("size"), F.col("row")], part, "reached")
     goal = goals.withColumnRenamed("source", "of_source")
@@ -76,16 +92,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = B
     queue = staged(again.withColumn("finish", finish).where("size > 0").select("row", "key", "turn", "size", "finish"), "queue")
 
     # A finish time past 1 is past its source's target: such documents only compete for what rounding leaves of the budget.
-    slot = F.least(F.floor(F.col("finish") * PARTS), F.lit(2 * PARTS))
+    slot = F.least(F.floor(F.col("finish") * parts), F.lit(2 * parts))
     total = math.floor((goals.agg(F.sum("source_size")).first()[0] or 0) * budget)
     slots = queue.groupBy(slot.alias("slot")).agg(F.sum("size").alias("slot_size"))
     ends = slots.select("slot", F.sum("slot_size").over(Window.orderBy("slot")).alias("end"), "slot_size")
     ends = ends.select("slot", "end", (F.col("end") - F.col("slot_size")).alias("begin")).where(F.col("begin") < total)
-    known = queue.withColumn("slot", slot).join(F.broadcast(ends), "slot")  # at most 2 * PARTS + 1 rows
+    known = queue.withColumn("slot", slot).join(F.broadcast(ends), "slot")  # at most 2 * parts + 1 rows
     inside = known.where(F.col("end") <= total).select("row", "size")
-    edge = known.where(F.col("end") > total)
-    upto = Window.orderBy("finish", "key", "turn", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("sum", F.col("begin") + F.sum("size").over(upto)).where(F.col("sum") <= total).select("row", "size")
+    edge = _first(known.where(F.col("end") > total), ["finish", "key", "turn", "row"], total)
     taken = inside.unionByName(edge).groupBy("row").agg(F.sum("size").alias("taken"))
     out = rows.join(taken, "row", "left").join(goal, F.col("source").eqNullSafe(F.col("of_source")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -83,7 +83,7 @@ def _confirmed(estimated: DataFrame, docs: DataFrame, percent: int) -> DataFrame
     texts = staged(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi"), "texts")
 
     def verify(batches):
-        for batch in slices(batches, "text_a"):
+        for batch in slices(slices(batches, "text_a"), "text_b"):
             sets = zip(shingle_sets(text_bytes(batch.column("text_a"))), shingle_sets(text_bytes(batch.column("text_b"))))
             shared = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in sets]
             keep = [100 * s >= percent * (n - s) for s, n in shared]
@@ -127,9 +127,10 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, percent: int = PERCENT) ->
     the component of its exact copies, else null, and is kept only without one. Rows that repeat a doc_id are one node.
     """
     sketch = staged(sketched(docs, k), "sketches")
-    groups = sketch.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = staged(sketch.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
-                     .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node")), "members")
+    # Written first, so that the join is of two plain exchanges, of which Spark can split a digest that many copies share.
+    groups = staged(sketch.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")), "groups")
+    some = sketch.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(groups, "digest").select("doc_id", "n_shingles", "node")
+    members = staged(some.unionByName(sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("node"))), "members")
     names = groups.where("node is not null").select(F.col("node").alias("doc_id"), "digest")
     nodes = staged(sketch.join(names, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
                    .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "nodes")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colsift.llm import elias_fano
-from colsift.llm.files import Rolling, content
+from colsift.llm.files import Rolling, content, opened
 from colsift.llm.staging import shared_folder, staged
 from colsift.llm.words import slices
 
@@ -127,6 +127,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width:
     ``tokenizer`` is the path of a white-space dropping tokenizer, ``end_id`` follows each document, ``width`` is the bytes of an id.
     Documents are range-partitioned by id; each task rolls its files at ``file_ids``. Null ids come first; equal ids follow their text.
     """
+    opened(folder)  # fails here rather than in every task
 
     def write(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsift.llm.files import Rolling, content
+from colsift.llm.files import Rolling, content, opened
 from colsift.llm.staging import shared_folder, staged
 from colsift.llm.words import slices
 
@@ -35,7 +35,8 @@ def planned(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).cast("long").alias("payload_bytes"),
                         F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"), F.col("url").cast("string").alias("url"), html.alias("html"))
     heads = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("head"), F.count("*").alias("copies"))
-    heads = heads.where("copies > 1").drop("copies")
+    # Written first, so that the join is of two plain exchanges, of which Spark can split a payload that many pages share.
+    heads = staged(heads.where("copies > 1").drop("copies"), "heads")
     again = ~F.col("page_id").eqNullSafe(F.col("head")) & F.col("head").isNotNull()
     marks = rows.select("page_id", "payload_digest").join(heads, "payload_digest").where(again).distinct()
     none = F.lit(None).cast("string")
@@ -70,6 +71,7 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, leas
     Each record is a gzip member without a time stamp, so equal input gives equal archives. A task rolls its file once
     that has ``file_bytes`` compressed bytes. Null ids come first. A null payload is empty, a null URL is ``about:blank``.
     """
+    opened(folder)  # fails here rather than in every task
 
     def write(batches):
         part, seq, out, n = TaskContext.get().partitionId(), 0, None, 0

@@ -179,6 +179,51 @@ def test_mixing_shares_and_limits(spark, docs):
     assert mixing.mixed(docs([])).count() == 0
 
 
+def plain_mix(rows):
+    """The merged queue of all documents as one sorted list, cut at the budget: words taken of each row."""
+    size = [len((t or "").encode().split()) for _, t, _, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    own = {s: sum(n for n, r in zip(size, rows) if r[3] == s) for s in sources}
+    left, rest, target = 1.5 * sum(size), set(sources), {}
+    while rest:
+        rate = left / sum(weight[s] for s in rest)
+        full = [s for s in rest if rate * weight[s] > 2 * own[s]]
+        for s in full or rest:
+            target[s] = float(2 * own[s]) if full else rate * weight[s]
+        left -= sum(2 * own[s] for s in full)
+        rest = rest - set(full) if full else set()
+    key = [hashlib.md5(f"mix:{i}".encode()).hexdigest() for i, *_ in rows]
+    queue = []
+    for s in sources:
+        reached = 0
+        for k in sorted((k for k, r in enumerate(rows) if r[3] == s), key=lambda k: key[k]):
+            reached += size[k]
+            queue += [((reached + turn * own[s]) / target[s], key[k], turn, k) for turn in (0, 1) if size[k]]
+    taken, total = [0] * len(rows), 0
+    for *_, k in sorted(queue):
+        total += size[k]
+        if total > int(1.5 * sum(size)):
+            break
+        taken[k] += size[k]
+    return sorted(zip((r[0] for r in rows), taken))
+
+
+def test_mixing_equals_one_sorted_queue(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_ROWS", 100)
+    single = [(i, prose(i, 3 + i % 9), None, f"source {i}") for i in range(700)]  # every source one document: all end together
+    for rows in (single, single[:200] + [(1000 + i, prose(i, 10), None, "large" if i % 3 else None) for i in range(400)]):
+        found = [(r.doc_id, r.taken) for r in mixing.mixed(docs(rows)).collect()]
+        assert sorted(found) == plain_mix(rows)
+
+
+def test_stores_without_a_file_system_fail_early():
+    from colsift.llm import files
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files.opened("viewfs://store/x")
+    assert files.opened("file:/tmp/x")[1] == files.opened("/tmp/x")[1] == files.opened("file:///tmp/x")[1] == "/tmp/x"
+
+
 @pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [-3, -3, 0, 10**12], list(range(0, 5000, 3)), sorted(random.Random(0).choices(range(10**7), k=3000))])
 def test_elias_fano_round_trip(values):
     data = elias_fano.encode(np.array(values, np.int64))
