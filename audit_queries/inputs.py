@@ -6,12 +6,13 @@ Spark and DuckDB both run over the whole orders table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colsift.functions.stage import work_folder
+
 NAME = "orders_dirty"
 STAMP = "2026-01-01T00:00:00Z"
 
@@ -121,6 +122,5 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; local only without one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/colsift-{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share; a local session without one gets its own."""
+    return f"{work_folder(spark).rstrip('/')}/colsift-{uuid.uuid4().hex}"

@@ -27,6 +27,7 @@ def _ascending(values, low: float = 0.0, high: float = 100.0) -> bool:
 class CheckConfig:
     """Thresholds of the nine checks. All shares are percentages."""
 
+    # The default thresholds.
     # upper ends of LOW, MEDIUM and HIGH; above the last is CRITICAL
     missing_bands: tuple[float, float, float] = (5.0, 20.0, 40.0)
     duplicate_bands: tuple[float, float, float] = (1.0, 5.0, 10.0)
@@ -95,6 +96,7 @@ COMPONENTS = (
 class ScoreConfig:
     """Component weights, severity penalties and score bands."""
 
+    # The default weights, penalties and bands.
     weights: dict[str, float] = field(default_factory=lambda: dict(
         completeness=0.35, duplicate_free=0.20, schema_usability=0.15,
         categorical_consistency=0.15, outlier_risk=0.15))

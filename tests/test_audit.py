@@ -62,6 +62,29 @@ def test_ranking_over_ranges_equals_the_window(two):
     assert {(r.dataset, r.evidence, r.column): r.priority_rank for r in one.collect()} == plain
 
 
+def test_worked_example_end_to_end(spark, tmp_path):
+    """A table small enough to audit by hand.
+
+    20 rows, 5 columns, 10 of 100 cells missing: completeness 90. No row repeats: 100. Penalties: an identifier by name 50, a constant 50,
+    a text of distinct values 25, over 5 columns: 100 - 125 / 5 = 75. Spellings of Rome cover all of one of 3 text columns: 100 - 100 / 3 = 66.67.
+    One of 20 amounts lies outside, of 2 numeric columns: 100 - 5 / 2 = 97.5.
+    Weighted: 31.5 + 20 + 11.25 + 10.0005 + 14.625 = 87.3755. Half of notes missing is critical, so the table is not ready.
+    """
+    lines = ["id,flag,city,amount,note"] + [f"{i},x,{'rome' if i in (3, 7) else 'Rome'},{1000 if i == 19 else 10 + i},{f'n{i} text' if i < 10 else ''}" for i in range(20)]
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    a = audit_csv(spark, str(tmp_path / "t.csv"), dataset="t")
+    s = a.score.first()
+    assert [s[c] for c in COMPONENTS] == [90.0, 100.0, 75.0, 66.67, 97.5]
+    assert [s[f"{c}_contribution"] for c in COMPONENTS] == [31.5, 20.0, 11.25, 10.0005, 14.625] and s.overall_score == 87.38
+    assert (s.critical, s.high, s.medium, s.low) == (1, 3, 2, 0)
+    assert (s.score_band_status, s.readiness_status) == ("READY_WITH_MINOR_REVIEW", "NOT_READY")
+    issues = [(r.check_name, r.column, r.severity, r["count"], r.percentage) for r in a.issues.orderBy("priority_rank").collect()]
+    assert issues == [("missing_values", "note", "CRITICAL", 10, 50.0), ("potential_identifiers", "id", "HIGH", 20, 100.0),
+                      ("category_consistency", "city", "HIGH", 20, 100.0), ("constant_columns", "flag", "HIGH", 1, 100.0), ("potential_identifiers", "note", "MEDIUM", 10, 100.0), ("numeric_outliers", "amount", "MEDIUM", 1, 5.0)]
+    bounds = a.check("numeric_outliers").first()
+    assert (bounds.q1, bounds.q3, bounds.lower_bound, bounds.upper_bound) == (14.75, 24.25, 0.5, 38.5) and bounds.example_outlier_values == [1000.0]
+
+
 def test_critical_gate_and_disabled_gates(spark, two):
     r = two.score.filter("dataset = 'dirty'").first()
     assert r.critical == 2 and r.readiness_status == "NOT_READY" and len(r.readiness_gates) == 1
