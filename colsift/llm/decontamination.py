@@ -164,7 +164,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR
     Windows have as many words as the item (or the whole text, if that is shorter) and begin at every word. A window's SimHash must be
     within ``RADIUS`` bits of the item's; the index finds all of those. Then the weighted Jaccard similarity of five-word
     shingles must reach ``least``; the best window counts, the first of equals. Windows that share no shingle with any item are not
-    fingerprinted, as their similarity is 0. Null and empty texts and items match nothing; repeated rows match each for itself.
+    fingerprinted, as their similarity is 0. Null and empty texts and items match nothing; repeated rows match each for itself, and items
+    with equal texts each match. Without documents, or without items with words, there are no rows. Other columns are ignored. A text
+    of any length is searched whole.
     """
     def search(bench):
         def read(batches):
@@ -186,7 +188,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found."""
+    """The rows of ``docs``, all columns under whatever names, in which no item is found; all rows if no item has words."""
     def keep(bench):
         def read(batches):
             for batch in slices(batches):

@@ -143,7 +143,7 @@ def maintained(docs: DataFrame, labels: DataFrame, store: Rollup) -> DataFrame:
     words-1 counts revised to true ones, labelled toxic documents deleted from both, and the revision sent a second time, which changes nothing.
 
     Null counts are 0, null sources and languages are keys of their own; a repeated row counts again. Labels are reduced to their
-    distinct toxic ids, so a document is deleted once however many labels it has.
+    distinct toxic ids, so a document is deleted once however many labels it has. Other columns are ignored. An empty table has no totals.
     """
     rows = staged(counted(docs), "counts")
     bad = labels.where("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()

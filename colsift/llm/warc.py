@@ -70,6 +70,8 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, leas
 
     Each record is a gzip member without a time stamp, so equal input gives equal archives. A task rolls its file once
     that has ``file_bytes`` compressed bytes. Null ids come first. A null payload is empty, a null URL is ``about:blank``.
+    Repeated rows are records of their own; of those with the page_id of a response, each with its payload is a response. An empty
+    table has no files. Columns other than page_id, url and html are ignored, whatever their names.
     """
     opened(folder)  # fails here rather than in every task
 

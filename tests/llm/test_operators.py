@@ -73,6 +73,7 @@ def test_near_duplicates_equal_brute_force(spark, docs, seed):
     assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == want
     assert sorted(r.n_shingles for r in found) == sorted(len(sets_of(t)) for _, t in rows)
     assert {(r.component_id, r.kept) for r in found if r.doc_id is None} == {(1, False), (None, True)}
+    assert near_duplicates.near_duplicates(docs([])).count() == 0
 
 
 def test_components_of_a_long_path(spark):
@@ -90,7 +91,8 @@ def test_decontamination_finds_copies_and_near_copies(spark, docs):
     assert {(r.doc_id, r.item_id) for r in found} == {(20, 1), (20, 4), (21, 1), (21, 4)}
     assert next(r for r in found if r.doc_id == 20).first_word == 500 and next(r for r in found if r.doc_id == 20).similarity == 1
     assert {r.doc_id for r in decontamination.decontaminated(docs(rows), bench).collect()} == {i for i, _ in rows} - {20, 21}
-    assert decontamination.contaminations(docs(rows), bench.where("false")).count() == 0
+    assert decontamination.contaminations(docs(rows), bench.where("false")).count() == 0 and decontamination.contaminations(docs([]), bench).count() == 0
+    assert decontamination.decontaminated(docs(rows), bench.where("item_id > 1 and item_id < 4")).count() == len(rows) and decontamination.decontaminated(docs([]), bench).count() == 0
 
 
 def test_hamming_index_finds_all_within_the_radius():
@@ -456,6 +458,13 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert all(found[i].toxic == (i % 4 == 0) for i in range(400, 800)) and not found[900].toxic
     assert np.mean([found[i].grade == (2 if i % 8 == 0 else 1 if i % 4 == 0 else 0) for i in range(400, 800)]) > 0.95
     assert all(0 <= r.severity <= 2 for r in found.values())
+    model = toxicity.fit(docs(rows), labels)
+    more = [(1000, "vile " * 100_000), (1001, prose(9, 200_000)), (1002, rows[4][1]), (1002, rows[4][1]), (None, rows[4][1])]
+    extra = toxicity.severity(docs(more), model).collect()
+    assert len(extra) == 5 and {r.doc_id: r.toxic for r in extra} == {1000: True, 1001: False, 1002: True, None: True} and len({r.severity for r in extra if r.doc_id in (1002, None)}) == 1
+    assert toxicity.severity(docs([]), model).count() == 0
+    empty = toxicity.fit(docs([]), labels)
+    assert not any(r.toxic for r in toxicity.severity(docs(rows[:20]), empty).collect())
     assert not any(r.toxic for r in toxicity.severity(docs(rows), toxicity.fit(docs(rows), labels.where("false"))).collect())
 
 
