@@ -107,7 +107,7 @@ def near_constant_columns(p: TableProfile) -> DataFrame:
     share = p.config.near_constant_share
     top = p.dominant(share)
     hits = [c for c in p.columns if c.ref in top]
-    unique = p.unique_counts(hits)
+    unique = p.unique_counts(hits, group=False)
     values = {c.ref: dict(unique_non_null=unique[c.ref], dominant_value=top[c.ref][0],
                           dominant_count=top[c.ref][1]) for c in hits}
     return (_facts(p, hits, {"unique_non_null": T.LongType(), "dominant_value": T.StringType(),

@@ -27,6 +27,8 @@ DISTINCT_SLICE = 12
 # relative standard error of sketched distinct counts, and how many of them an exact count is taken to be away at most
 HLL_ERROR = 0.01
 SIGMAS = 6
+# a frequent-item summary has at most the inverse of this many counters a column
+LEAST_SUPPORT = 0.002
 # share from which the dominant value must be the median
 MEDIAN_SHARE = 51.0
 # share from which the dominant value must be both quartiles
@@ -303,15 +305,15 @@ class TableProfile:
     def _distinct(self) -> dict[str, int]:
         return {}
 
-    def unique_counts(self, columns: list[ColumnInfo]) -> dict[str, int]:
-        """Exact number of distinct non-missing values."""
+    def unique_counts(self, columns: list[ColumnInfo], group: bool = True) -> dict[str, int]:
+        """Exact number of distinct non-missing values; with ``group`` off, values of text columns are not grouped for it."""
         out, ask = {}, []
         for c in columns:
             if not self.non_null(c):
                 out[c.ref] = 0
-            elif c.group == "categorical":
+            elif c.group == "categorical" and (group or self._grouped):
                 out[c.ref] = self.text_counts[c.ref]["unique"]
-            elif c.group == "boolean" or self.is_constant(c):
+            elif c.group == "boolean" or (c.group != "categorical" and self.is_constant(c)):
                 out[c.ref] = 1 if self.is_constant(c) else 2
             elif c.ref in self._distinct:
                 out[c.ref] = self._distinct[c.ref]
@@ -442,7 +444,48 @@ class TableProfile:
             out[c.ref] = (top["v"], top["n"])
         return out
 
+    @property
+    def _grouped(self) -> bool:
+        """Whether the values of text columns are grouped anyway."""
+        return self.reuse or self._staged is not None or bool({"tokens", "text_facts", "text_counts"} & self.__dict__.keys())
+
+    def _frequent_text(self, share: float) -> dict[str, tuple[str, int]]:
+        """The same from frequent-item summaries: a few counters a column and task hold every value that can reach the share, and an
+        exact recount decides. No value is shuffled. Columns that are almost empty ask for too many counters and are grouped."""
+        support = {c.ref: 0.999 * share / 100 * self.non_null(c) / self.rows for c in self.text_columns()}
+        sparse = [ref for ref, s in support.items() if s < LEAST_SUPPORT]
+        if sparse:
+            return self._grouped_text(share)
+        found: dict[str, tuple[str, int]] = {}
+        for part in slices([c for c in self.text_columns()]):
+            refs = [c.ref for c in part]
+            tokens = {ref: X.token(F.col(ref)) for ref in refs}
+            items = self.frame.select(*[t.alias(ref) for ref, t in tokens.items()]).freqItems(refs, min(support[r] for r in refs)).first()
+            candidates = [(ref, v) for ref in refs for v in items[f"{ref}_freqItems"] if v is not None]
+            parts = []
+            for i, (ref, v) in enumerate(candidates):
+                hit = tokens[ref] == F.lit(v)
+                parts += [F.count_if(hit).alias(f"n{i}"), F.min(F.when(hit, F.substring(ref, 1, 101))).alias(f"v{i}")]
+                parts += [F.min(F.when(hit, F.col(ORD))).alias(f"o{i}")] if self.ordered else []
+            if not parts:
+                continue
+            row = self.frame.agg(*parts).first()
+            for c in part:
+                mine = [i for i, (ref, _) in enumerate(candidates) if ref == c.ref]
+                if not mine:
+                    continue
+                top = max(row[f"n{i}"] for i in mine)
+                first = min((i for i in mine if row[f"n{i}"] == top), key=lambda i: ((row[f"o{i}"],) if self.ordered else (), candidates[i][1].encode()))
+                if top < self.non_null(c) and py_pct(top, self.non_null(c)) >= share:
+                    found[c.ref] = (row[f"v{first}"], top)
+        return found
+
     def _dominant_text(self, share: float) -> dict[str, tuple[str, int]]:
+        if not self.text_columns():
+            return {}
+        return self._grouped_text(share) if self._grouped else self._frequent_text(share)
+
+    def _grouped_text(self, share: float) -> dict[str, tuple[str, int]]:
         hits = {c.ref: self.text_counts[c.ref]["top"] for c in self.text_columns()
                 if self.text_counts[c.ref]["unique"] > 1
                 and py_pct(self.text_counts[c.ref]["top"], self.non_null(c)) >= share}

@@ -75,6 +75,24 @@ def test_identifiers_need_a_name_or_text(spark):
         "record_id": ("HIGH", "IDENTIFIER_NAME_PATTERN"), "label": ("MEDIUM", "HIGH_UNIQUENESS_CATEGORICAL")}
 
 
+@pytest.mark.parametrize("share", [99.0, 95.0, 60.0, 40.0, 20.0, 8.0])
+@pytest.mark.parametrize("order", [None, "id"])
+def test_frequent_texts_equal_grouped_ones(spark, share, order):
+    rng = random.Random(int(share))
+    long = "word " * 40
+    def value(kind, i):
+        r = rng.random() * 100
+        return {"heavy": "x" if r < 96 else f"v{i}", "half": "a" if r < 45 else "b" if r < 90 else f"v{i % 50}", "tied": "pq"[i % 2], "unique": f"u{i}", "long": long if r < 97 else long + str(i),
+                "holes": None if i % 3 else ("é" if r < 98 else f"{i}"), "few": str(i % 11), "one": "same", "late": "z" if i > 150 else f"w{i}"}[kind]
+    kinds = ["heavy", "half", "tied", "unique", "long", "holes", "few", "one", "late"]
+    df = spark.createDataFrame([(i, *(value(k, i) for k in kinds)) for i in range(3000)], "id int, " + ", ".join(f"{k} string" for k in kinds)).repartition(23)
+    config = CheckConfig(near_constant_share=share, near_constant_high_share=99.5)
+    fast, grouped = TableProfile(df, config=config, order_by=order), TableProfile(df, config=config, order_by=order, reuse=True)
+    rows = lambda p: sorted(map(str, C.near_constant_columns(p).collect()))
+    assert rows(fast) == rows(grouped) and not fast._grouped
+    assert (share > 50) == ("tied" not in by_column(C.near_constant_columns(fast)))
+
+
 def test_sketches_rule_out_exact_distinct_counts(spark):
     shares = {"user_id": 25, "order_key": 60, "row_id": 100, "item_code": 79, "part_key": 81, "index": 80}
     n = 4000
