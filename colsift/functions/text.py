@@ -66,6 +66,14 @@ def category_key(text: Column) -> Column:
     return casefold(collapse(text))
 
 
+def is_plain(text: Column) -> Column:
+    """Whether text is printable ASCII without white space: it is its own stripped and collapsed form, and folds to lower case.
+
+    One pattern that saves most values the steps above.
+    """
+    return text.rlike(r"^[!-~]*+\z")
+
+
 def is_long(text: Column) -> Column:
     return (F.char_length(text) > TOKEN_CHARS) | text.startswith(_LONG)
 

@@ -262,18 +262,16 @@ def category_consistency(p: TableProfile) -> DataFrame:
     if p.values is None:
         return p.spark.createDataFrame([], CATEGORY_SCHEMA)
     # Each step is a column of its own, so that no expression is worked out twice.
-    token = F.col("token")
-    written = token.rlike(f"(?!{X.SPACE}).")
-    if p.has_long_text:
-        written = F.when(X.is_digest(token), F.col("long_key") != "").otherwise(written)
+    token, as_is = F.col("token"), F.col("as_is")
     kept = ["column", "token", "n", *(c for c in p.values.columns if c in ("long_plain", "long_key"))]
-    cells = (p.values.filter(written).select(*kept, X.collapse(token).alias("p"))
-             .select(*kept, "p", X.casefold(F.col("p")).alias("k"))
+    cells = (p.values.select(*kept, X.is_plain(token).alias("as_is"))
+             .select(*kept, "as_is", F.when(as_is, token).otherwise(X.collapse(token)).alias("p"))
+             .select(*kept, "p", F.when(as_is, F.lower(token)).otherwise(X.casefold(F.col("p"))).alias("k"))
              .select("column", "token", "n", p.derived("plain", F.col("p")).alias("plain"),
                      p.derived("key", X.token(F.col("k"))).alias("key")))
     keys = stage(cells.groupBy("column", "key")
                  .agg(F.count(F.lit(1)).alias("variant_count"), F.sum("n").alias("affected_count"))
-                 .filter(F.col("variant_count") > 1))
+                 .filter(F.col("variant_count") > 1)).filter(F.col("key") != "")  # blank texts are no labels
     found = keys.count()
     if not found:
         return p.spark.createDataFrame([], CATEGORY_SCHEMA)
@@ -380,8 +378,7 @@ def _invalid_examples(p: TableProfile, rows: list[tuple[ColumnInfo, dict]]) -> D
         return local_table(p.spark, [], T.StructType([
             T.StructField("ref", T.StringType()), T.StructField("status", T.StringType()),
             T.StructField("examples", STRINGS)]))
-    bad_number = ~p.derived("number", X.is_number(F.col("strip")))
-    bad_date = p.derived("date", X.date_label(F.col("strip"))).isNull()
+    bad_number, bad_date = ~F.col("number"), F.col("date").isNull()
     marks = F.array_compact(F.array(*[
         F.when(F.col("column").isin(refs) & (bad_number if s == "NUMERIC_LIKE_TEXT" else bad_date), F.lit(s))
         for s, refs in asked.items()]))

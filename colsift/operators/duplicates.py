@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 from ..functions.measures import four_bands, pct
 from ..functions.stage import local_table, small, stage
 from .checks import STRINGS
@@ -50,19 +51,38 @@ def repeated_rows(p: TableProfile, hash_first: bool | None = None, first: bool =
     """Groups of equal rows that hold two rows or more, with their size ``n``.
 
     Rows are first grouped by a 64-bit hash, so that only those which may repeat
-    are moved with all their columns. Missing equals missing. ``first`` adds the least order key of the group.
+    are moved with all their columns. Where a text column is nearly unique, the
+    hashes of its repeated values, which are counted already, tell as much
+    without that pass. Missing equals missing. ``first`` adds the least order key of the group and its ``last``.
     """
     refs = [c.ref for c in p.columns]
     rows = _rows(p)
     if hash_first is None:
         hash_first = True
     if hash_first and _hashable(rows):
-        row_hash = F.xxhash64(*refs)
-        hashes = stage(rows.select(row_hash.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
-                       .filter("n > 1").select("_h"))
+        text = p.telling_text()
+        row_hash = F.xxhash64(X.token(F.col(text.ref))) if text else F.xxhash64(*refs)
+        if text:
+            hashes = p.values.filter((F.col("column") == text.ref) & (F.col("n") > 1)).select(F.xxhash64("token").alias("_h"))
+        else:
+            hashes = rows.select(row_hash.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h")
+        hashes = stage(hashes)
         rows = rows.withColumn("_h", row_hash).join(small(hashes, hashes.count(), 16), "_h", "left_semi").drop("_h")
-    least = [F.min(ORD).alias("first")] if first else []
-    return rows.groupBy(*refs).agg(F.count(F.lit(1)).alias("n"), *least).filter("n > 1")
+    ends = [F.min(ORD).alias("first"), F.max(ORD).alias("last")] if first else []
+    return rows.groupBy(*refs).agg(F.count(F.lit(1)).alias("n"), *ends).filter("n > 1")
+
+
+def _upto(groups: DataFrame, count: int, limit: int) -> Column | None:
+    """Which rows can be among the first ``limit`` extra copies, by their order key; None where that cannot be told.
+
+    Every group has an extra copy no later than its last key, so ``limit`` groups that end by some key hold that many by then.
+    """
+    kind = groups.schema["last"].dataType
+    plain = isinstance(kind, (T.IntegralType, T.DateType)) or (isinstance(kind, T.StringType) and kind.collation == "UTF8_BINARY")
+    if not plain or count < limit:
+        return None
+    end = groups.select("last").orderBy("last").limit(limit).agg(F.max("last").alias("end")).first()["end"]  # null keys come first
+    return F.col(ORD).isNull() if end is None else F.col(ORD).isNull() | (F.col(ORD) <= F.lit(end).cast(kind))
 
 
 def _examples(p: TableProfile, groups: DataFrame, count: int) -> list[str]:
@@ -70,15 +90,19 @@ def _examples(p: TableProfile, groups: DataFrame, count: int) -> list[str]:
 
     Rows move as a 128-bit digest with their order key, counted per key first,
     so neither wide rows nor a hot group reach one task. In a group every copy
-    but one at the least key is extra.
+    but one at the least key is extra. Only rows up to the key by which there
+    are enough extra copies are looked at.
     """
     limit = p.config.duplicate_examples
     refs = [c.ref for c in p.columns]
+    rows, upto = _rows(p), _upto(groups, count, limit)
+    if upto is not None:
+        rows = rows.filter(upto)
     digest = [F.xxhash64(*refs).alias("_h"), F.xxhash64(F.lit(1), *refs).alias("_g")]
     firsts = groups.select(*digest, "first")
     if not isinstance(groups.schema["first"].dataType, (T.StringType, T.BinaryType, T.StructType)):
         firsts = small(firsts, count, 40)
-    copies = (_rows(p).select(*digest, ORD).join(firsts, ["_h", "_g"])
+    copies = (rows.select(*digest, ORD).join(firsts, ["_h", "_g"])
               .groupBy("_h", "_g", ORD, "first").agg(F.count(F.lit(1)).alias("copies")))
     extra = F.col("copies") - F.when(F.col(ORD).eqNullSafe(F.col("first")), 1).otherwise(0)
     top = (copies.select(ORD, extra.alias("extra")).filter("extra > 0").orderBy(ORD).limit(limit)

@@ -29,6 +29,8 @@ HLL_ERROR = 0.01
 SIGMAS = 6
 # a frequent-item summary has at most the inverse of this many counters a column
 LEAST_SUPPORT = 0.002
+# a text column whose values repeat in at most this share of the rows tells which rows may be duplicates
+REPEATED_SHARE = 0.2
 # share from which the dominant value must be the median
 MEDIAN_SHARE = 51.0
 # share from which the dominant value must be both quartiles
@@ -110,6 +112,8 @@ class TableProfile:
         self.config = config or CheckConfig()
         self.reuse = reuse
         self._lock = Lock()
+        self._facts_lock = Lock()
+        self._distinct: dict[str, int] = {}
         self._staged: DataFrame | None = None
         self.columns = column_types(df, (row_id,) if row_id else ())
         check_names([c.name for c in self.columns])
@@ -221,21 +225,22 @@ class TableProfile:
             return None
         refs = [c.ref for c in text]
         ids = [ORD] if self.ordered else []
-        cells = (self.frame.select(*ids, *refs).unpivot(ids, refs, "column", "value")
+        # grouped by the column's place, which is cheaper to hash than its name
+        cells = (self.frame.select(*ids, F.posexplode(F.array(*refs)).alias("at", "value"))
                  .filter(F.col("value").isNotNull()))
-        keys = ["column", "token"]
+        keys = ["at", "token"]
         value = F.col("value")
         has_long = any(self.counts[f"{r}_long"] for r in refs)
         if has_long and not whole:
-            cells = cells.select(*ids, "column", X.token(value).alias("token"))
+            cells = cells.select(*ids, "at", X.token(value).alias("token"))
         elif has_long:
             long_text = F.when(X.is_long(value), value)
             shown = F.col("value_like")
-            cells = (cells.select(*ids, "column", "value", X.strip(long_text).alias("s"))
-                     .select(*ids, "column", "value", "s", X.squeeze(F.col("s")).alias("p"),
+            cells = (cells.select(*ids, "at", "value", X.strip(long_text).alias("s"))
+                     .select(*ids, "at", "value", "s", X.squeeze(F.col("s")).alias("p"),
                              X.may_be_value(F.col("s")).alias("value_like"))
-                     .select(*ids, "column", "value", "s", "p", X.casefold(F.col("p")).alias("k"), "value_like")
-                     .select(*ids, "column", X.token(value).alias("token"),
+                     .select(*ids, "at", "value", "s", "p", X.casefold(F.col("p")).alias("k"), "value_like")
+                     .select(*ids, "at", X.token(value).alias("token"),
                              X.token(F.col("s")).alias("long_strip"),
                              X.token(F.col("p")).alias("long_plain"),
                              X.token(F.col("k")).alias("long_key"),
@@ -245,7 +250,8 @@ class TableProfile:
         else:
             cells = cells.withColumnRenamed("value", "token")
         first = [F.min(ORD).alias("first_ord")] if self.ordered else []
-        return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first)
+        found = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first)
+        return found.select(F.element_at(F.array(*[F.lit(r) for r in refs]), F.col("at") + 1).alias("column"), *found.columns[1:])
 
     @property
     def has_long_text(self) -> bool:
@@ -259,24 +265,32 @@ class TableProfile:
         return F.when(X.is_digest(F.col("token")), F.col(f"long_{name}")).otherwise(from_token)
 
     def stripped_values(self) -> DataFrame:
-        """``values`` with the stripped text, as a column so that it is worked out once."""
-        return self.values.withColumn("strip", self.derived("strip", X.strip(F.col("token"))))
+        """``values`` with the stripped text, whether it is a number, and its date format. Each step is a column, so that it is
+        worked out once; most values are settled by two patterns."""
+        token, strip = F.col("token"), F.col("strip")
+        stripped = self.values.withColumn("strip", self.derived("strip", F.when(X.is_plain(token), token).otherwise(X.strip(token))))
+        return (stripped.withColumn("value_like", X.may_be_value(strip))
+                .withColumn("number", self.derived("number", F.col("value_like") & X.is_number(strip)))
+                .withColumn("date", self.derived("date", F.when(F.col("value_like"), X.date_label(strip)))))
 
     def first_seen(self, other: str = "token") -> list[Column]:
         return [F.col("first_ord"), F.col(other)] if self.ordered else [F.col(other)]
 
-    @cached_property
+    @property
     def text_facts(self) -> dict[str, dict]:
         """Per text column: distinct values, top count, number and date counts."""
+        with self._facts_lock:  # checks may run side by side
+            if "_text_facts" not in self.__dict__:
+                self._text_facts = self._count_texts()
+        return self._text_facts
+
+    def _count_texts(self) -> dict[str, dict]:
         if self.values is None:
             return {}
-        seen = self.stripped_values().select(
-            "column", "n", (F.col("strip") == "").alias("blank"),
-            self.derived("number", X.is_number(F.col("strip"))).alias("number"),
-            self.derived("date", X.date_label(F.col("strip"))).alias("date"))
+        seen = self.stripped_values().select("column", "n", (F.col("strip") == "").alias("blank"), "number", "date")
         labels = [F.sum(F.when(F.col("date") == name, F.col("n"))).alias(name) for name in X.DATE_PATTERNS]
         facts = seen.groupBy("column").agg(
-            F.count(F.lit(1)).alias("unique"), F.max("n").alias("top"),
+            F.count(F.lit(1)).alias("unique"), F.count_if(F.col("n") == 1).alias("single"), F.max("n").alias("top"),
             F.sum(F.when(~F.col("blank"), F.col("n")).otherwise(0)).alias("filled"),
             F.sum(F.when(F.col("number"), F.col("n")).otherwise(0)).alias("numbers"), *labels)
         return {r["column"]: r.asDict() for r in facts.collect()}  # one row per column
@@ -284,11 +298,19 @@ class TableProfile:
     @cached_property
     def text_counts(self) -> dict[str, dict]:
         """Per text column: number of distinct values and count of the top one."""
-        if self.reuse or "text_facts" in self.__dict__ or self.tokens is None:
+        if self.reuse or "_text_facts" in self.__dict__ or self.tokens is None:
             return self.text_facts
         found = self.tokens.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.max("n").alias("top"))
         return {r["column"]: r.asDict() for r in found.collect()}  # one row per column
 
+    def telling_text(self) -> ColumnInfo | None:
+        """The text column without missing values whose values repeat in the fewest rows, if these are few; only where values are grouped anyway."""
+        if not self.reuse:
+            return None
+        repeats = {c: self.rows - self.text_facts[c.ref]["single"] for c in self.text_columns() if self.non_null(c) == self.rows}
+        best = min(repeats, key=repeats.get, default=None)
+        return best if best and repeats[best] <= REPEATED_SHARE * self.rows else None
+
     def whole_text(self, needed: DataFrame) -> DataFrame:
         """Full text for ``needed`` (column, token) pairs that are digests."""
         refs = [c.ref for c in self.text_columns() if self.counts[f"{c.ref}_long"]]
@@ -301,10 +323,6 @@ class TableProfile:
 
     # ---- distinct counts -------------------------------------------------
 
-    @cached_property
-    def _distinct(self) -> dict[str, int]:
-        return {}
-
     def unique_counts(self, columns: list[ColumnInfo], group: bool = True) -> dict[str, int]:
         """Exact number of distinct non-missing values; with ``group`` off, values of text columns are not grouped for it."""
         out, ask = {}, []
@@ -319,7 +337,7 @@ class TableProfile:
                 out[c.ref] = self._distinct[c.ref]
             else:
                 ask.append(c)
-        for part in slices(ask, DISTINCT_SLICE):
+        for part in slices([c for c in ask if c.ref not in self._distinct], DISTINCT_SLICE):
             row = self.frame.agg(*[F.count_distinct(c.ref).alias(c.ref) for c in part]).first()
             self._distinct.update(row.asDict())
         return out | {c.ref: self._distinct[c.ref] for c in ask}
@@ -337,6 +355,8 @@ class TableProfile:
         copies a row once per column and shuffles every value.
         """
         room = [c for c in columns if self.most_unique(c) / self.non_null(c) * 100 >= share - 0.01]
+        if len(room) < 2:
+            return room  # one exact count costs no more than its sketch
         kept = []
         for part in slices(room):
             near = self.frame.agg(*[F.approx_count_distinct(c.ref, HLL_ERROR).alias(c.ref) for c in part]).first()
@@ -447,7 +467,7 @@ class TableProfile:
     @property
     def _grouped(self) -> bool:
         """Whether the values of text columns are grouped anyway."""
-        return self.reuse or self._staged is not None or bool({"tokens", "text_facts", "text_counts"} & self.__dict__.keys())
+        return self.reuse or self._staged is not None or bool({"tokens", "_text_facts", "text_counts"} & self.__dict__.keys())
 
     def _frequent_text(self, share: float) -> dict[str, tuple[str, int]]:
         """The same from frequent-item summaries: a few counters a column and task hold every value that can reach the share, and an

@@ -26,11 +26,13 @@ OPERATORS = dict(zip(S.CHECKS, (
     C.high_cardinality_categories, C.numeric_outliers, C.category_consistency, C.data_type_warnings)))
 # Results that read the data once more when they are looked at; they are kept.
 STAGED = ("numeric_outliers", "category_consistency", "data_type_warnings")
+# Near constants follow the outliers, whose quartiles settle the dominant numbers.
 BRANCHES = (
     ("duplicates",),
-    ("numeric_outliers",),
+    ("numeric_outliers", "near_constant_columns"),
     ("category_consistency",),
     ("data_type_warnings", "high_cardinality_categories"),
+    ("potential_identifiers", "constant_columns"),
 )
 BASIC = ("missing_values", "duplicates", "constant_columns")
 ADVANCED = tuple(c for c in S.CHECKS if c not in BASIC)
@@ -79,8 +81,7 @@ class Audit:
                         for b in BRANCHES]
                 for run in runs:
                     run.result()
-            # shares the quartiles and text facts of the branches
-            self._branch([n for n in names if n not in self._checks])
+            self._branch(names)  # missing values come from the first counts
         return {n: self._checks[n] for n in names}
 
     @cached_property
@@ -90,17 +91,20 @@ class Audit:
             dataset_overview(p, rows.filter(rows["dataset"] == p.dataset)) for p in self.profiles])
 
     def basic_checks(self) -> dict[str, DataFrame]:
-        return {"overview": self.overview} | self.checks(BASIC)
+        checks = self.checks(BASIC)
+        return {"overview": self.overview} | checks
 
     def advanced_checks(self) -> dict[str, DataFrame]:
         return self.checks(ADVANCED)
 
     def all_checks(self) -> dict[str, DataFrame]:
-        return self.basic_checks() | self.advanced_checks()
+        checks = self.checks()
+        return {"overview": self.overview} | checks
 
     @cached_property
     def score(self) -> DataFrame:
-        return stage(S.quality_score(self.overview, self.checks(), self.score_config))
+        checks = self.checks()  # first, so that the duplicates of the overview run beside the others
+        return stage(S.quality_score(self.overview, checks, self.score_config))
 
     @cached_property
     def diagnostics(self) -> DataFrame:
@@ -127,6 +131,7 @@ class Audit:
 
         ``nested`` rows hold all issues; without it a row stays small.
         """
+        checks = self.checks()  # first, as in ``score``
         wrong = self.metadata.filter("code IS NOT NULL").select("code").first()
         if wrong:
             raise AuditError("file metadata and table differ", wrong["code"])
@@ -135,7 +140,7 @@ class Audit:
         return R.audit_report(
             overview=self.overview, score=self.score, summary=self.summary, issues=self.issues,
             recommendations=self.recommendations, diagnostics=self.diagnostics, metadata=self.metadata,
-            generated_at=generated_at, config=self.report_config, score_config=self.score_config, checks=self.checks(), nested=nested)
+            generated_at=generated_at, config=self.report_config, score_config=self.score_config, checks=checks, nested=nested)
 
     def write_report(self, path: str, generated_at: str | None = None) -> DataFrame:
         """Write one JSON document per data set, of any size, below ``path``; returns the manifest of its files."""

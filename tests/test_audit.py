@@ -10,6 +10,7 @@ from audit_queries import inputs
 from colsift import AuditError, ReportConfig, ScoreConfig, audit, audit_csv
 from colsift.plans import issues as I
 from colsift.plans import report as R
+from colsift.plans import score as S
 from colsift.plans import views as V
 from colsift.sources import sinks
 
@@ -222,3 +223,11 @@ def test_published_results_of_the_sample_file(spark):
     assert got[-1] == ("numeric_outliers", "purchase_amount", 1, 0.48)
     bounds = {r["column"]: (r.q1, r.q3, r.lower_bound, r.upper_bound) for r in a.check("numeric_outliers").collect()}
     assert bounds["purchase_amount"] == (889.3225, 1724.965, -364.1413, 2978.4288)
+
+
+def test_duplicates_run_beside_the_other_checks(spark, clean):
+    """The score asks for all checks at once, not for the overview's duplicates first."""
+    a = audit(clean)
+    asked = []
+    a.checks = lambda names=S.CHECKS, run=a.checks: (asked.append(sorted(a._checks)), run(names))[1]
+    assert a.score.count() == 1 and asked[0] == []

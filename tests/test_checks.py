@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colsift import AuditError, CheckConfig, TableProfile
 from colsift.operators import checks as C
-from colsift.operators.duplicates import duplicates, repeated_rows
+from colsift.operators.duplicates import _upto, duplicates, repeated_rows
 from colsift.operators.overview import dataset_overview
 
 
@@ -307,3 +307,43 @@ def test_rows_without_an_order_key_still_count_once(spark):
     df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b"), (None, "b")], "i long, v string")
     r = duplicates(TableProfile(df, row_id="i")).first()
     assert r.duplicate_rows == 2 and len(r.example_duplicate_indices) == 2
+
+
+@pytest.mark.parametrize("key", ["int", "string", "date", "double"])
+def test_duplicate_examples_look_at_the_first_keys_only(spark, key):
+    rng = random.Random(11)
+    # pairs all over the table, a hot group, rows without a key
+    data = [(i, i // 2 if i % 4 < 2 else -i) for i in range(4000)] + [(rng.randrange(4000), 7_000_000) for _ in range(300)] + [(None, 8_000_000)] * 3
+    as_key = {"int": "k", "string": "lpad(k, 5, '0')", "date": "date_add(date'2020-01-01', k)", "double": "k + 0.5D"}[key]
+    df = spark.createDataFrame(data, "k int, v int").selectExpr(f"{as_key} AS k", "v").repartition(7)
+    rows = TableProfile(df.select("v", F.col("k").alias("row")), row_id="row")
+    groups: dict = {}
+    for r in df.selectExpr("CAST(k AS STRING) AS s", "k", "v").collect():
+        groups.setdefault(r["v"], []).append((r["k"] is not None, r["k"], r["s"]))
+    extra = []
+    for found in groups.values():
+        least = min((x for x in found if x[0]), default=found[0])
+        found.remove(least)
+        extra += found
+    extra.sort(key=lambda x: (x[0], x[1] if x[0] else 0))
+    got = duplicates(rows).first()
+    assert got["duplicate_rows"] == len(extra) and got["example_duplicate_indices"] == [x[2] for x in extra[:10]]
+    refs = repeated_rows(rows, first=True)
+    upto = _upto(refs, refs.count(), 10)
+    assert (upto is None) == (key == "double")
+    if upto is not None:
+        assert rows.frame.filter(upto).count() < 100
+
+
+def test_duplicates_by_a_telling_text_equal_those_by_row_hashes(spark):
+    long = "word " * 30
+    data = [(f"{long}{i % 950}" if i % 7 == 0 else f"r{i % 950}", i // 950 * (i % 3), None if i % 5 else "x") for i in range(1000)]
+    df = spark.createDataFrame(data, "ref string, v int, note string").withColumn("row", F.monotonically_increasing_id()).repartition(5)
+    plain, shared = TableProfile(df, row_id="row"), TableProfile(df, row_id="row", reuse=True)
+    assert shared.telling_text().name == "ref" and plain.telling_text() is None
+    assert duplicates(shared).first() == duplicates(plain).first()
+    refs = [c.ref for c in plain.columns]
+    assert 0 < duplicates(plain).first()["duplicate_rows"] < 50
+    assert sorted(map(str, repeated_rows(shared, first=True).select(*refs, "n", "first").collect())) == sorted(map(str, repeated_rows(plain, first=True).select(*refs, "n", "first").collect()))
+    # values that repeat too often, or are missing somewhere, tell nothing
+    assert TableProfile(df.select("note", F.lit("a").alias("same")), reuse=True).telling_text() is None

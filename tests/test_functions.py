@@ -98,3 +98,12 @@ def test_ranks_of_several_columns(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
     assert Q.ranked(df, {"v": F.col("v"), "w": -F.col("v")}, {"v": [0, 500], "w": [0]}) == {("v", 0): 0.0, ("v", 500): 500.0, ("w", 0): -999.0}
     assert Q.ranked(df, {}, {}) == {}
+
+
+def test_plain_texts_need_no_normalization(spark):
+    texts = ["", "a", "Ref-1", "a b", " a", "a\t", "\x00a", "\x7f", "é", "ß", "İ", "a ", "~!", "12.5e3", "a\n", " "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select("t", X.is_plain(t).alias("plain"), X.strip(t).alias("s"), X.collapse(t).alias("p"), X.category_key(t).alias("k"), F.lower(t).alias("low")).collect()
+    assert [r["t"] for r in got if r["plain"]] == ["", "a", "Ref-1", "~!", "12.5e3"]
+    assert all(r["s"] == r["p"] == r["t"] and r["k"] == r["low"] for r in got if r["plain"])
