@@ -267,7 +267,7 @@ QUERIES: dict[str, Query] = {
     # score
     "score_completeness": of_audit(lambda a: S.score_completeness(a.overview)),
     "score_duplicate_free": of_audit(lambda a: S.score_duplicate_free(a.check("duplicates"))),
-    "score_schema": of_audit(lambda a: S.score_schema(a.overview, a.checks())),
+    "score_schema": of_audit(lambda a: S.score_schema(a.dimensions, a.checks(S.SCHEMA_CHECKS))),
     "score_category": of_audit(lambda a: S.score_category(a.overview, a.check("category_consistency"))),
     "score_outlier": of_audit(lambda a: S.score_outlier(a.overview, a.check("numeric_outliers"))),
     "quality_score": of_audit(lambda a: a.score, "readiness_gates"),

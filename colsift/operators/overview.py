@@ -15,8 +15,8 @@ from .profile import TableProfile
 GROUPS = ("numeric", "categorical", "datetime", "boolean", "other")
 
 
-def dataset_overview(p: TableProfile, duplicate_row: DataFrame | None = None) -> DataFrame:
-    """Dimensions, missing cells, duplicate rows and columns by group."""
+def dimensions(p: TableProfile) -> DataFrame:
+    """Dimensions, missing cells and columns by group, from the first counts alone."""
     schema = T.StructType(
         [T.StructField("dataset", T.StringType())]
         + [T.StructField(n, T.LongType()) for n in ("row_count", "column_count", "missing_cells")]
@@ -24,13 +24,18 @@ def dataset_overview(p: TableProfile, duplicate_row: DataFrame | None = None) ->
     facts = dict(dataset=p.dataset, row_count=p.rows, column_count=len(p.columns),
                  missing_cells=sum(p.rows - p.non_null(c) for c in p.columns),
                  **{f"{g}_columns": [c.name for c in p.of_group(g)] for g in GROUPS})
+    return (local_table(p.spark, [facts], schema)
+            .withColumn("total_cells", F.col("row_count") * F.col("column_count"))
+            .withColumn("missing_percentage", pct("missing_cells", "total_cells"))
+            .withColumns({f"{g}_column_count": F.size(f"{g}_columns") for g in GROUPS}))
+
+
+def dataset_overview(p: TableProfile, duplicate_row: DataFrame | None = None) -> DataFrame:
+    """Dimensions, missing cells, duplicate rows and columns by group."""
     if duplicate_row is None:
         duplicate_row = duplicates(p, examples=False)
     copies = duplicate_row.select("dataset", "duplicate_rows", "duplicate_percentage")
-    return (local_table(p.spark, [facts], schema).join(F.broadcast(copies), "dataset")
-            .withColumn("total_cells", F.col("row_count") * F.col("column_count"))
-            .select("dataset", "row_count", "column_count", "total_cells", "missing_cells",
-                    pct("missing_cells", "total_cells").alias("missing_percentage"),
+    return (dimensions(p).join(F.broadcast(copies), "dataset")
+            .select("dataset", "row_count", "column_count", "total_cells", "missing_cells", "missing_percentage",
                     "duplicate_rows", "duplicate_percentage",
-                    *[F.size(f"{g}_columns").alias(f"{g}_column_count") for g in GROUPS],
-                    *[f"{g}_columns" for g in GROUPS]))
+                    *[f"{g}_column_count" for g in GROUPS], *[f"{g}_columns" for g in GROUPS]))

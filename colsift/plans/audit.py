@@ -12,7 +12,7 @@ from ..config import AuditError, CheckConfig, IntakeConfig, ReportConfig, ScoreC
 from ..functions.stage import stage, stage_columns
 from ..operators import checks as C
 from ..operators.duplicates import duplicates
-from ..operators.overview import dataset_overview
+from ..operators.overview import dataset_overview, dimensions
 from ..operators.profile import TableProfile
 from ..sources import csv as X
 from ..sources import sinks as K
@@ -84,6 +84,11 @@ class Audit:
             self._branch(names)  # missing values come from the first counts
         return {n: self._checks[n] for n in names}
 
+    @cached_property
+    def dimensions(self) -> DataFrame:
+        """Rows, missing cells and columns of each table: the overview without its duplicate rows."""
+        return reduce(DataFrame.unionByName, [dimensions(p) for p in self.profiles])
+
     @cached_property
     def overview(self) -> DataFrame:
         rows = self.check("duplicates")

@@ -225,6 +225,18 @@ def test_published_results_of_the_sample_file(spark):
     assert bounds["purchase_amount"] == (889.3225, 1724.965, -364.1413, 2978.4288)
 
 
+def test_score_of_the_schema_needs_its_own_checks_only(spark, two):
+    from audit_queries import catalog
+    catalog.forget_audits()
+    got = catalog.QUERIES["score_schema"](spark, SF)
+    alone = catalog.shared_audit(spark, SF)
+    assert set(alone._checks) == set(S.SCHEMA_CHECKS) and "overview" not in alone.__dict__
+    assert got.first()["schema_usability"] == two.score.filter("dataset = 'dirty'").first()["schema_usability"]
+    kept = [c for c in two.dimensions.columns]
+    assert sorted(map(str, two.dimensions.collect())) == sorted(map(str, two.overview.select(*kept).collect()))
+    catalog.forget_audits()
+
+
 def test_duplicates_run_beside_the_other_checks(spark, clean):
     """The score asks for all checks at once, not for the overview's duplicates first."""
     a = audit(clean)
